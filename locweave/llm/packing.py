@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .columns import table
+from .columns import ship, table
 
 CAPACITY = 1024
 #: Encoded words a task keeps at most before it starts afresh.
@@ -166,6 +166,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
         bins = Bins(capacity, TaskContext.get().partitionId() << 33)
