@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import exact_dedup, packing, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op8_packing": packing.op8_packing,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
 ORACLES = {
