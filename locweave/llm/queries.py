@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality
+from . import decontamination, exact_dedup, packing, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op8_packing": packing.op8_packing,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op3_decontamination": decontamination.OP3_SQL,
 }
