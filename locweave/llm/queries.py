@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, packing, quality
+from . import decontamination, exact_dedup, packing, pii, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
+    "op4_pii": pii.op4_pii,
     "op8_packing": packing.op8_packing,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
