@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, packing, pii, quality
+from . import chat, decontamination, exact_dedup, packing, pii, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_pii": pii.op4_pii,
+    "op5_chat_format": chat.op5_chat_format,
     "op8_packing": packing.op8_packing,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
@@ -15,4 +16,5 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op3_decontamination": decontamination.OP3_SQL,
+    "op5_chat_format": chat.OP5_SQL,
 }
