@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, exact_dedup, packing, pii, quality
+from . import chat, decontamination, exact_dedup, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_pii": pii.op4_pii,
     "op5_chat_format": chat.op5_chat_format,
+    "op6_secrets": secrets.op6_secrets,
     "op8_packing": packing.op8_packing,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
