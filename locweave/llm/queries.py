@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, exact_dedup, packing, pii, quality, secrets
+from . import chat, decontamination, exact_dedup, jaccard_join, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_chat_format": chat.op5_chat_format,
     "op6_secrets": secrets.op6_secrets,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_packing": packing.op8_packing,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
