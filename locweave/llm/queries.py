@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, exact_dedup, jaccard_join, packing, pii, quality, secrets
+from . import chat, decontamination, exact_dedup, html_extraction, jaccard_join, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_packing": packing.op8_packing,
+    "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
