@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, exact_dedup, html_extraction, jaccard_join, packing, pii, quality, secrets
+from . import chat, decontamination, exact_dedup, html_extraction, jaccard_join, lm_scoring, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_pii": pii.op4_pii,
     "op5_chat_format": chat.op5_chat_format,
