@@ -81,11 +81,10 @@ def nearest_rank(rows: DataFrame, key: str, value: str, q: float = 0.95) -> Data
 
 
 def stage_times(frames: DataFrame) -> DataFrame:
-    """run, stage, seconds: the time from each frame to the next counts for the stage that is open."""
-    after = F.lead("ts").over(Window.partitionBy("run").orderBy("ts", "seq"))
-    spent = (after.cast("timestamp").cast("double") - F.col("ts").cast("timestamp").cast("double")).alias("s")
-    timed = frames.select("run", "stage", spent)
-    return timed.groupBy("run", "stage").agg(F.round(F.coalesce(F.sum("s"), F.lit(0.0)), 3).alias("seconds"))
+    """run, stage, micros: the time from each frame to the next counts for the stage that is open."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = frames.select("run", "stage", (F.lead(micros).over(Window.partitionBy("run").orderBy("ts", "seq")) - micros).alias("m"))
+    return timed.groupBy("run", "stage").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("micros"))
 
 
 def under_ceiling(rows: DataFrame, order: list, size: str, ceiling: int) -> DataFrame:
