@@ -6,9 +6,10 @@ holds overlaps with nothing, and a set with too few others can have no partner.
 small. Sets that share an n-gram of their prefixes are candidates; their overlaps are counted in
 each fragment separately and summed for each pair.
 
-A group of near copies is not expanded into pairs. First each prefix n-gram compares its holders with
-one of them; holders that this already connects need no further comparison, and all pairs between
-what is still apart are compared after that. So every link between different components is found.
+A group of near copies is not expanded into pairs. Each prefix n-gram compares its holders with a few
+of them, turn by turn; holders that are already connected need no further comparison. When few pairs
+are left, or after the last turn, all pairs between what is still apart are compared. So every link
+between different components is found.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,12 @@ PERCENT = 75
 FRAGMENT_HASHES = 4_000_000
 #: Pairs that one cell of a verification holds about.
 CELL_PAIRS = 1_000_000
+#: Holders that the others of a prefix n-gram are compared with in one turn, after the first.
+PIVOTS = 4
+#: Turns at most before all remaining pairs are compared; fewer where the remaining pairs are few.
+MAX_TURNS = 4
+#: Holders in a chunk of a token's holders about.
+CHUNK = 1024
 #: Set keys that a task remembers, not to send a copy of a set again.
 SEEN_KEYS = 200_000
 
@@ -200,12 +208,59 @@ def _possible(n_a: Column, rest_a: Column, n_b: Column, rest_b: Column, percent:
     return F.least(rest_a, rest_b) * (100 + percent) >= percent * (n_a + n_b)
 
 
-def overlaps(alive: DataFrame, pairs: DataFrame, fragments: int, cell_pairs: int = CELL_PAIRS) -> DataFrame:
-    """a, b, n_a, n_b, common for each pair of keys: counted in each fragment, then summed."""
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    parts = max(1, math.ceil(pairs.count() / cell_pairs))
-    placed = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(parts)))
-    needed = placed.select(F.col("a").alias("need"), "part").union(placed.select("b", "part")).distinct()
+def _pair_packs(pairs: DataFrame, parts: int) -> DataFrame:
+    """Rows of pairs (a, b) as packs, dealt to parts by a."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, part = (c.to_numpy(zero_copy_only=False).astype("<i8") for c in batch.columns)
+            yield _pack([(p, 1, a[part == p], b[part == p]) for p in np.unique(part).tolist()])
+
+    return pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(parts)).alias("part")).mapInArrow(run, PACK)
+
+
+def _cross_packs(active: DataFrame, parts: int, percent: int) -> DataFrame:
+    """The pairs between components that share a prefix n-gram, as packs.
+
+    A token's holders are packed in chunks of bounded size; each holder outside the largest component
+    meets the chunks, and the pairs that sizes and positions allow are made there.
+    """
+    sizes = active.groupBy(F.col("token").alias("of")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = active.join(sizes, F.col("token") == F.col("of")).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
+    chunks = dealt.groupBy("token", "chunk").agg(F.collect_list(F.struct("key", "n", "rest", "root")).alias("held")).select(_apart(F.col("token")).alias("at"), "held")
+    outside = active.where("root <> largest").select("token", "key", "n", "rest", "root", "largest", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = {n: batch.column(i) for i, n in enumerate(("key", "n", "rest", "root", "largest", "part"))}
+            held = batch.column(6)
+            times = pc.list_value_length(held).to_numpy(zero_copy_only=False)
+            k, n, rest, root, largest, part = (np.repeat(c.to_numpy(zero_copy_only=False), times) for c in cols.values())
+            other = held.flatten()
+            ok, on, orest, oroot = (other.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            keep = (root != oroot) & ((oroot == largest) | (k < ok)) & (np.minimum(rest, orest) * (100 + percent) >= percent * (n + on))
+            pairs = np.unique(np.column_stack([part[keep], k[keep], ok[keep]]), axis=0)
+            if len(pairs):
+                yield _pack([(p, 1, pairs[pairs[:, 0] == p, 1].astype("<i8"), pairs[pairs[:, 0] == p, 2].astype("<i8")) for p in np.unique(pairs[:, 0]).tolist()])
+
+    met = outside.join(chunks, F.col("token") == F.col("at"))
+    return met.select("key", "n", "rest", "root", "largest", "part", "held").mapInArrow(run, PACK)
+
+
+def _links(alive: DataFrame, packs: DataFrame, parts: int, fragments: int, percent: int) -> DataFrame:
+    """a, b of the pairs that are similar: overlaps are counted in each fragment, then summed for each pair."""
+    packs = written(packs, "pair-packs")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[int, list[np.ndarray]] = {}
+            for part, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found.setdefault(part, []).extend([np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")])
+            for part, blobs in found.items():
+                names = np.unique(np.concatenate(blobs))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), part, np.int64)), pa.array(names)], names=["part", "need"])
+
+    needed = packs.select("cell", "a", "b").mapInArrow(keys, "part long, need long").distinct()
     nodes = alive.join(needed, F.col("key") == F.col("need")).select("part", "key", "n", "hashes")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,51 +275,54 @@ def overlaps(alive: DataFrame, pairs: DataFrame, fragments: int, cell_pairs: int
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, part = (c.to_numpy(zero_copy_only=False).astype("<i8") for c in batch.columns)
-            for p in np.unique(part).tolist():
-                yield _pack([(p * fragments + f, 1, a[part == p], b[part == p]) for f in range(fragments)])
+            for part, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                yield _pack([(part * fragments + f, 1, np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")) for f in range(fragments)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kinds in _grouped(batches).values():
+        for cell, kinds in _grouped(batches).items():
             if 0 not in kinds or 1 not in kinds:
                 continue
-            keys, sizes, counts, hashes = (_column(kinds[0], k, t) for k, t in enumerate(("<i8", "<i4", "<i4", "<u8")))
+            names, sizes, counts, hashes = (_column(kinds[0], k, t) for k, t in enumerate(("<i8", "<i4", "<i4", "<u8")))
             a, b = (_column(kinds[1], k, "<i8") for k in (0, 1))
-            order = np.argsort(keys)
-            place = np.searchsorted(keys, a, sorter=order), np.searchsorted(keys, b, sorter=order)
-            here = np.ones(len(a), bool)
-            for x, p in zip((a, b), place, strict=True):
-                here &= keys[order[np.minimum(p, len(keys) - 1)]] == x
-            i, j = (order[p[here]] for p in place)
+            order = np.argsort(names)
+            place = [np.minimum(np.searchsorted(names, x, sorter=order), len(names) - 1) for x in (a, b)]
+            here = np.all([names[order[p]] == x for x, p in zip((a, b), place, strict=True)], axis=0)
+            codes = np.unique(order[place[0][here]].astype(np.int64) * len(names) + order[place[1][here]])
+            i, j = codes // len(names), codes % len(names)
             tokens, local = np.unique(hashes, return_inverse=True)
             ends = np.cumsum(counts)
             begins = ends - counts
-            by_a = np.argsort(i, kind="stable")
-            i, j = i[by_a], j[by_a]
             mark = np.zeros(len(tokens), bool)
             common = np.zeros(len(i), np.int64)
             runs = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
             for lo, hi in zip(runs.tolist(), [*runs[1:].tolist(), len(i)], strict=True):
                 own = local[begins[i[lo]] : ends[i[lo]]]
                 mark[own] = True
-                others = j[lo:hi]
-                c = counts[others]
-                at = np.repeat(begins[others] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
-                common[lo:hi] = np.add.reduceat(mark[local[at]].astype(np.int64), np.concatenate([[0], np.cumsum(c)[:-1]]))
+                c = counts[j[lo:hi]]
+                first = np.concatenate([[0], np.cumsum(c)[:-1]])
+                at = np.repeat(begins[j[lo:hi]] - first, c) + np.arange(c.sum())
+                common[lo:hi] = np.add.reduceat(mark[local[at]].astype(np.int64), first)
                 mark[own] = False
             some = common > 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[some]) for x in (keys[i], keys[j], sizes[i].astype(np.int64), sizes[j].astype(np.int64), common)], names=["a", "b", "n_a", "n_b", "common"]
+            i, j, common = i[some], j[some], common[some]
+            target = cell // fragments * fragments + (names[i] ^ names[j]) % fragments
+            yield _pack(
+                [(t, 2, names[i[m]], names[j[m]], (sizes[i[m]].astype("<i8") + sizes[j[m]]), common[m].astype("<i8")) for t in np.unique(target).tolist() if len(m := np.flatnonzero(target == t))]
             )
 
-    cells = nodes.mapInArrow(cut, PACK).unionByName(placed.mapInArrow(copy, PACK)).repartitionById(parts * fragments, F.col("cell").cast("int"))
-    partial = cells.mapInArrow(count, "a long, b long, n_a long, n_b long, common long")
-    return partial.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("common").alias("common"))
-
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kinds in _grouped(batches).values():
+            a, b, both, common = (_column(kinds[2], k, "<i8") for k in range(4))
+            order = np.lexsort((b, a))
+            a, b, both, common = a[order], b[order], both[order], common[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            overlap = np.add.reduceat(common, new)
+            linked = new[100 * overlap >= percent * (both[new] - overlap)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked])], names=["a", "b"])
 
-def _linked(alive: DataFrame, pairs: DataFrame, fragments: int, percent: int) -> DataFrame:
-    found = overlaps(alive, pairs, fragments)
-    return written(found.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"), "links")
+    cells = nodes.mapInArrow(cut, PACK).unionByName(packs.select("cell", "a", "b").mapInArrow(copy, PACK)).repartitionById(parts * fragments, F.col("cell").cast("int"))
+    sums = cells.mapInArrow(count, PACK).repartitionById(parts * fragments, F.col("cell").cast("int"))
+    return written(sums.mapInArrow(total, "a long, b long"), "links")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = sh.SIZE, percent: int = PERCENT) -> DataFrame:
@@ -283,44 +341,43 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = _shared(_spread(docs, text_col, size, fragments), fragments, fragments)
     alive = written(_alive(shared, fragments, percent), "live-sets")
     # Later fragments hold what is alive, which is far less.
-    few = max(12, math.ceil((alive.agg(F.sum(F.length("hashes"))).first()[0] or 0) / 8 / FRAGMENT_HASHES))
+    few = max(6, math.ceil((alive.agg(F.sum(F.length("hashes"))).first()[0] or 0) / 8 / FRAGMENT_HASHES))
 
     tokens = written(_prefixes(alive), "prefix-tokens")
+    size_of_tokens = tokens.count()
     links = None
-    roots = None
-    for turn in range(2):
-        # Each token's holders against one of them, another one each turn.
-        if roots is None:
-            held = tokens.withColumn("root", F.col("key"))
-        else:
-            held = tokens.join(roots, F.col("key") == F.col("node"), "left").select("token", "key", "n", "rest", F.coalesce("root", "key").alias("root"))
-        order = F.struct(F.xxhash64(F.col("key"), F.lit(turn)), "key")
+    held = tokens.withColumn("root", F.col("key"))
+    for turn in range(MAX_TURNS):
+        # Each token's holders against a few of them, others each turn; what is connected already is not compared.
+        picks = [F.min_by(F.struct("key", "n", "rest", "root"), F.struct(F.xxhash64(F.col("key"), F.lit(turn), F.lit(i)), "key")) for i in range(PIVOTS if turn else 1)]
         pivots = (
             held.groupBy("token")
-            .agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("key", "n", "rest", "root"), order).alias("p"))
+            .agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.array_distinct(F.array(*picks)).alias("ps"))
             .where("r0 <> r1")
-            .select(_apart(F.col("token")).alias("at"), F.col("p.key").alias("a"), F.col("p.n").alias("n_a"), F.col("p.rest").alias("rest_a"), F.col("p.root").alias("root_a"))
+            .select(_apart(F.col("token")).alias("at"), F.explode("ps").alias("p"))
+            .select("at", F.col("p.key").alias("a"), F.col("p.n").alias("n_a"), F.col("p.rest").alias("rest_a"), F.col("p.root").alias("root_a"))
         )
         star = held.join(pivots, F.col("token") == F.col("at")).where(
             (F.col("root") != F.col("root_a")) & _possible(F.col("n_a"), F.col("rest_a"), F.col("n"), F.col("rest"), percent)
         )
-        new = _linked(alive, star.select("a", F.col("key").alias("b")), few, percent)
+        pairs = written(star.select("a", F.col("key").alias("b")).distinct(), "pairs")
+        parts = max(1, math.ceil(pairs.count() / CELL_PAIRS))
+        new = _links(alive, _pair_packs(pairs, parts), parts, few, percent)
         links = new if links is None else written(links.union(new), "links")
         roots = components(links)
+        held = tokens.join(roots, F.col("key") == F.col("node"), "left").select("token", "key", "n", "rest", F.coalesce("root", "key").alias("root"))
+        held = written(held, "held-tokens")
+        by_root = held.groupBy("token", "root").agg(F.count("*").alias("c"))
+        mixed = by_root.groupBy("token").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("largest")).where("roots > 1")
+        open_tokens = written(mixed.select(F.col("token").alias("open"), "largest", (F.col("all") - F.col("most")).alias("outside"), "all"), "open-tokens")
+        pairs_left = open_tokens.agg(F.sum(F.col("outside") * F.col("all"))).first()[0] or 0
+        if pairs_left <= size_of_tokens:
+            break
 
     # What is still apart: in each token, all pairs between different components; the largest one is not paired with itself.
-    held = tokens.join(roots, F.col("key") == F.col("node"), "left").select("token", "key", "n", "rest", F.coalesce("root", "key").alias("root"))
-    held = written(held, "held-tokens")
-    by_root = held.groupBy("token", "root").agg(F.count("*").alias("c"))
-    open_tokens = by_root.groupBy("token").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("largest")).where("roots > 1")
-    open_tokens = written(open_tokens.select(F.col("token").alias("open"), "largest"), "open-tokens")
-    active = written(held.join(open_tokens, F.col("token") == F.col("open")).drop("open"), "active-tokens")
-    small = active.where("root <> largest").select(
-        F.col("token").alias("at"), F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("root").alias("root_a")
-    )
-    apart = (F.col("root") != F.col("root_a")) & ((F.col("root") == F.col("largest")) | (F.col("a") < F.col("key")))
-    cross = active.join(small, F.col("token") == F.col("at")).where(apart & _possible(F.col("n_a"), F.col("rest_a"), F.col("n"), F.col("rest"), percent))
-    last = _linked(alive, cross.select("a", F.col("key").alias("b")), few, percent)
+    active = written(held.join(open_tokens.select("open", "largest"), F.col("token") == F.col("open")).drop("open"), "active-tokens")
+    parts = max(1, math.ceil(pairs_left / CELL_PAIRS / 4))
+    last = _links(alive, _cross_packs(active, parts, percent), parts, few, percent)
     roots = components(links.union(last))
 
     labelled = sets.join(roots, F.col("set_key") == F.col("node"), "left").select("id", "n", F.coalesce("root", "set_key").alias("label"))
