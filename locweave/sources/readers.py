@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..shipping import ship
 
 SITEMAP_NAMES = r"(?i)\.xml(\.gz)?$"
 PEEK = 2048
@@ -83,6 +84,7 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame([{"source_file": p.rpartition("/")[2], **scan_xml(bytes(c))} for p, c in zip(frame["path"], frame["content"], strict=True)], columns=[c.split()[0] for c in SCAN.split(", ")])
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.where(F.col("path").rlike(SITEMAP_NAMES)).select("path", "content").mapInPandas(run, SCAN)
 
