@@ -37,6 +37,8 @@ CELL_PAIRS = 1_000_000
 PIVOTS = 4
 #: Turns at most before all remaining pairs are compared; fewer where the remaining pairs are few.
 MAX_TURNS = 4
+#: Keys of sets are broadcast up to this many, 16 bytes each, to pick the sets that pairs need.
+BROADCAST_KEYS = 500_000
 #: Holders in a chunk of a token's holders about.
 CHUNK = 1024
 #: Set keys that a task remembers, not to send a copy of a set again.
@@ -208,6 +210,17 @@ def _possible(n_a: Column, rest_a: Column, n_b: Column, rest_b: Column, percent:
     return F.least(rest_a, rest_b) * (100 + percent) >= percent * (n_a + n_b)
 
 
+def _different(tokens: DataFrame) -> DataFrame:
+    """Of the tokens that the same sets hold, the one that comes first; tokens with one holder go.
+
+    The order of n-grams is the same in all sets, so the first token leaves every holder the most n-grams
+    from there on, and any pair that another token of the same holders allows is allowed by it too.
+    """
+    held = tokens.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("holders"), F.sum("rest").alias("r")).where("c > 1")
+    first = held.groupBy("holders", "c").agg(F.max_by("token", F.struct("r", "token")).alias("first"))
+    return tokens.join(first.select("first"), F.col("token") == F.col("first"), "left_semi")
+
+
 def _pair_packs(pairs: DataFrame, parts: int) -> DataFrame:
     """Rows of pairs (a, b) as packs, dealt to parts by a."""
 
@@ -260,7 +273,8 @@ def _links(alive: DataFrame, packs: DataFrame, parts: int, fragments: int, perce
                 names = np.unique(np.concatenate(blobs))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), part, np.int64)), pa.array(names)], names=["part", "need"])
 
-    needed = packs.select("cell", "a", "b").mapInArrow(keys, "part long, need long").distinct()
+    needed = written(packs.select("cell", "a", "b").mapInArrow(keys, "part long, need long").distinct(), "needed")
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed
     nodes = alive.join(needed, F.col("key") == F.col("need")).select("part", "key", "n", "hashes")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +357,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Later fragments hold what is alive, which is far less.
     few = max(6, math.ceil((alive.agg(F.sum(F.length("hashes"))).first()[0] or 0) / 8 / FRAGMENT_HASHES))
 
-    tokens = written(_prefixes(alive), "prefix-tokens")
+    tokens = written(_different(written(_prefixes(alive), "prefix-tokens")), "bucket-tokens")
     size_of_tokens = tokens.count()
     links = None
     held = tokens.withColumn("root", F.col("key"))
