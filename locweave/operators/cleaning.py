@@ -111,5 +111,5 @@ def latest_batches(attempts: DataFrame) -> DataFrame:
 
 def missing_batches(attempts: DataFrame, expected: DataFrame) -> DataFrame:
     """run_id, batch of the batches 0 to total_batches - 1 that have not come."""
-    wanted = expected.where("total_batches > 0").select("run_id", F.explode(F.sequence(F.lit(0), F.col("total_batches") - 1)).cast("long").alias("batch"))
+    wanted = expected.where("total_batches > 0").select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_batches").cast("long") - 1)).alias("batch"))
     return wanted.join(attempts.select("run_id", F.col("batch").cast("long").alias("batch")), ["run_id", "batch"], "left_anti")

@@ -134,7 +134,7 @@ def robots_sitemaps(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def list_lines(texts: DataFrame, text: str = "value") -> DataFrame:
     """url: the lines of lists, trimmed, without empty ones and comments."""
-    lines = texts.select(F.trim(F.explode(F.split(F.col(text), r"\r?\n"))).alias("url"))
+    lines = texts.select(F.explode(F.transform(F.split(F.col(text), r"\r?\n"), lambda x: F.trim(x))).alias("url"))
     return lines.where((F.col("url") != "") & ~F.col("url").startswith("#"))
 
 

@@ -68,24 +68,23 @@ def step(state: dict, frame: dict) -> dict:
 
 
 def live_progress(frames: DataFrame) -> DataFrame:
-    """The same fold on a stream: run, seq, percent, rate, eta_seconds, with the state of each run kept for an hour."""
+    """The same fold on a stream: run, seq, percent, rate, eta_seconds, with the state of each run kept until it is complete."""
     ship(frames.sparkSession)
     state = "stage string, began long, first double, ms long, current double, rate double, percent double"
     names = [c.split()[0] for c in state.split(", ")]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
         now = dict(zip(names, held.get, strict=True)) if held.exists else {}
         rows = pd.concat(list(batches)).sort_values("seq")
         out = [{"run": key[0], **step(now, r)} for r in rows.to_dict("records")]
-        held.update(tuple(now.get(n) for n in names))
-        held.setTimeoutDuration(3_600_000)
+        if now["percent"] < 100:
+            held.update(tuple(now.get(n) for n in names))
+        elif held.exists:
+            held.remove()
         yield pd.DataFrame(out, columns=["run", "seq", "percent", "rate", "eta_seconds"])
 
     rows = frames.select("run", "seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "stage", F.col("current").cast("double").alias("current"), F.col("total").cast("double").alias("total"), percent(F.col("stage"), F.col("current"), F.col("total")).alias("pct"))
-    return rows.groupBy("run").applyInPandasWithState(update, "run string, seq long, percent double, rate double, eta_seconds double", state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("run").applyInPandasWithState(update, "run string, seq long, percent double, rate double, eta_seconds double", state, "append", GroupStateTimeout.NoTimeout)
 
 
 def log_gate(frames: DataFrame) -> DataFrame:
