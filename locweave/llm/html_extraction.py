@@ -21,7 +21,8 @@ from .columns import ship, table, written
 
 #: Chosen paths are broadcast up to so many bytes; above, pages are joined with them by a shuffle.
 BROADCAST_BYTES = 16 << 20
-VOTES = 3
+#: What the scores of a page's best containers count for, the first one's most.
+VOTES = (1.0, 0.3, 0.1)
 #: The chosen path must hold this share of a page's running text, or the page goes by its own best container.
 MIN_COVER = 0.3
 
@@ -240,9 +241,9 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", br
             sums: dict[tuple[str, str], float] = {}
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = parse(source or "")
-                for score, _, node in scores(page)[:VOTES]:
+                for weight, (score, _, node) in zip(VOTES, scores(page), strict=False):
                     key = host, page.nodes[node].path
-                    sums[key] = sums.get(key, 0.0) + score
+                    sums[key] = sums.get(key, 0.0) + weight * score
             hosts, paths = zip(*sums, strict=True) if sums else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(list(sums.values()), pa.float64())], names=["host", "path", "votes"])
 
