@@ -118,3 +118,12 @@ def sample(rows: DataFrame, n: int, key: str = "template", url: str = "loc", see
 
 def largest(patterns: DataFrame, n: int) -> DataFrame:
     return patterns.orderBy(F.desc("total_urls"), "template").limit(n)
+
+
+def common_pattern(rows: DataFrame, key: str, segs: str = "segs") -> DataFrame:
+    """key, template: fixed segments where all rows of a key with its number of segments agree, {param} elsewhere; null where numbers differ."""
+    sizes = rows.groupBy(key).agg(F.min(F.size(segs)).alias("a"), F.max(F.size(segs)).alias("b"))
+    spread = rows.select(key, F.posexplode(segs).alias("pos", "seg")).groupBy(key, "pos").agg(F.min("seg").alias("x"), F.max("seg").alias("y"))
+    named = spread.select(key, F.struct("pos", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(templates.PARAM).alias("s")).alias("e"))
+    built = named.groupBy(key).agg(F.concat(F.lit("/"), F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["s"]), "/")).alias("t"))
+    return sizes.join(built, key, "left").select(key, F.when(F.col("a") == F.col("b"), F.coalesce("t", F.lit("/"))).alias("template"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, templates, urls
 from ..operators import cleaning, patterns, rewriting, scoring
-from ..sources import readers
+from ..sources import readers, writers
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -475,3 +475,67 @@ def file_statuses(spark, d):
 @query("SELECT page_id, CAST(page_id // 50 AS INTEGER) AS chunk FROM pages")
 def list_chunks(spark, d):
     return read(spark, d, "pages").select("page_id", rules.chunk(F.col("page_id"), 50).alias("chunk"))
+
+
+ENTRY = "'  <url>\n    <loc>' || replace(replace(replace(replace(loc, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</loc>\n    <lastmod>2024-02-03</lastmod>\n  </url>\n'"
+
+
+@query(f"WITH {LOCS} SELECT source_file, CAST(0 AS BIGINT) AS part, '{writers.URLSET_OPEN}' || string_agg({ENTRY}, '' ORDER BY loc_idx) || '</urlset>\n' AS xml FROM locs GROUP BY source_file")
+def sitemap_documents(spark, d):
+    return writers.sitemap_documents(page_locs(spark, d), F.lit("2024-02-03").cast("date"))
+
+
+@query(
+    f"""WITH {LOCS}, f AS (SELECT DISTINCT file_idx, source_file FROM locs), x AS (
+      SELECT '{writers.INDEX_OPEN}' || string_agg('  <sitemap>\n    <loc>https://example.com/maps/' || source_file || '</loc>\n    <lastmod>2024-02-03</lastmod>\n  </sitemap>\n', '' ORDER BY file_idx) || '</sitemapindex>\n' AS xml FROM f)
+    SELECT xml, '/maps/' AS folder FROM x"""
+)
+def sitemap_index(spark, d):
+    files = page_locs(spark, d).select("file_idx", "source_file").distinct()
+    made = writers.index_document(files, "https://example.com/", "maps", F.lit("2024-02-03").cast("date"))
+    return made.withColumn("folder", writers.index_folder(F.col("xml")))
+
+
+@query(
+    """SELECT page_id AS file_idx, 'n' || (page_id % 7) || '.xml' AS filename, CASE WHEN rn = 1 THEN 'n' || k || '.xml' ELSE 'n' || k || '-' || rn || '.xml' END AS output_name
+    FROM (SELECT page_id, page_id % 7 AS k, row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS rn FROM pages)"""
+)
+def output_names(spark, d):
+    files = read(spark, d, "pages").select(F.col("page_id").alias("file_idx"), F.concat(F.lit("n"), (F.col("page_id") % 7).cast("string"), F.lit(".xml")).alias("filename"))
+    return cleaning.output_names(files)
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT 'r' || (page_id % 5) AS run_id, page_id // 5 AS batch FROM pages WHERE page_id % 3 <> 0), r AS (SELECT run_id, max(batch) + 2 AS n FROM a GROUP BY run_id)
+    SELECT run_id, b AS batch FROM (SELECT run_id, unnest(range(0, n)) AS b FROM r) x WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.run_id = x.run_id AND a.batch = x.b)"""
+)
+def missing_batches(spark, d):
+    p = read(spark, d, "pages").where("page_id % 3 <> 0")
+    attempts = p.select(F.concat(F.lit("r"), (F.col("page_id") % 5).cast("string")).alias("run_id"), F.floor(F.col("page_id") / 5).alias("batch")).distinct()
+    return cleaning.missing_batches(attempts, attempts.groupBy("run_id").agg((F.max("batch") + 2).alias("total_batches")))
+
+
+@query(
+    """WITH a AS (SELECT 'r' || (page_id % 5) AS run_id, page_id // 20 AS batch, page_id % 3 AS attempt, page_id FROM pages)
+    SELECT run_id, batch, attempt, page_id FROM a QUALIFY attempt = max(attempt) OVER (PARTITION BY run_id, batch)"""
+)
+def latest_batches(spark, d):
+    p = read(spark, d, "pages")
+    return cleaning.latest_batches(
+        p.select(F.concat(F.lit("r"), (F.col("page_id") % 5).cast("string")).alias("run_id"), F.floor(F.col("page_id") / 20).alias("batch"), (F.col("page_id") % 3).alias("attempt"), "page_id")
+    )
+
+
+@query(
+    f"""WITH {FACTS}, k AS (SELECT source_file, segs FROM facts), z AS (SELECT source_file, min(len(segs)) AS a, max(len(segs)) AS b FROM k GROUP BY source_file),
+    s AS (SELECT source_file, unnest(segs) AS seg, unnest(range(0, len(segs))) AS pos FROM k), c AS (SELECT source_file, pos, CASE WHEN min(seg) = max(seg) THEN min(seg) ELSE '{{param}}' END AS t FROM s GROUP BY ALL)
+    SELECT source_file, CASE WHEN a = b THEN '/' || (SELECT string_agg(t, '/' ORDER BY pos) FROM c WHERE c.source_file = z.source_file) END AS template FROM z"""
+)
+def common_pattern(spark, d):
+    return patterns.common_pattern(patterns.url_facts(page_locs(spark, d)), "source_file")
+
+
+@query("SELECT page_id, CAST(ceil((page_id + 1) / 200.0) AS INTEGER) AS batch, lower(regexp_extract(html, '(?i)<([a-z]+)[ >]', 1)) AS root, regexp_matches(lower(ltrim(html)), '^<(!doctype|html)') AS tag_soup FROM pages")
+def page_peek(spark, d):
+    p = read(spark, d, "pages")
+    return p.select("page_id", (rules.chunk(F.col("page_id"), 200) + 1).alias("batch"), readers.peek_root(F.col("html")).alias("root"), readers.is_tag_soup(F.col("html")).alias("tag_soup"))
