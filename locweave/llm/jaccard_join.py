@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .columns import ship, table, written
+from .columns import release_memory, ship, table, written
 from .components import components
 
 #: A link needs 100 * overlap >= PERCENT * union.
@@ -123,6 +123,7 @@ def _spread(docs: DataFrame, text_col: str, size: int, fragments: int) -> DataFr
                     flat = np.concatenate(list(new.values()))
                     owner = np.repeat(np.arange(len(new)), lengths)
                     yield _pack(_deal(_fragment(flat, fragments), owner, flat, None, np.fromiter(new, np.int64, len(new)), lengths))
+        release_memory()
 
     return docs.select(F.col(text_col)).mapInArrow(run, PACK)
 
@@ -150,6 +151,8 @@ def _shared(spread: DataFrame, fragments: int, targets: int) -> DataFrame:
             if len(owner):
                 target = (keys[owner] % targets).astype(np.int64)
                 yield _pack(_deal(target, owner, hashes, held, keys, sizes))
+            del kinds, rows, owner, hashes, held, order, keep, many
+        release_memory()
 
     return spread.repartitionById(fragments, F.col("cell").cast("int")).mapInArrow(run, PACK)
 

@@ -9,9 +9,10 @@ to sequences whose lengths are powers of two, which need no padding either.
 
 from __future__ import annotations
 
+import gc
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .columns import ship, table
+from .columns import release_memory, ship, table
 
 CAPACITY = 1024
 #: Encoded words a task keeps at most before it starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
+#: Words that the tokenizer gets at a time; its results are far larger than the ids that are kept of them.
+BATCH_WORDS = 8192
 #: Rows an Arrow batch hands on at most.
 OUT_ROWS = 50_000
 
@@ -41,6 +44,9 @@ BLOCK_CHARS = 3_000_000
 #: words, and characters beyond Latin letters. There a blank always opens a new word of the tokenizer.
 ODD = "[\\s\x0b][\\s\x0b]|^[\\s\x0b]|[\\s\x0b]$|[\t\x0b\x0c\r\x1c-\x1f\u0085\u00a0\u0250-\U0010ffff]|<\\|endoftext\\|>"
 
+#: Marks a word that has no blank before it; no plain text has it.
+GLUE = "\x1c"
+
 #: Encoded words by tokenizer file, kept while the Python worker lives.
 KNOWN: dict[str, dict[str, bytes]] = {}
 MODELS: dict[str, object] = {}
@@ -58,7 +64,16 @@ class Encoder:
         self.model, self.known = MODELS[path], KNOWN[path]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        enabled = gc.isenabled()
+        gc.disable()  # a great many small objects come and go here, none of them in cycles
+        try:
+            out: list[bytes] = []
+            for i in range(0, len(texts), BATCH_WORDS):
+                out += [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts[i : i + BATCH_WORDS], add_special_tokens=False)]
+            return out
+        finally:
+            if enabled:
+                gc.enable()
 
     def _words(self, words: list[str]) -> list[bytes]:
         known = self.known
@@ -81,7 +96,9 @@ class Encoder:
         plain = np.flatnonzero(~odd)
         if not len(plain):
             return out
-        lines = pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n ")
+        # Line ends, and a stop or comma that ends a word, are words of their own to the tokenizer.
+        lines = pc.replace_substring_regex(texts.take(pa.array(plain)), r"([\pL\pN])([.,])([ \n]|$)", " ".join([r"\1", GLUE + r"\2\3"]))
+        lines = pc.replace_substring(lines, "\n", " \n ")
         split = pc.split_pattern(lines, " ")
         counts = pc.list_value_length(split).to_numpy()
         words = split.flatten().dictionary_encode()
@@ -92,7 +109,7 @@ class Encoder:
         bare[np.concatenate([[0], np.cumsum(counts)[:-1]])] = True
         code = index.astype(np.int64) * 2 + bare
         used = np.flatnonzero(np.bincount(code, minlength=2 * len(names)))
-        coded = self._words([names[c >> 1] if c & 1 else " " + names[c >> 1] for c in used.tolist()])
+        coded = self._words([(names[c >> 1] if c & 1 else " " + names[c >> 1]).removeprefix(" " + GLUE).removeprefix(GLUE) for c in used.tolist()])
         size = np.zeros(2 * len(names), np.int64)
         size[used] = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         begin = np.zeros(2 * len(names), np.int64)
@@ -169,6 +186,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         encoder = Encoder(tokenizer)
         bins = Bins(capacity, TaskContext.get().partitionId() << 33)
         schema = pa.schema([pa.field(f.name, pa.int64()) for f in PIECES])
@@ -194,6 +212,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         out += bins.rest()
         if out:
             yield flush(out)
+        release_memory()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, PIECES)
 
