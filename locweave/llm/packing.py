@@ -47,6 +47,10 @@ ODD = "[\\s\x0b][\\s\x0b]|^[\\s\x0b]|[\\s\x0b]$|[\t\x0b\x0c\r\x1c-\x1f\u0085\u00
 #: Marks a word that has no blank before it; no plain text has it.
 GLUE = "\x1c"
 
+# Byte-level vocabularies write a byte as itself where it prints, else as a letter from U+0100 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 #: Encoded words by tokenizer file, kept while the Python worker lives.
 KNOWN: dict[str, dict[str, bytes]] = {}
 MODELS: dict[str, object] = {}
@@ -62,6 +66,7 @@ class Encoder:
         if path not in MODELS:
             MODELS[path], KNOWN[path] = Tokenizer.from_file(path), {}
         self.model, self.known = MODELS[path], KNOWN[path]
+        self.merge = self.model.model.tokenize
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         enabled = gc.isenabled()
@@ -79,10 +84,15 @@ class Encoder:
         known = self.known
         coded = [known.get(w) for w in words]
         missing = [i for i, c in enumerate(coded) if c is None]
-        for i, c in zip(missing, self._encode([words[i] for i in missing]), strict=True):
+        # A word of letters is one piece to the model; the others go through the splitter first.
+        letters = [i for i in missing if words[i].removeprefix(" ").isalpha()]
+        others = [i for i in missing if not words[i].removeprefix(" ").isalpha()]
+        for i in letters:
+            coded[i] = array("I", [t.id for t in self.merge(words[i].encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+        for i, c in zip(others, self._encode([words[i] for i in others]), strict=True):
             coded[i] = c
-            if len(known) < CACHE_WORDS:
-                known[words[i]] = c
+        for i in missing[: max(0, CACHE_WORDS - len(known))]:
+            known[words[i]] = coded[i]
         return coded
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
