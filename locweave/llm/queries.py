@@ -21,4 +21,5 @@ ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op3_decontamination": decontamination.OP3_SQL,
     "op5_chat_format": chat.OP5_SQL,
+    "op7_jaccard_join": jaccard_join.OP7_SQL,
 }
