@@ -36,8 +36,12 @@ ENDS_SELF = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 #: Words in classes, ids and roles of what is not the article.
 NOT_ARTICLE = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|rail|widget\w*|comments?|commentlist|respond|replies|disqus|discussion|cookies?|consent|gdpr|notices?|notification\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|search\w*|footer\w*|footnav|masthead|header|topbar|contentinfo|complementary|skip\w*|tags?|tagcloud|hidden|paywall)(?:$|[^a-z])"
+    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|comments?|commentlist|respond|replies|disqus|discussion|cookies?|consent|gdpr|notices?|notification\w*|alerts?|popup\w*|modal\w*|newsletter\w*|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|search\w*|footer\w*|footnav|masthead|topbar|contentinfo|complementary|skip|tagcloud|paywall|(?:site|page|top|global)[-_]?header|widget[-_]?area)(?:$|[^a-z])"
 )
+#: The same for words that are only so when they stand alone.
+NOT_ARTICLE_ALONE = {"header", "side", "rail", "tags", "hidden", "overlay", "widget", "widgets", "banner"}
+#: An article is set apart by these only.
+NOT_THE_ARTICLE = re.compile(r"(?:^|[^a-z])(?:comments?|advert\w*|sponsor\w*|promo\w*|related\w*|teasers?)(?:$|[^a-z])")
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*(?:>.*?(?:</(?P=raw)\s*(?:>|\Z)|\Z)|\Z)"
@@ -73,7 +77,10 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind in ("class", "id"):
             names += re.sub(r"[0-9]+", "", value).split()[:3]
-            away |= bool(NOT_ARTICLE.search(value))
+            if tag in ("article", "main"):
+                away |= bool(NOT_THE_ARTICLE.search(value))
+            else:
+                away |= bool(NOT_ARTICLE.search(value)) or not NOT_ARTICLE_ALONE.isdisjoint(value.split())
         elif kind == "role":
             away |= bool(NOT_ARTICLE.search(value)) or value == "dialog"
         elif kind == "style":

@@ -20,6 +20,11 @@ def test_odd_pages(source, text):
     assert he.extract(source, None) == text
 
 
+def test_classes_that_only_look_like_menus():
+    page = '<body><div class="overflow-hidden"><article class="post tag-news sidebar-none"><div class="entry-header"><h1>Title</h1></div><p>Some text of it.</p></article><div class="side hidden"><p>no</p></div></div></body>'
+    assert he.extract(page, None) == "Title\nSome text of it."
+
+
 def test_hosts_vote(spark):
     page = lambda i: f"<html><body><div class='box{i}'><p>{'real text of the page, long enough ' * 5}{i}</p></div>{'<div class=other><p>' + 'noise ' * 40 + '</p></div>' if i == 3 else ''}</body></html>"
     rows = [(i, "https://E.com:80/p", page(i), "x") for i in range(9)] + [(20, None, None, "x"), (21, "junk", "", "x"), (0, "https://e.com/p", page(0), "x")]
