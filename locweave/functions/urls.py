@@ -18,15 +18,25 @@ def part(url: Column, which: int) -> Column:
     return F.regexp_extract(url, SPLIT, which)
 
 
+def head(url: Column) -> Column:
+    """Scheme and host as they are written, empty for what is not a URL."""
+    return F.regexp_extract(url, r"^(?i)https?://[^/?#]+", 0)
+
+
 def is_url(url: Column) -> Column:
-    return F.coalesce(url.rlike(SPLIT), F.lit(False)) & (part(url, HOST) != "")
+    return F.coalesce(url.rlike(r"^(?i)https?://[^/?#]"), F.lit(False))
+
+
+def origin(url: Column) -> Column:
+    """Scheme and host in lower case, without user and the scheme's own port; empty for what is not a URL."""
+    low = F.lower(head(url))
+    odd = F.regexp_replace(F.regexp_replace(low, r"^(https?://)[^@]*@", "$1"), r"^(?:(http://[^:]*):80|(https://[^:]*):443)$", "$1$2")
+    return F.when(F.length(F.translate(low, "@:", "")) < F.length(low) - 1, odd).otherwise(low)
 
 
 def host(url: Column) -> Column:
     """The host in lower case with a port other than the scheme's own; null for what is not a URL."""
-    bare = F.regexp_replace(F.lower(part(url, HOST)), r"^[^@]*@", "")
-    own = F.when(F.lower(part(url, SCHEME)) == "https", F.regexp_replace(bare, ":443$", "")).otherwise(F.regexp_replace(bare, ":80$", ""))
-    return F.when(is_url(url), own)
+    return F.nullif(F.regexp_replace(origin(url), "^https?://", ""), F.lit(""))
 
 
 def normalize_host(name: Column) -> Column:
@@ -44,9 +54,13 @@ def same_domain(detected: Column, expected: Column) -> Column:
     return (detected == expected) | F.endswith(detected, F.concat(F.lit("."), expected))
 
 
+def _path(url: Column) -> Column:
+    return F.regexp_extract(url, r"^(?i)https?://[^/?#]+([^?#]*)", 1)
+
+
 def path(url: Column) -> Column:
     """The path of a URL, at least a slash."""
-    return F.when(is_url(url), F.coalesce(F.nullif(part(url, PATH), F.lit("")), F.lit("/")))
+    return F.when(is_url(url), F.coalesce(F.nullif(_path(url), F.lit("")), F.lit("/")))
 
 
 def dedup_key(url: Column, keep_query: bool = False) -> Column:
@@ -55,10 +69,9 @@ def dedup_key(url: Column, keep_query: bool = False) -> Column:
     Query and fragment do not count, unless the query is asked for. What is not a URL is its own key,
     trimmed and in lower case.
     """
-    p = path(url)
-    stem = F.when(F.length(p) > 1, F.regexp_replace(p, "/$", "")).otherwise(p)
+    stem = F.regexp_replace(F.concat(_path(url), F.lit("/")), "(?<=.)//?$|^/$", "")
     query = part(url, QUERY) if keep_query else F.lit("")
-    return F.coalesce(F.concat(F.lower(part(url, SCHEME)), F.lit("://"), F.when(is_url(url), host(url)), stem, query), F.lower(F.trim(url)))
+    return F.when(is_url(url), F.concat(origin(url), F.when(stem == "", "/").otherwise(stem), query)).otherwise(F.lower(F.trim(url)))
 
 
 def segments(p: Column) -> Column:
