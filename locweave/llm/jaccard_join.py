@@ -30,7 +30,7 @@ from .components import components
 #: A link needs 100 * overlap >= PERCENT * union.
 PERCENT = 75
 #: Hashes that one fragment holds about; it is what a task sorts in memory.
-FRAGMENT_HASHES = 4_000_000
+FRAGMENT_HASHES = 2_500_000
 #: Pairs that one cell of a verification holds about.
 CELL_PAIRS = 1_000_000
 #: Holders that the others of a prefix n-gram are compared with in one turn, after the first.
@@ -63,6 +63,14 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[int, list[tupl
     return out
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[tuple]]]]:
+    """The cells of a partition one after the other, each let go when the next is asked for."""
+    held = _grouped(batches)
+    while held:
+        yield held.popitem()
+    release_memory()
+
+
 def _column(rows: list[tuple], k: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(r[k] for r in rows), kind)
 
@@ -132,27 +140,26 @@ def _shared(spread: DataFrame, fragments: int, targets: int) -> DataFrame:
     """Of each fragment, the n-grams with two holders or more, with their number, dealt out by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kinds in _grouped(batches).values():
+        for _, kinds in _cells(batches):
             rows = kinds[0]
             keys, sizes, counts, hashes = (_column(rows, k, t) for k, t in enumerate(("<i8", "<i4", "<i4", "<u8")))
             # The same set can come from several tasks; the first is taken.
+            kinds.clear(), rows.clear()
             first = np.zeros(len(keys), bool)
             first[np.unique(keys, return_index=True)[1]] = True
-            owner = np.repeat(np.arange(len(keys)), counts)
+            owner = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
             keep = first[owner]
             owner, hashes = owner[keep], hashes[keep]
             order = np.argsort(hashes, kind="stable")
             owner, hashes = owner[order], hashes[order]
             new = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-            held = np.diff(np.append(new, len(hashes)))
+            held = np.diff(np.append(new, len(hashes))).astype(np.int32)
             held = np.repeat(held, held)
             many = held > 1
             owner, hashes, held = owner[many], hashes[many], held[many]
             if len(owner):
                 target = (keys[owner] % targets).astype(np.int64)
                 yield _pack(_deal(target, owner, hashes, held, keys, sizes))
-            del kinds, rows, owner, hashes, held, order, keep, many
-        release_memory()
 
     return spread.repartitionById(fragments, F.col("cell").cast("int")).mapInArrow(run, PACK)
 
@@ -161,7 +168,7 @@ def _alive(shared: DataFrame, targets: int, percent: int) -> DataFrame:
     """The sets that can have a partner: key, n, hashes (the shared ones, rare first), prefix (how many of them find partners)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kinds in _grouped(batches).values():
+        for _, kinds in _cells(batches):
             rows = kinds[0]
             keys, sizes, counts, hashes, held = (_column(rows, k, t) for k, t in enumerate(("<i8", "<i4", "<i4", "<u8", "<i4")))
             names, at = np.unique(keys, return_inverse=True)
@@ -296,7 +303,7 @@ def _links(alive: DataFrame, packs: DataFrame, parts: int, fragments: int, perce
                 yield _pack([(part * fragments + f, 1, np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")) for f in range(fragments)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, kinds in _grouped(batches).items():
+        for cell, kinds in _cells(batches):
             if 0 not in kinds or 1 not in kinds:
                 continue
             names, sizes, counts, hashes = (_column(kinds[0], k, t) for k, t in enumerate(("<i8", "<i4", "<i4", "<u8")))
@@ -328,7 +335,7 @@ def _links(alive: DataFrame, packs: DataFrame, parts: int, fragments: int, perce
             )
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kinds in _grouped(batches).values():
+        for _, kinds in _cells(batches):
             a, b, both, common = (_column(kinds[2], k, "<i8") for k in range(4))
             order = np.lexsort((b, a))
             a, b, both, common = a[order], b[order], both[order], common[order]

@@ -26,7 +26,7 @@ from .columns import release_memory, ship, table
 
 CAPACITY = 1024
 #: Encoded words a task keeps at most before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Words that the tokenizer gets at a time; its results are far larger than the ids that are kept of them.
 BATCH_WORDS = 8192
 #: Rows an Arrow batch hands on at most.
