@@ -2,12 +2,15 @@
 
 A count is kept as the number of powers of BASE it reaches. An n-gram that reaches q of them is put
 into the filter q times, as (n-gram, 1) to (n-gram, q), and read by asking for one after the other until
-an answer is no. Only the bits are broadcast. The filter is cut into cells by the hash of the n-gram:
-the task that sums a cell's counts also sets that cell's bits, so no bits of different tasks are merged.
-
-The base score needs exact counts. Those of frequent words are broadcast with the filter, the same
-number of them whatever the corpus; a text's other words are sent to the cell that counted them and come
-back as sums.
+an answer is no. The
+filter has a bit for each byte of text to learn from, and is cut into cells: the task that sums a cell's
+counts also sets that cell's bits, so no bits of different tasks are merged, and texts ask the cells by a
+shuffle, so that no worker holds more than one cell.
+
+What is broadcast has a bound whatever the corpus: exact counts of frequent words and bigrams. A bigram
+whose last word is frequent is in the cell of its own hash, any other in the cell of that word, which so
+knows all that a token's score needs. The base score needs exact counts of all words; those of words that
+are not frequent come back from their cells as sums.
 """
 
 from __future__ import annotations
@@ -24,16 +27,18 @@ from pyspark.sql import functions as F
 from . import shingles as sh
 from .columns import ship, table, written
 
-#: The filter has a bit for each byte of text to learn from, at most this many: 64 MB to each worker.
-MAX_BITS = 1 << 29
+#: The filter has a bit for each byte of text to learn from, and this many at least.
 MIN_BITS = 1 << 20
 HASHES = 2
 BASE = 1.5
 MAX_LEVEL = 64
 #: Weight of the unigram estimate, in counts.
 PRIOR = 4.0
-#: Frequent words with exact counts in the broadcast: 16 bytes each.
+#: Frequent words and bigrams with exact counts in the broadcast: 16 bytes each.
 HOT_WORDS = 1 << 18
+HOT_PAIRS = 1 << 18
+#: Bytes of text that the frequent ones are chosen from. The choice decides where counts are kept, not what they are.
+SAMPLE_BYTES = 16 << 20
 #: Bytes of text that a cell's counts come from about.
 CELL_BYTES = 32 << 20
 #: Tokens whose n-grams a task sums before it sends them.
@@ -42,7 +47,7 @@ GATHER_TOKENS = 5_000_000
 END = np.uint64(0x9E3779B97F4A7C15)
 PACK = "cell long, kind int, a binary, b binary, c binary, d binary"
 _PACK = pa.schema([("cell", pa.int64()), ("kind", pa.int32()), *[(x, pa.binary()) for x in "abcd"]])
-COUNTS, RARE, TEXTS = 0, 1, 2
+COUNTS, RARE, TEXTS, PAIRS = 0, 1, 2, 3
 
 
 def _pack(rows: list[tuple]) -> pa.RecordBatch:
@@ -129,53 +134,87 @@ def trained_on(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 != 1
 
 
+def found(names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each asked one is among the sorted names, and its place there."""
+    if not len(names):
+        return np.zeros(len(asked), bool), np.zeros(len(asked), np.int64)
+    place = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+    return names[place] == asked, place
+
+
+def home(pairs: np.ndarray, last: np.ndarray, hot: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of each bigram: that of its last word, or of its own hash where that word is frequent."""
+    return cell_of(np.where(found(hot, last)[0], pairs, last), cells)
+
+
 class Model:
-    """What a worker needs to score: bits, totals and the frequent words' exact counts."""
+    """What a worker needs to ask the cells: totals and the exact counts of frequent words and bigrams."""
 
-    def __init__(self, bits: np.ndarray, cells: int, cell_bits: int, total: int, kinds: int, hot: np.ndarray, hot_counts: np.ndarray):
-        self.bits, self.cells, self.cell_bits = bits, cells, cell_bits
-        self.total, self.kinds, self.hot, self.hot_counts = total, kinds, hot, hot_counts
+    def __init__(self, cells: int, cell_bits: int, total: int, kinds: int, hot: np.ndarray, hot_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
+        self.cells, self.cell_bits, self.total, self.kinds = cells, cell_bits, total, kinds
+        self.hot, self.hot_counts, self.hot_levels = hot, hot_counts, levels(hot_counts).astype(np.uint8)
+        self.pairs, self.pair_levels = pairs, levels(pair_counts).astype(np.uint8)
+        # log10 of a token's probability is a part for the levels of the token and its bigram, less one for that of its context.
+        uni = (MEAN + 0.5) / (total + 0.5 * (kinds + 1))
+        self.parts = np.log10(np.minimum(MEAN[:, None], MEAN[None, :]) + PRIOR * uni[:, None]).ravel()
+        self.context = np.log10(MEAN + PRIOR)
 
     @property
     def norm(self) -> float:
         return math.log10(self.total + 0.5 * (self.kinds + 1))
 
-    def logs(self, hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after the one before it."""
-        names, at = np.unique(hashes, return_inverse=True)
-        single = MEAN[probed(self.bits, names, self.cells, self.cell_bits)]
-        own = single[at]
-        # A context's count: the end's stands at every start of a text.
-        context = np.empty(len(own))
-        if len(own):
-            place = np.searchsorted(names, before)
-            place[place == len(names)] = 0
-            context = np.where(names[place] == before, single[place], 0.0)
-        pairs = np.zeros(len(own))
-        known = np.flatnonzero((own > 0) & (context > 0))
-        seen = MEAN[probed(self.bits, bigrams(hashes[known], before[known]), self.cells, self.cell_bits)]
-        pairs[known] = np.minimum(seen, np.minimum(own[known], context[known]))
-        uni = (own + 0.5) / (self.total + 0.5 * (self.kinds + 1))
-        return np.log10((pairs + PRIOR * uni) / (context + PRIOR))
-
-
-def learn(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS) -> tuple[Model, DataFrame]:
-    """The model of all rows of docs, and the exact counts of all words by cell (cell, a: hashes, b: counts)."""
+
+def code(own: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The place in Model.parts for the levels of a token and of its bigram."""
+    return own.astype(np.int64) * len(MEAN) + seen
+
+
+def frequent(texts: DataFrame, size: int) -> list[np.ndarray]:
+    """The sorted hashes of frequent words and of frequent bigrams, by a sample with a bound."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            column = batch.column(0)
+            for i, j in sh.blocks(column):
+                h, before, _ = tokens(column.slice(i, j - i))
+                held.append((h, bigrams(h, before)))
+        if held:
+            yield _pack([(0, kind, *(x.astype("<i8") for x in np.unique(np.concatenate(flat), return_counts=True))) for kind, flat in enumerate(zip(*held, strict=True))])
+
+    part = texts if size <= SAMPLE_BYTES else texts.sample(SAMPLE_BYTES / size, seed=1)
+    rows = part.mapInArrow(count, PACK).select("kind", "a", "b").collect()
+    out = []
+    for kind, most in enumerate((HOT_WORDS, HOT_PAIRS)):
+        mine = [(r["a"], r["b"]) for r in rows if r["kind"] == kind]
+        names, at = np.unique(_join(mine, 0, "<u8"), return_inverse=True)
+        n = np.bincount(at, _join(mine, 1, "<i8"), len(names))
+        out.append(np.sort(names[np.argsort(-n, kind="stable")[:most]]))
+    return out
+
+
+def learn(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model of all rows of docs, and by cell the exact counts of all words and the filter (cell, a: hashes, b: counts, bits)."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("body"))
     size = texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    bits = max(MIN_BITS, min(max_bits, 1 << max(0, size - 1).bit_length()))
+    bits = max(MIN_BITS, 1 << max(0, size - 1).bit_length())
     cells = min(bits // 64, 1 << max(4, max(0, size // CELL_BYTES - 1).bit_length()))
     cell_bits = bits // cells
+    chosen = docs.sparkSession.sparkContext.broadcast(frequent(texts, size))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def send() -> pa.RecordBatch:
             rows = []
-            for kind, flat in enumerate(np.concatenate(x) for x in zip(*held, strict=True)):
-                names, n = np.unique(flat, return_counts=True)  # sorted, and so in the order of cells
-                edges = np.searchsorted(cell_of(names, cells), np.arange(cells + 1))
+            words, pairs = (np.concatenate(x) for x in zip(*held, strict=True))
+            for kind, flat in enumerate((words, pairs)):
+                names, first, n = np.unique(flat, return_index=True, return_counts=True)
+                cell = cell_of(names, cells) if kind == 0 else home(names, words[first], chosen.value[0], cells)
+                order = np.argsort(cell, kind="stable")
+                names, n = names[order], n[order]
+                edges = np.searchsorted(cell[order], np.arange(cells + 1))
                 rows += [(c, kind, names[i:j].astype("<u8"), n[i:j].astype("<i8")) for c, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
             held.clear()
             return _pack(rows)
@@ -190,8 +229,8 @@ def learn(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS) ->
         if held:
             yield send()
 
-    hot_here = max(1, HOT_WORDS // cells)
-    made = pa.schema([("cell", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("bits", pa.binary()), ("hot", pa.binary()), ("hot_counts", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64())])
+    blobs_made = ("a", "b", "bits", "hot", "hot_counts", "hot_pairs", "pair_counts")
+    made = pa.schema([("cell", pa.int64()), *[(x, pa.binary()) for x in blobs_made], ("total", pa.int64()), ("kinds", pa.int64())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, kinds in _read(batches).items():
@@ -202,27 +241,21 @@ def learn(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS) ->
                 names, at = np.unique(flat, return_inverse=True)
                 parts.append((names, np.bincount(at, n, len(names)).astype(np.int64)))
             (words, counts), (pairs, pair_counts) = parts
-            slice_ = filled(np.concatenate([words, pairs]), levels(np.concatenate([counts, pair_counts])), cell, cells, cell_bits)
-            top = np.argsort(-counts, kind="stable")[:hot_here]
-            blobs = [words.astype("<u8"), counts.astype("<i8"), slice_, words[top].astype("<u8"), counts[top].astype("<i8")]
+            slice_ = filled(np.concatenate([words, pairs]), levels(np.concatenate([counts, pair_counts])), 0, 1, cell_bits)
+            hot, hot_pairs = (found(names, x)[0] for names, x in zip(chosen.value, (words, pairs), strict=True))
+            blobs = [words.astype("<u8"), counts.astype("<i8"), slice_, words[hot].astype("<u8"), counts[hot].astype("<i8"), pairs[hot_pairs].astype("<u8"), pair_counts[hot_pairs].astype("<i8")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([cell]), *[pa.array([x.tobytes()], pa.binary()) for x in blobs], pa.array([int(counts.sum())]), pa.array([len(words)])], schema=made
             )
 
     packed = texts.mapInArrow(gather, PACK).repartitionById(cells, F.col("cell").cast("int"))
-    counted = written(packed.mapInArrow(build, "cell long, a binary, b binary, bits binary, hot binary, hot_counts binary, total long, kinds long"), "lm-cells")
-    # What comes to the driver has a bound: the filter's bits and HOT_WORDS words.
-    whole = np.zeros(bits // 8, np.uint8)
-    hot, hot_counts, total, kinds = [np.zeros(0, "<u8")], [np.zeros(0, "<i8")], 0, 0
-    for row in counted.select("cell", "bits", "hot", "hot_counts", "total", "kinds").toLocalIterator():
-        start = row["cell"] * cell_bits // 8
-        whole[start : start + cell_bits // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
-        hot.append(np.frombuffer(bytes(row["hot"]), "<u8"))
-        hot_counts.append(np.frombuffer(bytes(row["hot_counts"]), "<i8"))
-        total, kinds = total + row["total"], kinds + row["kinds"]
-    names, n = np.concatenate(hot), np.concatenate(hot_counts)
-    order = np.argsort(names)
-    return Model(whole, cells, cell_bits, total, kinds, names[order], n[order]), counted.select("cell", "a", "b")
+    counted = written(packed.mapInArrow(build, f"cell long, {', '.join(f'{x} binary' for x in blobs_made)}, total long, kinds long"), "lm-cells")
+    # What comes to the driver has a bound: HOT_WORDS words, HOT_PAIRS bigrams and two numbers a cell.
+    rows = counted.select(*blobs_made[3:], "total", "kinds").collect()
+    hot, hot_counts, pairs, pair_counts = (_join([tuple(r) for r in rows], k, kind) for k, kind in enumerate(("<u8", "<i8") * 2))
+    by, by_pair = np.argsort(hot), np.argsort(pairs)
+    model = Model(cells, cell_bits, sum(r["total"] for r in rows), sum(r["kinds"] for r in rows), hot[by], hot_counts[by], pairs[by_pair], pair_counts[by_pair])
+    return model, counted.select("cell", "a", "b", "bits")
 
 
 def scores(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,60 +273,83 @@ def scores(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        row = TaskContext.get().partitionId() << 33
-        turn = 0
+        part = TaskContext.get().partitionId()
+        row, turn = part << 33, part * 31
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for i, j in sh.blocks(column):
                 h, before, n = tokens(column.slice(i, j - i))
+                pairs = bigrams(h, before)
                 starts = np.cumsum(n) - n
-                owner = np.repeat(np.arange(len(n)), n)
-                score = np.add.reduceat(own.logs(h, before), starts)
-                place = np.minimum(np.searchsorted(own.hot, h), max(0, len(own.hot) - 1))
-                is_hot = own.hot[place] == h if len(own.hot) else np.zeros(len(h), bool)
-                exact = np.where(is_hot, np.log10(own.hot_counts[place] + 0.5), 0.0) if len(own.hot) else np.zeros(len(h))
+                owner = np.repeat(np.arange(len(n), dtype="<u4"), n)
+                is_hot, place = found(own.hot, h)
+                hot_place = place[is_hot]
+                exact, score, level = np.zeros(len(h)), np.zeros(len(h)), np.zeros(len(h), np.uint8)
+                exact[is_hot], level[is_hot] = np.log10(own.hot_counts[hot_place] + 0.5), own.hot_levels[hot_place]
+                # Each token is the context of one: the next, or its text's first where it is the end.
+                score[is_hot] = -own.context[level[is_hot]]
+                here, place = found(own.pairs, pairs)
+                here &= is_hot
+                score[here] += own.parts[code(level[here], own.pair_levels[place[here]])]
                 base = np.add.reduceat(exact, starts) - n * norm
                 known = np.bincount(owner, is_hot, len(n)).astype("<i8")
                 rows = np.arange(row, row + len(n))
+                # All of a block's rows are finished by the same task.
+                head = np.array([row, turn % targets], "<i8")
                 row += len(n)
-                packs = []
                 doc = np.array([(0, 1) if x is None else (x, 0) for x in ids.slice(i, j - i).to_pylist()], "<i8").reshape(-1, 2)
-                for t in range(min(targets, len(n))):
-                    mine = np.flatnonzero(rows % targets == (rows[0] + t) % targets)
-                    table_ = np.column_stack([rows[mine], doc[mine], n[mine], known[mine]]).astype("<i8")
-                    packs.append((turn % cells, TEXTS, np.array([rows[mine[0]] % targets], "<i8"), table_, np.column_stack([base[mine], score[mine]]).astype("<f8")))
-                    turn += 1
-                rare = ~is_hot
-                rare_h, rare_o = h[rare], owner[rare]
-                order = np.argsort(rare_h)
-                rare_h, rare_o = rare_h[order], rare_o[order]
-                edges = np.searchsorted(cell_of(rare_h, cells), np.arange(cells + 1))
-                packs += [(c, RARE, rare_h[a:b].astype("<u8"), rows[rare_o[a:b]].astype("<i8")) for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+                table_ = np.column_stack([rows, doc, n, known]).astype("<i8")
+                packs = [(turn % cells, TEXTS, head, table_, np.column_stack([base, np.add.reduceat(score, starts)]).astype("<f8"))]
+                turn += 1
+                for kind, asked, by in ((RARE, ~is_hot, h), (PAIRS, is_hot & ~here, pairs)):
+                    at = np.flatnonzero(asked)
+                    cell = cell_of(by[at], cells).astype(np.uint16 if cells <= 1 << 16 else np.int64)
+                    order = np.argsort(cell, kind="stable")
+                    at, edges = at[order], np.searchsorted(cell[order], np.arange(cells + 1))
+                    third = (h if kind == RARE else level)[at]
+                    first, second = pairs[at], owner[at]
+                    packs += [(c, kind, head, first[a:b].astype("<u8"), second[a:b], third[a:b]) for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
                 yield _pack(packs)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for kinds in _read(batches).values():
-            for target, *blobs in kinds.get(TEXTS, []):
-                yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(target, "<i8")[0])]), pa.array([TEXTS], pa.int32()), *[pa.array([b], pa.binary()) for b in (*blobs, b"")]], schema=_PACK)
-            if RARE in kinds:
-                words, n = (_join(kinds.get(COUNTS, []), k, t) for k, t in enumerate(("<u8", "<i8")))
-                asked, rows = (_join(kinds[RARE], k, t) for k, t in enumerate(("<u8", "<i8")))
+            out = [(int(np.frombuffer(head, "<i8")[1]), TEXTS, np.frombuffer(table_, "<i8"), np.frombuffer(values, "<f8")) for head, table_, values, _ in kinds.get(TEXTS, [])]
+            stored = kinds.get(COUNTS, [])
+            bits = np.frombuffer(stored[0][2], np.uint8) if stored else np.zeros(own.cell_bits // 8, np.uint8)
+            for kind in (RARE, PAIRS):
+                packs = kinds.get(kind, [])
+                if not packs:
+                    continue
+                seen = probed(bits, _join(packs, 1, "<u8"), 1, own.cell_bits)
+                sizes = np.array([len(r[2]) // 4 for r in packs])
+                edges = np.concatenate([[0], np.cumsum(sizes)])
+                if kind == PAIRS:
+                    codes = code(_join(packs, 3, np.uint8), seen).astype("<u2")
+                    for r, a, b in zip(packs, edges, edges[1:], strict=False):
+                        head = np.frombuffer(r[0], "<i8")
+                        out.append((int(head[1]), PAIRS, np.frombuffer(r[2], "<u4"), codes[a:b], head[:1]))
+                    continue
+                asked = _join(packs, 3, "<u8")
+                words, n = (_join(stored, k, t) for k, t in enumerate(("<u8", "<i8")))
                 order = np.argsort(words)
-                words, n = words[order], n[order]
-                count = np.zeros(len(asked))
-                if len(words):
-                    place = np.minimum(np.searchsorted(words, asked), len(words) - 1)
-                    count = np.where(words[place] == asked, n[place], 0)
-                names, at = np.unique(rows, return_inverse=True)
-                logs, known = np.bincount(at, np.log10(count + 0.5), len(names)), np.bincount(at, count > 0, len(names))
-                target = names % targets
+                is_known, place = found(words[order], asked)
+                count = np.where(is_known, n[order][place], 0) if len(n) else np.zeros(len(asked))
+                level = probed(bits, asked, 1, own.cell_bits)
+                heads = np.array([np.frombuffer(r[0], "<i8") for r in packs])
+                rows = _join(packs, 2, "<u4").astype(np.int64) + np.repeat(heads[:, 0], sizes)
+                values = np.log10(count + 0.5), count > 0, own.parts[code(level, seen)] - own.context[level]
+                names, first, at = np.unique(rows, return_index=True, return_inverse=True)
+                sums = np.column_stack([np.bincount(at, v, len(names)) for v in values]).astype("<f8")
+                target = np.repeat(heads[:, 1], sizes)[first]
                 by = np.argsort(target, kind="stable")
                 edges = np.searchsorted(target[by], np.arange(targets + 1))
-                yield _pack(
-                    [(t, RARE, names[by[a:b]].astype("<i8"), np.column_stack([logs[by[a:b]], known[by[a:b]]]).astype("<f8")) for t, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-                )
+                out += [(t, RARE, names[by[a:b]].astype("<i8"), sums[by[a:b]]) for t, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+            if out:
+                yield _pack(out)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = shared.value.parts
         for kinds in _read(batches).values():
             text_rows = kinds.get(TEXTS, [])
             whole = _join(text_rows, 0, "<i8").reshape(-1, 5).copy()
@@ -301,17 +357,21 @@ def scores(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_
             order = np.argsort(whole[:, 0])
             whole, values = whole[order], values[order]
             rare = kinds.get(RARE, [])
-            names, sums = _join(rare, 0, "<i8"), _join(rare, 1, "<f8").reshape(-1, 2)
+            names, sums = _join(rare, 0, "<i8"), _join(rare, 1, "<f8").reshape(-1, 3)
             at = np.searchsorted(whole[:, 0], names)
             values[:, 0] += np.bincount(at, sums[:, 0], len(whole))
+            values[:, 1] += np.bincount(at, sums[:, 2], len(whole))
             known = whole[:, 4] + np.bincount(at, sums[:, 1], len(whole)).astype(np.int64)
+            for rows, codes, start in (r[:3] for r in kinds.get(PAIRS, [])):
+                at = np.searchsorted(whole[:, 0], np.frombuffer(start, "<i8")[0]) + np.frombuffer(rows, "<u4").astype(np.int64)
+                values[:, 1] += np.bincount(at, parts[np.frombuffer(codes, "<u2")], len(whole))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(whole[:, 1], mask=whole[:, 2] == 1), pa.array(whole[:, 3]), pa.array(known), pa.array(values[:, 0]), pa.array(values[:, 1])], names=["id", "n_tokens", "n_known", "base_score", "score"]
             )
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     empty = F.lit(b"")
-    vocabulary = counts.select("cell", F.lit(COUNTS).alias("kind"), "a", "b", empty.alias("c"), empty.alias("d"))
+    vocabulary = counts.select("cell", F.lit(COUNTS).alias("kind"), "a", "b", F.col("bits").alias("c"), empty.alias("d"))
     asked = source.mapInArrow(work, PACK).unionByName(vocabulary).repartitionById(cells, F.col("cell").cast("int"))
     back = asked.mapInArrow(answer, PACK).repartitionById(targets, F.col("cell").cast("int"))
     done = back.mapInArrow(finish, "id long, n_tokens long, n_known long, base_score double, score double")

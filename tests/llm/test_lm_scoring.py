@@ -64,3 +64,33 @@ def test_model_is_better_than_single_words_on_repeated_phrases(spark):
     frame = schema_rows(spark, rows)
     model, counts = lm.learn(frame.where(lm.trained_on()))
     assert all(r.score > r.base_score for r in lm.scores(frame, model, counts).collect())
+
+
+def plain_scores(rows):
+    """Scores by the levels of exact counts, without a filter."""
+    texts = [(i, (t or "").lower().split() + [None]) for i, t in rows]
+    learnt = [ts for i, ts in texts if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    c = Counter(w for ts in learnt for w in ts)
+    c2 = Counter(p for ts in learnt for p in zip([None, *ts], ts, strict=False))
+    mean = lambda n: lm.MEAN[lm.levels(np.array([n]))[0]] if n else 0.0
+    size = sum(c.values()) + 0.5 * (len(c) + 1)
+    part = lambda a, b: math.log10((mean(c2[a, b]) + lm.PRIOR * (mean(c[b]) + 0.5) / size) / (mean(c[a]) + lm.PRIOR))
+    return sorted((-1 if i is None else i, round(sum(part(a, b) for a, b in zip([None, *ts], ts, strict=False)), 6)) for i, ts in texts)
+
+
+@pytest.mark.parametrize("hot, pairs", [(1 << 18, 1 << 18), (16, 4), (1, 0)])
+def test_filter_grows_with_the_text(spark, monkeypatch, hot, pairs):
+    # The bound that there was, at a load that fills it.
+    monkeypatch.setattr(lm.learn, "__defaults__", tuple(1 << 10 if isinstance(d, int) else d for d in lm.learn.__defaults__))
+    monkeypatch.setattr(lm, "MIN_BITS", 1 << 10)
+    monkeypatch.setattr(lm, "HOT_WORDS", hot)
+    monkeypatch.setattr(lm, "HOT_PAIRS", pairs, raising=False)
+    r = np.random.default_rng(5)
+    rows = ROWS + [(1000 + i, " ".join(f"v{k}" for k in r.integers(0, 3000, 40))) for i in range(400)]
+    frame = schema_rows(spark, rows)
+    model, counts = lm.learn(frame.where(lm.trained_on()))
+    got = sorted((-1 if x.doc_id is None else x.doc_id, round(x.score, 6)) for x in lm.scores(frame, model, counts).collect())
+    assert model.cells * model.cell_bits >= sum(len(t or "") for i, t in rows) // 2
+    # At a bit for each byte some unseen n-grams are taken for seen ones; a full filter would take all.
+    off = np.array([abs(a[1] - b[1]) for a, b in zip(got, plain_scores(rows), strict=True)])
+    assert off.mean() < 3
