@@ -25,12 +25,16 @@ BROADCAST_BYTES = 16 << 20
 VOTES = (1.0, 0.3, 0.1)
 #: The chosen path must hold this share of a page's running text, or the page goes by its own best container.
 MIN_COVER = 0.3
+#: And this share of what that container holds, where the path's nodes are not inside it.
+NEAR_COVER = 0.9
 
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "object", "select", "math", "canvas")
-AWAY = {"nav", "footer", "aside", "form", "head", "button", "dialog", "menu", "figcaption", "header"}
+RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "canvas")
+AWAY = {"nav", "footer", "aside", "form", "head", "button", "dialog", "menu", "header"}
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split()
 )
+#: Elements of running text: their names never set them apart.
+RUNNING = set("blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup li p pre table tbody td tfoot th thead tr".split())
 #: Elements that a new one of the same kind ends, where the writer did not.
 ENDS_SELF = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -59,6 +63,7 @@ class Node:
     parent: int
     away: bool
     depth: int
+    in_article: bool = False
 
 
 @dataclass
@@ -68,8 +73,12 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
 
-def _label(tag: str, attrs: str) -> tuple[str, bool]:
-    """The element's part of a path, without digits, and whether its attributes set it apart from articles."""
+def _label(tag: str, attrs: str, in_article: bool = False) -> tuple[str, bool]:
+    """The element's part of a path, without digits, and whether its attributes set it apart from articles.
+
+    Names of headings, paragraphs and other running text say nothing, sections go by whole class names
+    only, and inside an article ids say nothing: there they name what the text is about.
+    """
     if not attrs or attrs.isspace():
         return tag, False
     names, away = [], False
@@ -77,7 +86,11 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind in ("class", "id"):
             names += re.sub(r"[0-9]+", "", value).split()[:3]
-            if tag in ("article", "main"):
+            if tag in RUNNING or (kind == "id" and (in_article or tag == "section")):
+                continue
+            if tag == "section":
+                away |= any(NOT_ARTICLE.fullmatch(x) for x in value.split()) or not NOT_ARTICLE_ALONE.isdisjoint(value.split())
+            elif tag in ("article", "main"):
                 away |= bool(NOT_THE_ARTICLE.search(value))
             else:
                 away |= bool(NOT_ARTICLE.search(value)) or not NOT_ARTICLE_ALONE.isdisjoint(value.split())
@@ -141,10 +154,10 @@ def parse(source: str) -> Page:
         elif tag in ENDS_SELF and page.nodes[stack[-1]].tag == tag:
             stack.pop()
         top = page.nodes[stack[-1]]
-        name, away = _label(tag, m["attrs"] or m["attrs2"] or "")
+        name, away = _label(tag, m["attrs"] or m["attrs2"] or "", top.in_article)
         if tag in ("html", "body"):
             away = False
-        page.nodes.append(Node(tag, f"{top.path}/{name}", stack[-1], top.away or away or tag in AWAY, top.depth + 1))
+        page.nodes.append(Node(tag, f"{top.path}/{name}", stack[-1], top.away or away or tag in AWAY, top.depth + 1, top.in_article or tag == "article"))
         stack.append(len(page.nodes) - 1)
     if at < len(source):
         say(source[at:])
@@ -194,15 +207,32 @@ def scores(page: Page) -> list[tuple[float, float, int]]:
     return sorted(out, key=lambda x: (-x[0], x[2]))
 
 
+def _menus(page: Page) -> set[int]:
+    """Lists that are links throughout, outside articles and without running text beside them."""
+    lists: dict[int, bool] = {}
+    beside = set()
+    for node, text, linked in page.blocks:
+        links = 2 * linked > len(text)
+        if not links and not page.nodes[node].away:
+            beside |= {node, page.nodes[node].parent}
+        k = node
+        while k >= 0 and page.nodes[k].tag not in ("ul", "ol"):
+            k = page.nodes[k].parent
+        if k >= 0:
+            lists[k] = lists.get(k, True) and links
+    return {k for k, links in lists.items() if links and not page.nodes[k].in_article and page.nodes[k].parent not in beside}
+
+
 def text_under(page: Page, roots: set[int]) -> str:
     """The blocks below these nodes that are part of the article, a line each."""
-    lines = []
+    lines, menus = [], _menus(page)
     for node, text, linked in page.blocks:
         k, inside = node, False
         while k >= 0 and not inside:
             inside = k in roots
             k = page.nodes[k].parent
-        if inside and not page.nodes[node].away and not (linked and page.nodes[node].tag == "li" and 2 * linked > len(text) and len(text) < 40):
+        in_menu = page.nodes[node].tag == "li" and page.nodes[node].parent in menus
+        if inside and not page.nodes[node].away and not (in_menu and 2 * linked > len(text) and len(text) < 40):
             lines.append(text)
     return "\n".join(lines)
 
@@ -216,8 +246,10 @@ def extract(source: str | None, path: str | None) -> str:
     cover = {i: c for _, c, i in ranked}
     chosen = {i for i in cover if page.nodes[i].path == path} if path is not None else set()
     chosen = {i for i in chosen if not any(p in chosen for p in _ancestors(page, i))}
-    if sum(cover[i] for i in chosen) < MIN_COVER:
-        chosen = {ranked[0][2]}
+    held, own = sum(cover[i] for i in chosen), ranked[0][2]
+    within = all(own == i or own in _ancestors(page, i) for i in chosen)
+    if held < MIN_COVER or (not within and held < NEAR_COVER * cover[own]):
+        chosen = {own}
     return text_under(page, chosen)
 
 

@@ -39,3 +39,26 @@ def test_hosts_vote(spark):
 def test_long_page_is_linear():
     text = he.extract("<div>" + "<p>word " * 20_000, None)
     assert text.count("\n") == 19_999
+
+
+@pytest.mark.parametrize("part, kept", [
+    ("<h2 id='related-work'>Related work</h2>", "Related work"), ("<h2 id='search-trees'>Search trees</h2>", "Search trees"),
+    ("<section id='discussion'><p>We discuss it.</p></section>", "We discuss it."), ("<p class='notice-text'>Note this.</p>", "Note this."),
+    ("<div id='search-trees'><p>Trees.</p></div>", "Trees."), ("<figure><img><figcaption>A tree.</figcaption></figure>", "A tree."),
+    ("<p>so <math><mi>x</mi></math> is</p>", "so x is"), ("<object>A drawing.</object>", "A drawing."), ("<ul><li><a href=x>A reference</a></li></ul>", "A reference"),
+    ("<div class='comments'><p>Great article.</p></div>", ""), ("<section class='comments'><p>Great article.</p></section>", ""),
+])
+def test_whole_article_is_kept(part, kept):
+    text = "The article's own text, which is long enough."
+    assert he.extract(f"<body><article><p>{text}</p>{part}</article></body>", None) == "\n".join(filter(None, [text, kept]))
+
+
+def test_links_of_a_resource_list_stay_and_menus_go():
+    page = "<body><ul><li><a href=a>Home</a><li><a href=b>About</a></ul><div><p>Some running text of the page.</p><ul><li><a href=x>A resource</a></ul></div></body>"
+    assert he.extract(page, "/body") == "Some running text of the page.\nA resource"
+
+
+def test_a_path_beside_the_article_is_not_taken():
+    page = f"<body><div class=box><p>{'short box ' * 40}</p></div><div class=story><p>{'the article ' * 60}</p></div></body>"
+    page = page.replace("</body>", "<ul>" + "<li><a href=x>some link of the menu here and there</a>" * 60 + "</ul></body>")
+    assert "the article" in he.extract(page, "/body/div.box")
