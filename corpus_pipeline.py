@@ -3,17 +3,20 @@
 Each stage takes (spark, docs, sf_dir) and returns rows with the columns of documents, the last one
 packed pieces. Between stages the rows are written as Parquet and read again, so that a stage's work is
 done once and survives lost executors. Decisions are made on narrow tables and applied to the texts by
-the ids to drop; those are broadcast while their size allows it and joined by a shuffle beyond.
+the keys of the rows to drop; those are broadcast while their size allows it and joined by a shuffle beyond.
+A row's key is a number of its own, so that rows which share a doc_id, or have none, are told apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locweave.llm import decontamination, exact_dedup, jaccard_join, packing, quality
 from locweave.llm.columns import table, written
 
+#: The column of row keys, written once and carried from stage to stage.
+ROW = "__row"
 #: Ids to drop are broadcast up to this many: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -21,11 +24,21 @@ BROADCAST_IDS = 1_000_000
 ORACLE_SQL = None
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose doc_id isn't among the dropped ones. Rows of one id, or of none, go or stay together."""
-    gone = written(dropped.select(F.col("doc_id").alias("__gone")).distinct(), "dropped")
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with their keys; those are written before they are used, as a second reading could number rows otherwise."""
+    return docs if ROW in docs.columns else written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key isn't among the dropped ones. Rows of one key, or of none, go or stay together."""
+    gone = written(dropped.select(F.col(key).alias("__gone")).distinct(), "dropped")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone, docs[key].eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def order() -> Column:
+    """What orders rows of one group: ids, a missing one last, and then the row's key."""
+    return F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col(ROW).alias(ROW))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,17 +49,27 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, the longest as written."""
-    return without(docs, exact_dedup.exact_groups(docs).where(~F.col("kept")))
+    rows = keyed(docs)
+    groups = exact_dedup.exact_groups(rows.withColumn("__order", order()), id_col="__order")
+    return without(rows, groups.where(~F.col("kept")).select(f"__order.{ROW}"), ROW).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a Jaccard similarity of 0.75, the one with the least id."""
-    return without(docs, jaccard_join.similar_groups(docs).where("component_id <> doc_id"))
+    rows = keyed(docs)
+    groups = written(jaccard_join.similar_groups(rows, id_col=ROW).select(ROW, "component_id"), "near-groups")
+    # A component that has another row than the one it is named after.
+    several = groups.where(f"component_id <> {ROW}").select(F.col("component_id").alias("several")).distinct()
+    members = written(groups.join(several, F.col("component_id") == F.col("several"), "left_semi").join(rows.select(ROW, "doc_id"), ROW), "near-members")
+    kept = members.groupBy("component_id").agg(F.min(order())[ROW].alias(ROW))
+    return without(rows, members.join(kept, ROW, "left_anti"), ROW).select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth are benchmark passages."""
-    return without(docs, decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    rows = keyed(docs)
+    found = decontamination.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=ROW)
+    return without(rows, found.where("contaminated"), ROW).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +90,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of a folder of tables."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
+        docs = written(out if ROW in out.columns else out.withColumn(ROW, F.monotonically_increasing_id()), f"stage-{name}")
+    return STAGES[-1][1](spark, docs.drop(ROW), sf_dir)

@@ -47,6 +47,21 @@ def test_many_ids_are_joined_by_a_shuffle(spark, monkeypatch):
     test_ids_shared_or_missing_go_together(spark)
 
 
+def test_rows_of_one_id_or_none_are_dropped_each_alone(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    left = lambda name, rows: sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in stages[name](spark, frame(rows), FOLDER).collect())
+    assert left("exact_dedup", [(1, "a b c"), (1, "other"), (None, "abc"), (None, "alone"), (5, "same"), (5, "same"), (None, "no id"), (None, "no id")]) == [(-1, "alone"), (-1, "no id"), (1, "a b c"), (1, "other"), (5, "same")]
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, words), (3, words + " more"), (None, words + " end"), (None, "something else that stands alone here"), (3, "yet another text of its own there")]
+    lone = [(None, " ".join(f"v{k}" for k in range(60)) + tail) for tail in ("", " x")]
+    got = left("near_duplicates", rows + lone)
+    assert [g for g in got if g[0] != -1] == sorted([rows[1], rows[4]])
+    assert len(got) == 4 and sum(t.startswith("v0") for _, t in got) == 1
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first().text
+    assert left("decontamination", [(None, item), (None, "clean text"), (2, item), (2, "clean too")]) == [(-1, "clean text"), (2, "clean too")]
+
+
 def test_empty_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES[:-1]:
