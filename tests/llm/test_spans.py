@@ -80,6 +80,24 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert all(i % 4 == 0 for i in found) and len(found) >= 45
 
 
+def test_random_letters_are_found(spark):
+    r = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    rows = [("key " + "".join(r.choice(letters) for _ in range(60))) if i % 4 == 0 else "theQuickBrownFoxJumpsOverSomeOtherAnimal and averylongcompoundwordwithoutdigits" for i in range(200)]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    found = {r.doc_id for r in got if any(s.kind == "random" for s in r.spans)}
+    assert all(i % 4 == 0 for i in found) and len(found) >= 45
+
+
+def test_tokens_like_words_count_as_tests(spark):
+    r = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = next(t for t in ("".join(r.choice(letters) if r.random() < 0.4 else "e" for _ in range(24)) for _ in range(100_000)) if 1e-4 < secrets.word_p(t) < 5e-3)
+    spans = lambda rows: [s.kind for x in secrets.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect() for s in x.spans]
+    assert spans([token]) == ["random"]
+    assert spans([token] + ["the_identifier_of_several_words"] * 2000) == []
+
+
 def test_battery_and_thresholds():
     r = random.Random(1)
     random_hex = "".join(r.choice("0123456789abcdef") for _ in range(64))
