@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from locweave.llm import pii, secrets
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -80,31 +82,71 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert all(i % 4 == 0 for i in found) and len(found) >= 45
 
 
-def test_random_letters_are_found(spark):
-    r = random.Random(4)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-    rows = [("key " + "".join(r.choice(letters) for _ in range(60))) if i % 4 == 0 else "theQuickBrownFoxJumpsOverSomeOtherAnimal and averylongcompoundwordwithoutdigits" for i in range(200)]
+WORDS = "the of and with from have which other time people number water called find long down could made part over sound configuration request response handler manager service default session buffer index value error message donde entre lugar mucho tiempo zwischen wasser menschen immer pendant toujours monde".split()
+
+
+def written_token(r, kind, n):
+    out = ""
+    while len(out) < n:
+        w = r.choice(WORDS)
+        out += {"compound": w, "snake": w + "_", "camel": w.capitalize() if out else w, "UPPER": w.upper() + "_", "numbered": w + r.choice(["-", f"-{r.randrange(100)}-"]), "path": w + "/", "digits": str(r.randrange(10))}[kind]
+    return out[:n]
+
+
+KINDS_OF_WRITING = ("compound", "snake", "camel", "UPPER", "numbered", "path", "digits")
+
+
+def found_random(spark, rows):
     got = secrets.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
-    found = {r.doc_id for r in got if any(s.kind == "random" for s in r.spans)}
-    assert all(i % 4 == 0 for i in found) and len(found) >= 45
+    return {x.doc_id for x in got if any(s.kind == "random" for s in x.spans)}
+
+
+def test_recall_and_false_discoveries_by_alphabet_and_length(spark):
+    r = random.Random(11)
+    for n in (36, 48, 90):
+        names = [k for k in secrets.ALPHABETS if k != "hex"]  # hex is a base kind
+        rows = [written_token(r, KINDS_OF_WRITING[i % 7], n) for i in range(1400)]
+        rows += ["".join(r.choice(secrets.ALPHABETS[k]) for _ in range(n)) for k in names for _ in range(100)]
+        found = found_random(spark, rows)
+        false = sum(i < 1400 for i in found)
+        assert false <= 0.02 * len(found), (n, false, len(found))
+        for j, name in enumerate(names):
+            hit = sum(1400 + 100 * j <= i < 1500 + 100 * j for i in found)
+            assert hit >= 90 - 12 * (n < 40), (n, name, hit)
+
 
+def test_writing_alone_gives_no_secrets(spark):
+    r = random.Random(2)
+    rows = [written_token(r, KINDS_OF_WRITING[i % 7], 20 + i % 60) for i in range(5000)]
+    assert len(found_random(spark, rows)) <= 2
+    patterns = ["ab" * 20, "0123456789abcdefghijklmnopqrstuvwxyz", "=" * 40, "-" * 30, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "2024-01-02-2024-01-03-2024"]
+    assert found_random(spark, patterns) == set()
 
-def test_tokens_like_words_count_as_tests(spark):
+
+def test_every_token_counts_as_a_test(spark):
     r = random.Random(5)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    token = next(t for t in ("".join(r.choice(letters) if r.random() < 0.4 else "e" for _ in range(24)) for _ in range(100_000)) if 1e-4 < secrets.word_p(t) < 5e-3)
-    spans = lambda rows: [s.kind for x in secrets.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect() for s in x.spans]
-    assert spans([token]) == ["random"]
-    assert spans([token] + ["the_identifier_of_several_words"] * 2000) == []
+    chars = secrets.ALPHABETS["base62"]
+    token = next(t for t in ("".join(r.choice(chars) for _ in range(24)) for _ in range(100_000)) if secrets.alphabet_of(t) == "base62" and 1e-3 < secrets.writing_p(t) < 8e-3)
+    assert found_random(spark, [token]) == {0}
+    assert found_random(spark, [token] + ["theOther12ConfigurationMessage"[:24]] * 2000) == set()
+
+
+def test_spans_stay_with_their_rows_after_a_shuffle(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    shuffled = docs.repartition(7).groupBy("doc_id").agg(F.max("text").alias("text"))
+    for find in (pii.find_pii, secrets.scan):
+        rows = [{r.doc_id: (r.base, r.spans) for r in find(d).collect()} for d in (docs, shuffled)]
+        assert rows[0] == rows[1] and any(base for base, _ in rows[0].values())
 
 
 def test_battery_and_thresholds():
     r = random.Random(1)
     random_hex = "".join(r.choice("0123456789abcdef") for _ in range(64))
     assert min(secrets.battery(random_hex)) > 1e-3 and min(secrets.battery("ab" * 32)) < 1e-6
-    assert secrets.alphabet_of("DEADBEEF01") == "HEX" and secrets.alphabet_of("abc+/Z") == "base64"
+    assert secrets.alphabet_of("DEADBEEF01") == "HEX" and secrets.alphabet_of("abc+/Z") == "base64" and secrets.alphabet_of("word") == "lower"
     assert secrets.thresholds([(0, 100, 10), (0, 0, 990)]) == {0: 100}
     assert secrets.thresholds([(1, 5, 10), (1, 0, 10)]) == {}
+    assert secrets.combined((0.5, 0.5, 0.5)) == 0.5 and secrets.combined((1e-12, 0.5, 0.9)) < 1e-11
 
 
 def test_label_model_finds_the_reliable_labelers():
