@@ -1,15 +1,17 @@
 """Harmonic packing of tokenised documents into sequences of a fixed capacity.
 
-A piece of length capacity / k belongs to class k, and a bin of class k takes exactly k pieces. Cuts
-are free, so a document is cut at the classes: whole sequences first, then the powers of two that
-its remainder is the sum of. Every bin that fills up is full to the last token. Each task fills bins
-of its own, so nothing is shuffled; a class's last bin of a task, with fewer than k pieces, is dealt
-to sequences whose lengths are powers of two, which need no padding either.
+Whole sequences of a long document come first. What is left of it, or a document that fits, is one
+piece; one between capacity / (k + 1) and capacity / k belongs to class k, and a bin of class k takes k
+of them whole. The head of the next piece fills what is left, so that every bin is full to the last
+token and has one cut at most. Each task fills bins of its own, so nothing is shuffled; what its
+unfilled bins hold in the end is dealt to full sequences and to some whose lengths are powers of two,
+which need no padding either.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import os
 import zlib
 from array import array
@@ -44,6 +46,8 @@ BLOCK_CHARS = 3_000_000
 #: words, and characters beyond Latin letters. There a blank always opens a new word of the tokenizer.
 ODD = "[\\s\x0b][\\s\x0b]|^[\\s\x0b]|[\\s\x0b]$|[\t\x0b\x0c\r\x1c-\x1f\u0085\u00a0\u0250-\U0010ffff]|<\\|endoftext\\|>"
 
+SPECIAL = "<|endoftext|>"
+
 #: Marks a word that has no blank before it; no plain text has it.
 GLUE = "\x1c"
 
@@ -56,6 +60,17 @@ KNOWN: dict[str, dict[str, bytes]] = {}
 MODELS: dict[str, object] = {}
 
 
+def splits_at_words(model: object) -> bool:
+    """Whether the tokenizer is a plain byte-level one, whose words the fast way knows; any other gets texts whole."""
+    if model.normalizer is not None or model.pre_tokenizer is None or model.truncation or model.padding:
+        return False
+    first = json.loads(model.pre_tokenizer.__getstate__())
+    usual = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
+    own = model.model
+    plain = type(own).__name__ == "BPE" and not (own.dropout or own.unk_token or own.continuing_subword_prefix or own.end_of_word_suffix or own.ignore_merges)
+    return bool(usual and plain and {t.content for t in model.get_added_tokens_decoder().values()} <= {SPECIAL})
+
+
 class Encoder:
     """Token ids of texts as arrays of little-endian 32-bit integers; a word is encoded once while it is kept."""
 
@@ -66,6 +81,7 @@ class Encoder:
         if path not in MODELS:
             MODELS[path], KNOWN[path] = Tokenizer.from_file(path), {}
         self.model, self.known = MODELS[path], KNOWN[path]
+        self.fast = splits_at_words(self.model)
         self.merge = self.model.model.tokenize
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -100,6 +116,7 @@ class Encoder:
         out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         odd |= pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        odd |= not self.fast
         slow = np.flatnonzero(odd)
         for i, coded in zip(slow, self._encode(texts.take(pa.array(slow)).to_pylist()), strict=True):
             out[i] = np.frombuffer(coded, "<u4")
@@ -145,38 +162,60 @@ def blocks(texts: pa.Array, chars: int = BLOCK_CHARS) -> Iterator[tuple[int, int
         start = stop
 
 
-def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
-    """The lengths that a document of n tokens is cut into, longest first."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << b for b in range(capacity.bit_length() - 2, -1, -1) if rest >> b & 1]
-
-
 class Bins:
-    """The open bins of a task, one a class."""
+    """The open bins of a task, one a class.
+
+    A piece of n tokens, fewer than the capacity, belongs to class k = capacity // n, and a bin of that
+    class takes k such pieces whole. What then is left of the bin is shorter than any piece of the
+    class, so the head of the next one fills it, and the rest of that piece goes to the class of its
+    own length. So a bin has one cut at most.
+    """
 
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.next_id = capacity, first_id
         self.open: dict[int, list[tuple]] = {}
-
-    def add(self, piece: tuple, length: int) -> list[tuple]:
-        waiting = self.open.setdefault(length, [])
-        waiting.append(piece)
-        if len(waiting) * length < self.capacity:
-            return []
-        self.open[length] = []
-        return self._close(waiting, length)
-
-    def _close(self, pieces: list[tuple], length: int) -> list[tuple]:
+        self.room: dict[int, int] = {}
+
+    def add(self, doc_id: int | None, start: int, ids: bytes, total: int) -> list[tuple]:
+        """The rows of the bins that this piece (its ids as bytes) fills."""
+        rows: list[tuple] = []
+        while n := len(ids) // 4:
+            k = self.capacity // max(1, n) or 1
+            waiting, room = self.open.setdefault(k, []), self.room.setdefault(k, self.capacity)
+            take = n if len(waiting) < k and n <= room else room
+            waiting.append((doc_id, start, ids[: 4 * take], total))
+            self.room[k] = room - take
+            if take == room:
+                rows += self._close(self.open.pop(k))
+                del self.room[k]
+            start, ids = start + take, ids[4 * take :]
+        return rows
+
+    def _close(self, pieces: list[tuple]) -> list[tuple]:
+        rows, at = [], 0
+        for doc_id, start, ids, total in pieces:
+            rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), total, self.next_id, at))
+            at += len(ids) // 4
         self.next_id += 1
-        return [(*p, self.next_id - 1, i * length) for i, p in enumerate(pieces)]
+        return rows
 
     def rest(self) -> Iterator[tuple]:
-        for length, pieces in sorted(self.open.items()):
-            while pieces:
-                count = 1 << (len(pieces).bit_length() - 1)
-                yield from self._close(pieces[:count], length)
-                pieces = pieces[count:]
-        self.open = {}
+        """What is in bins that no piece has filled, in full sequences and last in some whose lengths are powers of two."""
+        pieces = [p for _, waiting in sorted(self.open.items()) for p in waiting]
+        left = sum(len(p[2]) for p in pieces) // 4
+        self.open, self.room = {}, {}
+        held: list[tuple] = []
+        while left:
+            room = size = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
+            while room:
+                doc_id, start, ids, total = pieces.pop(0)
+                take = min(room, len(ids) // 4)
+                held.append((doc_id, start, ids[: 4 * take], total))
+                if 4 * take < len(ids):
+                    pieces.insert(0, (doc_id, start + take, ids[4 * take :], total))
+                room -= take
+            yield from self._close(held)
+            held, left = [], left - size
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,11 +250,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             for first, stop in blocks(texts):
                 for doc_id, coded in zip(ids[first:stop], encoder.encode(texts.slice(first, stop - first)), strict=True):
                     tokens = coded.tobytes() + b"\0\0\0\0"
-                    n, start = len(tokens) // 4, 0
-                    for length in cuts(n, capacity):
-                        crc = zlib.crc32(tokens[4 * start : 4 * (start + length)])
-                        out += bins.add((doc_id, start, length, crc, n), length)
-                        start += length
+                    out += bins.add(doc_id, 0, tokens, len(tokens) // 4)
                     if len(out) >= OUT_ROWS:
                         yield flush(out)
                         out = []

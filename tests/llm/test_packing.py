@@ -20,14 +20,43 @@ def test_encoder_equals_the_tokenizer():
         assert got.tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_cuts_and_bins():
-    for n in (1, 5, 1023, 1024, 1025, 5000):
-        assert sum(packing.cuts(n)) == n and all(c & (c - 1) == 0 for c in packing.cuts(n))
-    bins, out = packing.Bins(8, 100), []
-    for i in range(5):
-        out += bins.add((i,), 2)
-    out += list(bins.rest())
-    assert [(o[0], o[1], o[2]) for o in out] == [(0, 100, 0), (1, 100, 2), (2, 100, 4), (3, 100, 6), (4, 101, 0)]
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    texts = ["Some words, and more.", "two\nlines of  it", "", "Über 12"]
+    for text, got in zip(texts, encoder.encode(pa.array(texts)), strict=True):
+        assert got.tolist() == model.encode(text, add_special_tokens=False).ids
+
+
+def bins_of(lengths, capacity):
+    bins, rows = packing.Bins(capacity, 100), []
+    for i, n in enumerate(lengths):
+        rows += bins.add(i, 0, np.arange(n, dtype="<u4").tobytes(), n)
+    return rows, rows + list(bins.rest())
+
+
+def test_a_class_takes_a_fixed_number_whole():
+    rows, whole = bins_of([3, 3, 3], 8)  # class 2: two pieces and the head of a third
+    assert [(r[0], r[1], r[2], r[5], r[6]) for r in rows] == [(0, 0, 3, 100, 0), (1, 0, 3, 100, 3), (2, 0, 2, 100, 6)]
+    assert [(r[0], r[1], r[2], r[5], r[6]) for r in whole[3:]] == [(2, 2, 1, 101, 0)]
+
+
+def test_bins_cover_all_without_padding_and_with_few_cuts():
+    r = random.Random(7)
+    for capacity, lengths in ((1024, [r.randrange(1, 3000) for _ in range(3000)]), (1024, [r.randrange(1, 60) for _ in range(3000)]), (64, [1, 5, 63, 64, 65, 500] * 9), (8, [])):
+        _, rows = bins_of(lengths, capacity)
+        seen, filled = {}, {}
+        for i, start, n, crc, total, sequence, offset in sorted(rows, key=lambda x: (x[0], x[1])):
+            assert start == seen.get(i, 0) and total == lengths[i] and n > 0
+            assert crc == zlib.crc32(np.arange(start, start + n, dtype="<u4").tobytes())
+            seen[i] = start + n
+        assert seen == dict(enumerate(lengths))
+        for *_, n, _, _, sequence, offset in sorted(rows, key=lambda x: (x[5], x[6])):
+            assert offset == filled.get(sequence, 0)
+            filled[sequence] = offset + n
+        assert all(n == capacity or n & (n - 1) == 0 for n in filled.values()) and sum(n < capacity for n in filled.values()) <= 10
+        # A cut a bin, besides those at whole sequences of long documents.
+        assert len(rows) <= len(lengths) + sum(n // capacity for n in lengths) + len(filled)
 
 
 def test_pieces_cover_texts_without_padding(spark):
