@@ -153,5 +153,47 @@ def test_label_model_finds_the_reliable_labelers():
     counts = [((1, 1, 1, 1), 50), ((0, 0, 0, 0), 200), ((0, 0, 0, 1), 100), ((1, 0, 1, 1), 20)]
     share, rates = pii.label_model(counts)
     assert 0.1 < share < 0.4 and rates[0][0] > 0.8 and rates[0][1] < 0.2
-    weights = pii.span_classifier([((1, 1, 1, 1, 0, 0, 0), 0.95, 50), ((0, 0, 0, 1, 0, 1, 0), 0.02, 300)])
-    assert weights[1] > 0
+    odds, weights = pii.span_classifier({0: (47.0, 3.0), 1: (6.0, 294.0)})
+    assert len(odds) == len(pii.LEARNED) and weights[0] > 1 > -1 > weights[1] and not any(weights[2:])
+
+
+def planted(r):
+    """Texts with one name, local number or identity number each, or none, and what and where it is."""
+    first = ["Anna", "John", "Maria", "Peter", "Sophia", "Klaus", "Jean", "Carlos", "Zoltan", "Ingrid"]  # two are in no gazetteer
+    last = ["Keller", "Smith", "Garcia", "Dupont", "Novak", "Brown", "Weber", "Okafor"]
+    prose = "the report of the year shows that water levels fell in many places and people moved north The House of Commons met in New York on Monday Visit The Great Wall with us section 12 of 2024-01-05 had 123 456 789 items in version 1.2.3 and it was Good Morning then".split()
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    for i in range(1800):
+        k = r.randrange(len(prose))
+        text = " ".join((prose * 3)[k : k + r.randint(3, 20)])
+        kind = [None, None, *pii.LEARNED][i % 5]
+        if kind is None:
+            yield text, None
+            continue
+        cue, span = {
+            "name": (r.choice(["dear ", "contact ", "written by ", "signed ", "and Dr "]), f"{r.choice(first)} {r.choice(last)}"),
+            "local_phone": (r.choice(["call ", "tel. ", "phone: ", "or ", "fax "]), r.choice([f"({n(3)}) {n(3)}-{n(4)}", f"{r.randrange(200, 999)}-{n(3)}-{n(4)}", f"030 {n(7)}", f"089/{n(7)}"])),
+            "identity": (r.choice(["SSN ", "passport no. ", "ID ", "my number is "]), r.choice([f"{r.randrange(100, 660)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}", f"{n(8)}{r.choice('TRWAG')}", f"X{n(7)}", f"DE{n(20)}"])),
+        }[kind]
+        at = len(text) + 1 + len(cue)
+        yield f"{text} {cue}{span} and more of the report", (kind, at, at + len(span))
+
+
+def test_added_spans_have_recall_and_precision(spark):
+    rows = list(planted(random.Random(1)))
+    got = pii.find_pii(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    all_, hit, wrong = dict.fromkeys(pii.LEARNED, 0), dict.fromkeys(pii.LEARNED, 0), 0
+    for x in got:
+        want = rows[x.doc_id][1]
+        if want:
+            all_[want[0]] += 1
+        found = 0
+        for s in x.spans:
+            if want and s.kind == want[0] and want[1] - 3 <= s.start <= want[1] and s.end == want[2]:  # a title may belong to it
+                found = 1
+            else:
+                wrong += s.kind in pii.LEARNED
+        if want:
+            hit[want[0]] += found
+    assert all(hit[k] >= 0.9 * all_[k] for k in pii.LEARNED), (hit, all_)
+    assert wrong <= 0.05 * sum(hit.values()), wrong
