@@ -11,12 +11,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship as ship
+from ..shipping import ship as ship_package
+
+#: Bytes of an Arrow batch between Spark and Python about. Spark's own 64 MB are held several times over on either side.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 WHITE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, and have batches to them of a moderate size unless the session sets another."""
+    ship_package(spark)
+    if spark.conf.get(_BATCH, "1b") == "1b":
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else, whatever the locale."""
     return F.translate(text, UPPER, UPPER.lower())

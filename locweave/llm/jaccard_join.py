@@ -30,7 +30,9 @@ from .components import components
 #: A link needs 100 * overlap >= PERCENT * union.
 PERCENT = 75
 #: Hashes that one fragment holds about; it is what a task sorts in memory.
-FRAGMENT_HASHES = 2_500_000
+FRAGMENT_HASHES = 1_500_000
+#: Hashes that a task gathers before it deals them out to the fragments.
+GATHER_HASHES = 1_000_000
 #: Pairs that one cell of a verification holds about.
 CELL_PAIRS = 1_000_000
 #: Holders that the others of a prefix n-gram are compared with in one turn, after the first.
@@ -117,20 +119,31 @@ def _spread(docs: DataFrame, text_col: str, size: int, fragments: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        new: dict[int, np.ndarray] = {}
+        gathered = 0
+
+        def send() -> pa.RecordBatch:
+            lengths = np.fromiter(map(len, new.values()), np.int64, len(new))
+            flat = np.concatenate(list(new.values()))
+            owner = np.repeat(np.arange(len(new), dtype=np.int32), lengths)
+            rows = _deal(_fragment(flat, fragments), owner, flat, None, np.fromiter(new, np.int64, len(new)), lengths)
+            new.clear()
+            return _pack(rows)
+
         for batch in batches:
             texts = batch.column(0)
             for i, j in sh.blocks(texts):
-                new: dict[int, np.ndarray] = {}
                 for s in sh.sets(texts.slice(i, j - i), size):
                     if len(s) and (key := sh.set_key(s)) not in seen:
                         new[key] = s
+                        gathered += len(s)
                         if len(seen) < SEEN_KEYS:
                             seen.add(key)
-                if new:
-                    lengths = np.fromiter(map(len, new.values()), np.int64, len(new))
-                    flat = np.concatenate(list(new.values()))
-                    owner = np.repeat(np.arange(len(new)), lengths)
-                    yield _pack(_deal(_fragment(flat, fragments), owner, flat, None, np.fromiter(new, np.int64, len(new)), lengths))
+                if gathered >= GATHER_HASHES:
+                    yield send()
+                    gathered = 0
+        if new:
+            yield send()
         release_memory()
 
     return docs.select(F.col(text_col)).mapInArrow(run, PACK)

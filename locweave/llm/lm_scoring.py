@@ -41,6 +41,8 @@ HOT_PAIRS = 1 << 18
 SAMPLE_BYTES = 16 << 20
 #: Bytes of text that a cell's counts come from about.
 CELL_BYTES = 32 << 20
+#: Bytes of texts that are worked on together: each block sends a pack to each cell.
+BLOCK_BYTES = 4 << 20
 #: Tokens whose n-grams a task sums before it sends them.
 GATHER_TOKENS = 5_000_000
 
@@ -176,7 +178,7 @@ def frequent(texts: DataFrame, size: int) -> list[np.ndarray]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             column = batch.column(0)
-            for i, j in sh.blocks(column):
+            for i, j in sh.blocks(column, BLOCK_BYTES):
                 h, before, _ = tokens(column.slice(i, j - i))
                 held.append((h, bigrams(h, before)))
         if held:
@@ -221,7 +223,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
 
         for batch in batches:
             column = batch.column(0)
-            for i, j in sh.blocks(column):
+            for i, j in sh.blocks(column, BLOCK_BYTES):
                 h, before, _ = tokens(column.slice(i, j - i))
                 held.append((h, bigrams(h, before)))
                 if sum(len(x) for x, _ in held) >= GATHER_TOKENS:
@@ -277,7 +279,7 @@ def scores(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_
         row, turn = part << 33, part * 31
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            for i, j in sh.blocks(column):
+            for i, j in sh.blocks(column, BLOCK_BYTES):
                 h, before, n = tokens(column.slice(i, j - i))
                 pairs = bigrams(h, before)
                 starts = np.cumsum(n) - n

@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from .columns import release_memory, ship, table
 
 CAPACITY = 1024
-#: Encoded words a task keeps at most before it starts afresh.
-CACHE_WORDS = 250_000
+#: Encoded words a task keeps at most; they are let go with the task.
+CACHE_WORDS = 200_000
 #: Words that the tokenizer gets at a time; its results are far larger than the ids that are kept of them.
 BATCH_WORDS = 8192
 #: Rows an Arrow batch hands on at most.
@@ -40,7 +40,7 @@ PIECES = T.StructType(
 )
 
 #: Texts are encoded together up to so many characters.
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 1_000_000
 
 #: What the fast way leaves to the tokenizer: white space other than single blanks and line ends between
 #: words, and characters beyond Latin letters. There a blank always opens a new word of the tokenizer.
@@ -55,8 +55,7 @@ GLUE = "\x1c"
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
-#: Encoded words by tokenizer file, kept while the Python worker lives.
-KNOWN: dict[str, dict[str, bytes]] = {}
+#: Tokenizers by file, kept while the Python worker lives.
 MODELS: dict[str, object] = {}
 
 
@@ -79,8 +78,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         if path not in MODELS:
-            MODELS[path], KNOWN[path] = Tokenizer.from_file(path), {}
-        self.model, self.known = MODELS[path], KNOWN[path]
+            MODELS[path] = Tokenizer.from_file(path)
+        self.model, self.known = MODELS[path], {}
         self.fast = splits_at_words(self.model)
         self.merge = self.model.model.tokenize
 
@@ -257,6 +256,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         out += bins.rest()
         if out:
             yield flush(out)
+        encoder.known.clear()
+        out = []
         release_memory()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, PIECES)

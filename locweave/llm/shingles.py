@@ -11,7 +11,7 @@ import xxhash
 
 SIZE = 5
 #: Texts are worked on together up to so many bytes.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 
 
 def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
