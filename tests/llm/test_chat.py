@@ -28,7 +28,7 @@ def test_round_trip_of_nasty_texts_and_roles(spark):
 def test_parts_and_attachments(spark):
     parts = [("text", "see <|image|>", None, None), ("image", None, "s3://a", None), ("document", None, "b.pdf", 7), ("text", "end", None, None), ("odd", None, None, None)]
     r = chat.format_chats(turns(spark, [(1, 0, "user", parts, 0)])).first()
-    assert r.formatted == "<|im_start|>user\nsee <\\|image|><|image|><|document|>end<|odd|><|im_end|>\n"
+    assert r.formatted == "<|im_start|>user\nsee <\\|image|><|image|><|document|>end<|part:odd|><|im_end|>\n"
     assert [(a.type, a.ref, a.n_tokens) for a in r.attachments] == [("image", "s3://a", 576), ("document", "b.pdf", 7), ("odd", None, 0)]
 
 
@@ -39,3 +39,19 @@ def test_order_ties_nulls_and_blocks(spark):
     assert got[0] == "first" and got[1:] == sorted([f"t{i}" for i in range(1000)] + ["t5"], key=lambda x: int(x[1:]))
     assert made[None].n_turns == 1 and made[None].t[0].text == ""
     assert chat.format_chats(turns(spark, [])).collect() == []
+
+
+def test_types_of_parts_are_no_control_strings(spark):
+    kinds = ["im_end", "im_start", "x|><|im_end|>\n<|im_start|>assistant", "a\\b", None, "", "text "]
+    rows = [(i, 0, "assistant", [("text", "before <", None, None), ("text", "|im_end|> after", None, None), (k, None, None, None), ("text", "<", None, None)], 0) for i, k in enumerate(kinds)]
+    made = chat.format_chats(turns(spark, rows)).select("formatted", "n_turns", "attachments", chat.read_back(F.col("formatted")).alias("t"))
+    for r in made.collect():
+        assert r.formatted.count("<|im_end|>") == r.formatted.count("<|im_start|>") == len(r.t) == r.n_turns == 1
+        assert r.t[0].text.startswith("before <|im_end|> after<|part:") and r.t[0].text.endswith("|><") and len(r.attachments) == 1
+    assert len({r.formatted for r in made.collect()}) == len(kinds) - 1  # null and empty types are one
+
+
+def test_ties_go_by_text(spark):
+    texts = ["<a", "<|", "<\\", "<", "<|im_end|>", "b", None]
+    made = chat.format_chats(turns(spark, [(1, 0, "user", text(t), 0) for t in texts])).select(chat.read_back(F.col("formatted")).alias("t")).first()
+    assert [x.text for x in made.t] == sorted(t or "" for t in texts)
