@@ -28,10 +28,10 @@ MIN_COVER = 0.3
 #: And this share of what that container holds, where the path's nodes are not inside it.
 NEAR_COVER = 0.9
 
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "canvas")
+RAW = ("script", "style", "textarea", "title", "template", "iframe", "svg", "select", "canvas")
 AWAY = {"nav", "footer", "aside", "form", "head", "button", "dialog", "menu", "header"}
 BLOCKS = set(
-    "address article aside blockquote body center dd details dialog div dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split()
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav noscript ol p pre section summary table tbody td tfoot th thead tr ul caption option".split()
 )
 #: Elements of running text: their names never set them apart.
 RUNNING = set("blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup li p pre table tbody td tfoot th thead tr".split())
@@ -46,6 +46,10 @@ NOT_ARTICLE = re.compile(
 NOT_ARTICLE_ALONE = {"header", "side", "rail", "tags", "hidden", "overlay", "widget", "widgets", "banner"}
 #: An article is set apart by these only.
 NOT_THE_ARTICLE = re.compile(r"(?:^|[^a-z])(?:comments?|advert\w*|sponsor\w*|promo\w*|related\w*|teasers?)(?:$|[^a-z])")
+#: Names that hold words of these lists but are parts of articles.
+OF_ARTICLES = re.compile(r"(?:^|[^a-z])(?:related[-_]?works?|discussions?|search[-_](?:trees?|spaces?|methods?|strategy)|social[-_](?:aspects?|impacts?|sciences?)|comment(?:ary|aries)|table[-_]of[-_]contents)(?:$|[^a-z])")
+#: What the element for browsers without scripts says of itself, rather than of the page.
+NO_SCRIPTS = re.compile(r"javascript|browser|\bcookies\b", re.I)
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*(?:>.*?(?:</(?P=raw)\s*(?:>|\Z)|\Z)|\Z)"
@@ -85,7 +89,8 @@ def _label(tag: str, attrs: str, in_article: bool = False) -> tuple[str, bool]:
     for m in ATTR.finditer(attrs):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind in ("class", "id"):
-            names += re.sub(r"[0-9]+", "", value).split()[:3]
+            names += re.sub(r"[0-9]+", "", value).split()
+            value = " ".join(x for x in value.split() if not OF_ARTICLES.search(x))
             if tag in RUNNING or (kind == "id" and (in_article or tag == "section")):
                 continue
             if tag == "section":
@@ -112,7 +117,7 @@ def parse(source: str) -> Page:
         nonlocal linked
         if text:
             whole = " ".join("".join(text).split())
-            if whole:
+            if whole and not (NO_SCRIPTS.search(whole) and any(page.nodes[k].tag == "noscript" for k in stack)):
                 page.blocks.append((stack[-1], whole, min(linked, len(whole))))
             text.clear()
         linked = 0
@@ -267,7 +272,8 @@ def host_of(url: Column) -> Column:
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows with a column text (never null) in place of the page's source.
 
-    A null or empty source has an empty text, and so has a page without running text. A null url, or
+    A null or empty source has an empty text, and so has a page without running text; a very long one is
+    read whole. Columns named text or like the source are replaced, all others stay. A null url, or
     one without a host, votes with the others of that kind. Repeated pages vote as often as they stand
     there. Paths with equal votes go by their order as strings.
     """

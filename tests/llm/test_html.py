@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 
 from locweave.llm import html_extraction as he
@@ -46,6 +49,9 @@ def test_long_page_is_linear():
     ("<section id='discussion'><p>We discuss it.</p></section>", "We discuss it."), ("<p class='notice-text'>Note this.</p>", "Note this."),
     ("<div id='search-trees'><p>Trees.</p></div>", "Trees."), ("<figure><img><figcaption>A tree.</figcaption></figure>", "A tree."),
     ("<p>so <math><mi>x</mi></math> is</p>", "so x is"), ("<object>A drawing.</object>", "A drawing."), ("<ul><li><a href=x>A reference</a></li></ul>", "A reference"),
+    ("<noscript><p>A table in words.</p></noscript>", "A table in words."), ("<noscript>Please enable JavaScript.</noscript>", ""),
+    ("<div class='related-work'><p>Others wrote.</p></div>", "Others wrote."), ("<div class='discussion'><p>We ask why.</p></div>", "We ask why."),
+    ("<div class='related-posts'><p>Read more.</p></div>", ""), ("<div class='a b c share-box'><p>Tell others.</p></div>", ""),
     ("<div class='comments'><p>Great article.</p></div>", ""), ("<section class='comments'><p>Great article.</p></section>", ""),
 ])
 def test_whole_article_is_kept(part, kept):
@@ -62,3 +68,43 @@ def test_a_path_beside_the_article_is_not_taken():
     page = f"<body><div class=box><p>{'short box ' * 40}</p></div><div class=story><p>{'the article ' * 60}</p></div></body>"
     page = page.replace("</body>", "<ul>" + "<li><a href=x>some link of the menu here and there</a>" * 60 + "</ul></body>")
     assert "the article" in he.extract(page, "/body/div.box")
+
+
+def gold_pages():
+    """Pages of four hosts in their own markup: host, source, text."""
+    r = random.Random(6)
+    words = "water people number time place year house world school state family student group country problem hand part case week company system program question work night point home room mother area money story fact month right study book eye job word business issue side kind head".split()
+    said = lambda k: " ".join(r.choice(words) for _ in range(k)).capitalize() + "."
+    menu = "<ul>" + "".join(f"<li><a href=/{w}>{w}</a></li>" for w in words[:8]) + "</ul>"
+    for i in range(48):
+        title, paras, items = said(5), [said(r.randint(15, 60)) for _ in range(r.randint(2, 6))], [said(4) for _ in range(3)]
+        caption, quote, noise = said(6), said(12), [said(r.randint(10, 30)) for _ in range(4)]
+        body = "".join(f"<p>{p}</p>" for p in paras)
+        listed = "".join(f"<li>{x}</li>" for x in items)
+        kind = i % 4
+        if kind == 0:
+            source = f"<html><body><header>{menu}</header><main><article><header><h1>{title}</h1></header>{body}<figure><img><figcaption>{caption}</figcaption></figure><ul>{listed}</ul></article></main><aside><p>{noise[0]}</p></aside><div id=comments><p>{noise[1]}</p></div><footer>{noise[2]}</footer></body></html>"
+            text = [title, *paras, caption, *items]
+        elif kind == 1:
+            source = f"<body><div class=nav-bar>{menu}</div><div id=wrap><div class='entry content-{i}'><h1>{title}</h1>{body}<blockquote>{quote}</blockquote><div class=share>{noise[0]}</div></div><div class=sidebar><p>{noise[1]}</p></div></div><div class=cookie-banner>{noise[2]}</div></body>"
+            text = [title, *paras, quote]
+        elif kind == 2:
+            source = f"<body><table><tr><td class=menu>{menu}</td><td class=story><h2>{title}</h2>{body}<table><tr><td>{items[0]}</td><td>{items[1]}</td></tr></table></td></tr></table><form>{noise[0]}<input></form><script>var x = '<p>{noise[1]}</p>';</script></body>"
+            text = [title, *paras, *items[:2]]
+        else:
+            source = f"<body><nav>{menu}</nav><div class=page><section class=lead><h1>{title}</h1>{body}</section><section id=discussion><h2>{caption}</h2><p>{quote}</p></section><section class='advert'><p>{noise[0]}</p></section></div><div class=newsletter-signup><p>{noise[1]}</p></div></body>"
+            text = [title, *paras, caption, quote]
+        yield f"https://host{kind}.example/p{i}", source, "\n".join(text)
+
+
+def test_recall_and_precision_on_gold_pages(spark):
+    rows = list(gold_pages())
+    frame = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string").repartition(5)
+    got = {x.page_id: x.text for x in he.main_text(frame).collect()}
+    for kind in range(4):
+        both = found = wanted = 0
+        for i in range(kind, len(rows), 4):
+            a, b = Counter(got[i].split()), Counter(rows[i][2].split())
+            both, found, wanted = both + (a & b).total(), found + a.total(), wanted + b.total()
+        assert both >= 0.9 * wanted and both >= 0.9 * found, (kind, both / wanted, both / max(1, found))
+    assert sum(got[i] == rows[i][2] for i in range(len(rows))) >= 0.9 * len(rows)
