@@ -5,6 +5,10 @@ packed pieces. Between stages the rows are written as Parquet and read again, so
 done once and survives lost executors. Decisions are made on narrow tables and applied to the texts by
 the keys of the rows to drop; those are broadcast while their size allows it and joined by a shuffle beyond.
 A row's key is a number of its own, so that rows which share a doc_id, or have none, are told apart.
+
+The same holds in all stages: other columns than doc_id and text are carried along, whatever their names
+(but __locweave_row and __locweave_score, which are the pipeline's own); a null text counts as an empty
+one; texts are read whole, however long; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,10 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locweave.llm import decontamination, exact_dedup, jaccard_join, packing, quality
-from locweave.llm.columns import table, written
+from locweave.llm.columns import all_of, table, written
 
 #: The column of row keys, written once and carried from stage to stage.
-ROW = "__row"
+ROW = "__locweave_row"
+SCORE = "__locweave_score"
 #: Ids to drop are broadcast up to this many: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -42,38 +47,53 @@ def order() -> Column:
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; it learns from the labels of documents outside the held-out fold."""
+    """Documents that the classifier does not reject; it learns from the labels of documents outside the held-out fold.
+
+    Each row is judged by its text alone: rows that share an id, or have none, may fare differently,
+    repeated rows fare alike, and empty texts have the score of an empty text. Without labels all stay.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, name="__score").where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.scored(docs, model, name=SCORE).where(F.col(SCORE) >= quality.THRESHOLD).select(*all_of(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the longest as written."""
+    """Of texts that are equal but for white space, the longest as written.
+
+    Ties go to the least id (a missing one last), then to the least row key, so exactly one row of a
+    group stays, of wholly repeated rows too. Empty and null texts are one group.
+    """
     rows = keyed(docs)
     groups = exact_dedup.exact_groups(rows.withColumn("__order", order()), id_col="__order")
-    return without(rows, groups.where(~F.col("kept")).select(f"__order.{ROW}"), ROW).select(*docs.columns)
+    return without(rows, groups.where(~F.col("kept")).select(f"__order.{ROW}"), ROW).select(*all_of(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a Jaccard similarity of 0.75, the one with the least id."""
+    """Of documents connected by a Jaccard similarity of 0.75, the one with the least id.
+
+    Ties go to the least row key; a missing id is chosen last. Texts without words are connected with
+    nothing and all stay.
+    """
     rows = keyed(docs)
     groups = written(jaccard_join.similar_groups(rows, id_col=ROW).select(ROW, "component_id"), "near-groups")
     # A component that has another row than the one it is named after.
     several = groups.where(f"component_id <> {ROW}").select(F.col("component_id").alias("several")).distinct()
     members = written(groups.join(several, F.col("component_id") == F.col("several"), "left_semi").join(rows.select(ROW, "doc_id"), ROW), "near-members")
     kept = members.groupBy("component_id").agg(F.min(order())[ROW].alias(ROW))
-    return without(rows, members.join(kept, ROW, "left_anti"), ROW).select(*docs.columns)
+    return without(rows, members.join(kept, ROW, "left_anti"), ROW).select(*all_of(docs))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth are benchmark passages."""
+    """Documents of which less than a twentieth are benchmark passages.
+
+    Each row is judged by itself; texts without words stay. With an empty benchmark all stay.
+    """
     rows = keyed(docs)
     found = decontamination.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=ROW)
-    return without(rows, found.where("contaminated"), ROW).select(*docs.columns)
+    return without(rows, found.where("contaminated"), ROW).select(*all_of(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
+    """Pieces of documents in sequences of 1024 tokens. Empty texts are one token; each repeated row is packed; row keys are dropped."""
     return packing.pack(docs)
 
 

@@ -40,6 +40,11 @@ def without_white(text: Column) -> Column:
     return text
 
 
+def all_of(frame: DataFrame) -> list[Column]:
+    """The frame's columns by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in frame.columns]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -69,8 +69,9 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> gam.Gam:
     """Learn from the labelled rows outside the held-out fold, at most max_rows of them.
 
-    Labels without id or quality are left out; an id with several labels has their rounded mean, and
-    one with several texts counts each.
+    Labels without id or quality are left out; an id with several labels has their rounded mean. An id
+    with several texts counts once, by the least of their features, so that what comes to the driver has
+    max_rows rows at most, however often an id is repeated.
     """
     ship(docs.sparkSession)
     known = (
@@ -87,15 +88,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pd.Series(list(matrix(texts)))
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(known), F.col("id") == F.col("label_id"))
-    got = rows.select("id", "label", numbers("body").alias("features")).toPandas()
-    got = got.sort_values("id", kind="stable").head(max_rows)
+    one = rows.select("id", "label", numbers("body").alias("features")).groupBy("id", "label").agg(F.min("features").alias("features"))
+    got = one.toPandas().sort_values("id", kind="stable")
     x = np.array([np.asarray(f, float) for f in got["features"]], float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, got["id"].to_numpy())) if len(got) else []
     return gam.fit(x[order], got["label"].to_numpy()[order])
 
 
 def scored(docs: DataFrame, model: gam.Gam, text_col: str = "text", name: str = "score") -> DataFrame:
-    """The rows with a score from 0 to 1; a null text scores as an empty one. The model is a few tables of fixed size."""
+    """The rows with a score from 0 to 1; a null text scores as an empty one, a long one is read whole.
+
+    A column of the score's name is replaced. The model is a few tables of fixed size.
+    """
     ship(docs.sparkSession)
 
     @F.pandas_udf("double")

@@ -72,3 +72,14 @@ def test_empty_documents(spark):
 def test_whole_run(spark):
     pieces = corpus_pipeline.run(spark, FOLDER).toPandas()
     assert len(pieces) and (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all()
+
+
+def test_clashing_columns_are_carried_along(spark):
+    names = ["a.b", "score", "component_id", "kept", "words", "row", "id", "body", "hashes", "n", "set_key", "features", "gone"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(["a b c d e f g", "a b c d e f g", None, "x y z u v w", "x y z u v w"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        assert all(tuple(r)[2:] == tuple(f"{n}{r.doc_id}" for n in names) for r in out.collect()), name
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["packing"](spark, docs, FOLDER).collect()} == set(range(5))
