@@ -493,7 +493,7 @@ def sitemap_documents(spark, d):
 def sitemap_index(spark, d):
     files = page_locs(spark, d).select("file_idx", "source_file").distinct()
     made = writers.index_document(files, "https://example.com/", "maps", F.lit("2024-02-03").cast("date"))
-    return made.withColumn("folder", writers.index_folder(F.col("xml")))
+    return made.select("xml", writers.index_folder(F.col("xml")).alias("folder"))
 
 
 @query(

@@ -21,3 +21,22 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(root.rglob("*.py")):
             out.write(file, file.relative_to(root.parent))
     context.addPyFile(str(target))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see, as the session names it; one below the warehouse where none is set.
+
+    On a cluster a warehouse on a local disk is no such folder, and refused.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    return f"{warehouse}/_scratch"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is written there is the session owner's to clear."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -4,21 +4,29 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
+import zipfile
+import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import rules
 from ..shipping import ship
 
 SITEMAP_NAMES = r"(?i)\.xml(\.gz)?$"
+SESSION_NAMES = r"(?i)\.xml$"
+#: Files that writers.write_documents has written.
+WRITTEN_NAMES = r"/source_file=[^/]+/part-[^/]*$"
 PEEK = 2048
 PREAMBLE_PEEK = 500
 
-SCAN = "source_file string, root string, is_valid boolean, had_preamble boolean, error string, error_offset long, locs array<string>"
+SCAN = "path string, source_file string, root string, is_valid boolean, had_preamble boolean, error string, error_offset long, locs array<string>"
 
 
 def strip_preamble(content: bytes) -> tuple[bytes, bool]:
@@ -30,18 +38,20 @@ def strip_preamble(content: bytes) -> tuple[bytes, bool]:
     return (content[at:], True) if at > 0 else (start, False)
 
 
+def _pieces(content: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The document in pieces; a gzipped one is unpacked piece by piece."""
+    source = io.BytesIO(content)
+    stream = gzip.GzipFile(fileobj=source) if content[:2] == b"\x1f\x8b" else source
+    while piece := stream.read(size):
+        yield piece
+
+
 def scan_xml(content: bytes) -> dict:
     """Root, validity, error with its place, and the locs that were complete before any error, in document order.
 
     Names count without prefixes and case, so loc elements of any namespace are locs. Text and CDATA
-    are taken, trimmed; empty ones are left out.
+    are taken, trimmed; empty ones are left out. Of a broken gzip file, what came before the break counts.
     """
-    if content[:2] == b"\x1f\x8b":
-        try:
-            content = gzip.decompress(content)
-        except (OSError, EOFError) as error:
-            return {"root": None, "is_valid": False, "had_preamble": False, "error": str(error), "error_offset": 0, "locs": []}
-    body, had = strip_preamble(content)
     locs: list[str] = []
     state: dict = {"root": None, "text": None}
 
@@ -63,45 +73,98 @@ def scan_xml(content: bytes) -> dict:
             state["text"].append(data)
 
     parser = expat.ParserCreate()
+    parser.buffer_text = True
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, said
-    error, place = None, None
-    stream = io.BytesIO(body)
+    error, place, had, first = None, None, False, True
     try:
-        while chunk := stream.read(1 << 20):
-            parser.Parse(chunk, False)
+        for piece in _pieces(content):
+            if first:
+                piece, had = strip_preamble(piece)
+                first = False
+            parser.Parse(piece, False)
         parser.Parse(b"", True)
     except expat.ExpatError as failed:
         error, place = str(failed), parser.ErrorByteIndex
+    except (OSError, EOFError, zlib.error) as failed:
+        error, place = str(failed), 0
     root = state["root"]
     known = root in ("urlset", "sitemapindex")
     return {"root": root, "is_valid": error is None and known, "had_preamble": had, "error": error or (None if known else "unknown root"), "error_offset": place, "locs": locs}
 
 
-def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per sitemap file below a path: see SCAN. A file is one row of one task, as its order needs."""
+def _scanned(path: str, content: bytes) -> dict:
+    """A file's row; one that writers.write_documents has written goes by the name of its folder."""
+    folder = re.search(r"/source_file=([^/]+)/part-[^/]*$", path)
+    return {"path": path, "source_file": unquote(folder[1]) if folder else path.rpartition("/")[2], **scan_xml(content)}
+
+
+def scan_files(spark: SparkSession, path: str, names: str = SITEMAP_NAMES) -> DataFrame:
+    """One row per sitemap file below a path: see SCAN. A file is one row of one task, as its order needs.
+
+    names says which base names count; SESSION_NAMES leaves packed files out. Only files with such
+    names are opened.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([{"source_file": p.rpartition("/")[2], **scan_xml(bytes(c))} for p, c in zip(frame["path"], frame["content"], strict=True)], columns=[c.split()[0] for c in SCAN.split(", ")])
+            for p, c in zip(frame["path"], frame["content"], strict=True):  # one file's locs at a time
+                yield pd.DataFrame([_scanned(p, bytes(c))], columns=[c.split()[0] for c in SCAN.split(", ")])
 
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("path").rlike(SITEMAP_NAMES)).select("path", "content").mapInPandas(run, SCAN)
+    return files.where(F.col("path").rlike(names)).select("path", "content").mapInPandas(run, SCAN)
+
+
+def zip_entries(spark: SparkSession, path: str) -> DataFrame:
+    """As scan_files, of the sitemaps in ZIP files: entries by base name, without hidden ones; path is that of the ZIP file with the entry's behind it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for p, c in zip(frame["path"], frame["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(bytes(c))) as packed:
+                    for entry in packed.infolist():
+                        base = entry.filename.rpartition("/")[2]
+                        hidden = any(part.startswith((".", "__MACOSX")) for part in entry.filename.split("/"))
+                        if not entry.is_dir() and not hidden and re.search(SITEMAP_NAMES, base):
+                            yield pd.DataFrame([_scanned(f"{p}!/{entry.filename}", packed.read(entry))], columns=[c.split()[0] for c in SCAN.split(", ")])
+
+    ship(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path)
+    return files.select("path", "content").mapInPandas(run, SCAN)
 
 
 def file_facts(scanned: DataFrame) -> DataFrame:
     """source_file, root, is_valid, is_index, is_empty, total_urls and the error, from scanned files."""
     return scanned.select(
-        "source_file", "root", "is_valid", (F.col("root") == "sitemapindex").alias("is_index"), (F.size("locs") == 0).alias("is_empty"), F.size("locs").cast("long").alias("total_urls"), "had_preamble", "error", "error_offset",
+        "path", "source_file", "root", "is_valid", (F.col("root") == "sitemapindex").alias("is_index"), (F.size("locs") == 0).alias("is_empty"), F.size("locs").cast("long").alias("total_urls"), "had_preamble", "error", "error_offset",
     )
 
 
-def ordered_locs(scanned: DataFrame, root: str = "urlset") -> DataFrame:
-    """file_idx, source_file, loc_idx, loc of the files with this root; files are in the order of their names."""
-    mine = scanned.where(F.col("root") == root)
-    names = scanned.select("source_file").distinct().agg(F.sort_array(F.collect_list("source_file")).alias("names"))
-    numbered = names.select(F.posexplode("names").alias("file_idx", "source_file"))
-    return mine.select("source_file", F.posexplode("locs").alias("loc_idx", "loc")).join(numbered, "source_file").select("file_idx", "source_file", "loc_idx", "loc")
+def file_numbers(scanned: DataFrame) -> DataFrame:
+    """path, file_idx: files numbered from 0 in the order of their names, then paths; two files of one name are two files.
+
+    Names are numbered in ranges, and each range from where the one before ends, so that no task has all files.
+    """
+    files = scanned.select("path", "source_file").repartitionByRange(F.col("source_file"), F.col("path")).withColumn("range", F.spark_partition_id())
+    return offset_numbers(files, "range", [F.col("source_file"), F.col("path")], "file_idx").select("path", "file_idx")
+
+
+def offset_numbers(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """The rows with a number from 0, by group and then the order in it; groups are few, their sizes are summed in one small table."""
+    sizes = rows.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    numbered = rows.withColumn("__rn", within).join(sizes.select("__g", before.alias("__before")), F.col(group) == F.col("__g"))
+    return numbered.withColumn(name, F.col("__before") + F.col("__rn") - 1).drop("__g", "__rn", "__before")
+
+
+def ordered_locs(scanned: DataFrame, root: str = "urlset", include_index: bool = False) -> DataFrame:
+    """file_idx, source_file, loc_idx, loc of the files with this root (and of index files, if asked); see file_numbers."""
+    roots = [root, "sitemapindex"] if include_index else [root]
+    mine = scanned.where(F.col("root").isin(*roots))
+    numbers = file_numbers(scanned).withColumnRenamed("path", "__path")
+    spread = mine.select("path", "source_file", F.posexplode("locs").alias("loc_idx", "loc"))
+    return spread.join(numbers, F.col("path") == F.col("__path")).select("file_idx", "source_file", "loc_idx", "loc")
 
 
 def index_children(scanned: DataFrame) -> DataFrame:
@@ -110,6 +173,29 @@ def index_children(scanned: DataFrame) -> DataFrame:
     return children.groupBy("source_file", "child").agg(F.min("position").alias("position"))
 
 
+def tree_locs(scanned: DataFrame, root_file: str, depth: int = 4, most: int = 100_000) -> DataFrame:
+    """loc, level of the pages below an index file: indexes are followed by their children's base names, down to a depth.
+
+    At most so many pages are returned, the nearest ones first, then by name: the bound is the operator's own.
+    """
+    named = scanned.select("source_file", "root", "locs")
+    level = named.where(F.col("source_file") == root_file).select("source_file")
+    pages: DataFrame | None = None
+    for k in range(depth + 1):
+        here = named.join(level.distinct(), "source_file")
+        found = here.where("root = 'urlset'").select(F.explode("locs").alias("loc"), F.lit(k).alias("level"))
+        pages = found if pages is None else pages.unionByName(found)
+        children = here.where("root = 'sitemapindex'").select(F.explode("locs").alias("child"))
+        level = children.select(F.element_at(F.split("child", "/"), -1).alias("source_file"))
+    return pages.groupBy("loc").agg(F.min("level").alias("level")).orderBy("level", "loc").limit(most)
+
+
+def child_kind(url: Column) -> Column:
+    """How a child of an index is read: xml, list (text), or xml at first try for other endings."""
+    path = F.lower(F.regexp_replace(url, r"[?#].*$", ""))
+    return F.when(path.rlike(r"\.xml(\.gz)?$"), "xml").when(path.endswith(".txt"), "list").otherwise("try_xml")
+
+
 def read_sitemap_rows(spark: SparkSession, path: str, row_tag: str = "url") -> DataFrame:
     """loc, lastmod and source_file by Spark's own XML reader, where order within files does not matter."""
     rows = spark.read.format("xml").option("rowTag", row_tag).schema("loc string, lastmod string").load(path)
@@ -132,6 +218,21 @@ def robots_sitemaps(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.where(F.lower(F.ltrim(F.col(line))).startswith("sitemap:")).select(F.trim(F.substring(F.ltrim(F.col(line)), 9, 1 << 20)).alias("sitemap")).where("sitemap <> ''")
 
 
+# Where a sitemap is looked for when no robots file names one.
+FALLBACK_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemaps.xml", "/sitemap1.xml", "/sitemap/sitemap.xml", "/sitemap/index.xml", "/wp-sitemap.xml", "/sitemap.xml.gz", "/sitemap.txt")
+
+
+def sitemaps_to_try(sites: DataFrame, directives: DataFrame) -> DataFrame:
+    """site, sitemap, from_robots: what a site's robots file names, or the usual places where it names none.
+
+    sites has site (scheme and host), directives site and sitemap.
+    """
+    named = directives.select("site", "sitemap").distinct().withColumn("from_robots", F.lit(True))
+    places = F.explode(F.array(*[F.lit(p) for p in FALLBACK_PATHS]))
+    other = sites.select("site").distinct().join(named.select("site"), "site", "left_anti").select("site", places.alias("place"))
+    return named.unionByName(other.select("site", F.concat(F.regexp_replace("site", "/+$", ""), "place").alias("sitemap"), F.lit(False).alias("from_robots")))
+
+
 def list_lines(texts: DataFrame, text: str = "value") -> DataFrame:
     """url: the lines of lists, trimmed, without empty ones and comments."""
     lines = texts.select(F.explode(F.transform(F.split(F.col(text), r"\r?\n"), lambda x: F.trim(x))).alias("url"))
@@ -151,10 +252,20 @@ def html_links(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def json_batches(spark: SparkSession, path: str) -> DataFrame:
-    """file_idx, source_file, loc_idx, loc of a JSON array of {name, urls}."""
-    rows = spark.read.option("multiLine", "true").schema("name string, urls array<string>").json(path)
-    order = rows.withColumn("file_idx", F.monotonically_increasing_id())
-    return order.select("file_idx", F.col("name").alias("source_file"), F.posexplode("urls").alias("loc_idx", "loc"))
+    """file_idx, source_file, loc_idx, loc of JSON arrays of {name, urls}: files by path, and entries as they stand in each."""
+    texts = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    entries = texts.select("path", F.posexplode(F.from_json("value", "array<struct<name:string,urls:array<string>>>")).alias("entry", "e"))
+    counts = entries.select("path", "entry", F.col("e.name").alias("source_file"), F.col("e.urls").alias("urls"))
+    numbered = offset_numbers(counts.repartitionByRange("path").withColumn("range", F.spark_partition_id()), "range", [F.col("path"), F.col("entry")], "file_idx")
+    return numbered.select("file_idx", "source_file", F.posexplode("urls").alias("loc_idx", "loc"))
+
+
+def result_csv(spark: SparkSession, path: str) -> DataFrame:
+    """url, status of a results CSV: the first two cells of each line but the header, without lines that lack either."""
+    lines = spark.read.text(path).select(F.split("value", ",").alias("cells"), F.lower(F.trim("value")).alias("line"))
+    cell = lambda i: F.trim(F.regexp_replace(F.get("cells", F.lit(i)), '^\\s*"|"\\s*$', ""))
+    rows = lines.where(~F.col("line").startswith("url,") & (F.col("line") != "")).select(cell(0).alias("url"), cell(1).alias("status"))
+    return rows.where((F.col("url") != "") & (F.coalesce("status", F.lit("")) != ""))
 
 
 def csv_urls(spark: SparkSession, path: str, column: str = "url") -> DataFrame:

@@ -26,12 +26,14 @@ def sitemap_documents(locs: DataFrame, lastmod: Column | None = None, most: int
 
 
 def index_document(files: DataFrame, domain: str, folder: str = "", lastmod: Column | None = None) -> DataFrame:
-    """xml: the index of files (file_idx, source_file) below a domain and a folder."""
+    """part, xml: the index of files (file_idx, source_file) below a domain and a folder, 50,000 files an index."""
     base = domain.rstrip("/") + "/" + (folder.strip("/") + "/" if folder.strip("/") else "")
     day = F.date_format(F.current_date() if lastmod is None else lastmod, "yyyy-MM-dd")
     entry = F.concat(F.lit(f"  <sitemap>\n    <loc>{base}"), rules.xml_escape(F.col("source_file")), F.lit("</loc>\n    <lastmod>"), day, F.lit("</lastmod>\n  </sitemap>\n"))
     listed = F.sort_array(F.collect_list(F.struct("file_idx", entry.alias("xml"))))
-    return files.agg(F.concat(F.lit(INDEX_OPEN), F.array_join(F.transform(listed, lambda e: e["xml"]), ""), F.lit("</sitemapindex>\n")).alias("xml"))
+    # An index has 50,000 files at most, by the format; further ones go to further indexes.
+    parts = files.groupBy(F.floor(F.col("file_idx") / FILE_LOCS).alias("part")).agg(F.array_join(F.transform(listed, lambda e: e["xml"]), "").alias("body"))
+    return parts.select("part", F.concat(F.lit(INDEX_OPEN), "body", F.lit("</sitemapindex>\n")).alias("xml"))
 
 
 def index_folder(xml: Column) -> Column:
@@ -40,9 +42,15 @@ def index_folder(xml: Column) -> Column:
     return F.coalesce(F.nullif(path, F.lit("")), F.lit("/sitemaps/"))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """Each document as text below a folder of its file's name."""
-    documents.select("source_file", F.rtrim("xml").alias("value")).write.partitionBy("source_file").text(path)
+def write_documents(documents: DataFrame, path: str, packed: bool = False) -> None:
+    """Each document as text below a folder of its file's name; a file a document where its rows are dealt out so."""
+    rows = documents.select("source_file", F.rtrim("xml").alias("value"))
+    rows.write.partitionBy("source_file").option("compression", "gzip" if packed else "none").option("lineSep", "\n").text(path)
+
+
+def with_lastmod(entries: DataFrame, day: Column | None = None) -> DataFrame:
+    """The entries (loc, lastmod ...) of a sitemap or an index with lastmod set to a day, today if none is given, whether they had one or not."""
+    return entries.withColumn("lastmod", F.date_format(F.current_date() if day is None else day, "yyyy-MM-dd"))
 
 
 def write_csv(rows: DataFrame, path: str, most: int | None = None) -> None:

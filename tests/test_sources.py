@@ -1,4 +1,5 @@
 import gzip
+import zipfile
 
 from pyspark.sql import functions as F
 
@@ -62,3 +63,36 @@ def test_stream_of_progress_equals_the_fold(spark, tmp_path):
     assert [tuple(r) for r in spark.table("live_progress_rows").orderBy("seq").collect()] == want
     percents = [w[2] for w in want]
     assert percents == sorted(percents)
+
+
+def test_files_of_one_name_are_two_files(spark, tmp_path):
+    for folder, k in (("a", 1), ("b", 2)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "s.xml").write_text(f"<urlset><url><loc>https://e.com/{k}</loc></url></urlset>")
+    locs = readers.ordered_locs(readers.scan_files(spark, str(tmp_path))).collect()
+    assert sorted((r.file_idx, r.loc_idx, r.loc) for r in locs) == [(0, 0, "https://e.com/1"), (1, 0, "https://e.com/2")]
+
+
+def test_zip_entries_and_sessions_names(spark, tmp_path):
+    xml = "<urlset><url><loc>https://e.com/1</loc></url></urlset>"
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        for name in ("in/a.xml", "in/.hidden.xml", "__MACOSX/in/a.xml", "b.txt", "c.xml.gz"):
+            z.writestr(name, gzip.compress(xml.encode()) if name.endswith("gz") else xml)
+    (tmp_path / "d.xml.gz").write_bytes(gzip.compress(xml.encode()))
+    got = readers.zip_entries(spark, str(tmp_path)).collect()
+    assert sorted((r.source_file, r.locs) for r in got) == [("a.xml", ["https://e.com/1"]), ("c.xml.gz", ["https://e.com/1"])]
+    assert readers.scan_files(spark, str(tmp_path), readers.SESSION_NAMES).count() == 0
+
+
+def test_cut_gzip_keeps_what_came_before(spark):
+    locs = [f"https://e.com/{k}/{hash(str(k))}" for k in range(20_000)]
+    packed = gzip.compress(("<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in locs) + "</urlset>").encode())
+    got = readers.scan_xml(packed[: len(packed) // 2])
+    assert not got["is_valid"] and 0 <= len(got["locs"]) < len(locs) and got["locs"] == locs[: len(got["locs"])]
+
+
+def test_tree_follows_indexes_to_a_depth(spark):
+    rows = [(f"p/{n}", n, r, x) for n, r, x in [("i0.xml", "sitemapindex", ["h/i1.xml", "h/s0.xml"]), ("i1.xml", "sitemapindex", ["h/i2.xml", "h/i0.xml"]), ("i2.xml", "sitemapindex", ["h/s2.xml"]), ("s0.xml", "urlset", ["u1", "u2"]), ("s2.xml", "urlset", ["u2", "u3"])]]
+    scanned = spark.createDataFrame(rows, "path string, source_file string, root string, locs array<string>")
+    tree = lambda **k: [(r.loc, r.level) for r in readers.tree_locs(scanned, "i0.xml", **k).collect()]
+    assert tree() == [("u1", 1), ("u2", 1), ("u3", 3)] and tree(depth=2) == [("u1", 1), ("u2", 1)] and tree(most=1) == [("u1", 1)]
