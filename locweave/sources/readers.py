@@ -199,7 +199,9 @@ def child_kind(url: Column) -> Column:
 def read_sitemap_rows(spark: SparkSession, path: str, row_tag: str = "url") -> DataFrame:
     """loc, lastmod and source_file by Spark's own XML reader, where order within files does not matter."""
     rows = spark.read.format("xml").option("rowTag", row_tag).schema("loc string, lastmod string").load(path)
-    return rows.select(F.trim("loc").alias("loc"), "lastmod", F.col("_metadata.file_name").alias("source_file")).where("loc <> ''")
+    folder = F.regexp_extract("_metadata.file_path", r"/source_file=([^/]+)/part-[^/]*$", 1)
+    name = F.when(folder != "", F.url_decode(folder)).otherwise(F.col("_metadata.file_name"))
+    return rows.select(F.trim("loc").alias("loc"), "lastmod", name.alias("source_file")).where("loc <> ''")
 
 
 def peek_root(content: Column) -> Column:
