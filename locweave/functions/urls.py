@@ -157,9 +157,9 @@ def looks_not_found(url: Column) -> Column:
     return found
 
 
-def soft_404(body: Column, window: int = 64 * 1024, short: int = 1000) -> Column:
-    """Whether a body is a soft 404: it says so in its first 64 KB, or has fewer than 1000 bytes."""
-    head = F.lower(F.substring(body, 1, window))
+def soft_404(body: Column, window: int | None = None, short: int = 1000) -> Column:
+    """Whether a body is a soft 404: it says so (within a window from its start, if one is given), or has fewer than 1000 bytes."""
+    head = F.lower(F.substring(body, 1, window) if window else body)
     said = F.lit(False)
     for p in NOT_FOUND_PHRASES:
         said = said | F.contains(head, F.lit(p))

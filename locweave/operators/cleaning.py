@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls
+from ..shipping import scratch
 
 
 def file_totals(locs: DataFrame, expected: str) -> DataFrame:
@@ -39,15 +40,22 @@ def _keyed(locs: DataFrame, exact: bool, keep_query: bool) -> DataFrame:
     return held.join(first, F.col("__key") == F.col("__of")).withColumn("is_first", F.struct("file_idx", "loc_idx") == F.col("__first")).drop("__of", "__first")
 
 
+def _kept(keyed: DataFrame, columns: list[str]) -> DataFrame:
+    return keyed.where("is_first").select(*columns)
+
+
+def _later(keyed: DataFrame) -> DataFrame:
+    return keyed.where(~F.col("is_first")).select("file_idx", "loc_idx", F.col("loc").alias("url"), "kept_in", F.col("source_file").alias("duplicate_in"))
+
+
 def first_wins(locs: DataFrame, exact: bool = False, keep_query: bool = False) -> DataFrame:
     """The first loc of each key in the order of files and positions, as it was written."""
-    return _keyed(locs, exact, keep_query).where("is_first").select(*locs.columns)
+    return _kept(_keyed(locs, exact, keep_query), locs.columns)
 
 
 def duplicates(locs: DataFrame, exact: bool = False, keep_query: bool = False) -> DataFrame:
     """file_idx, loc_idx, url, kept_in, duplicate_in of every loc that is not the first of its key."""
-    later = _keyed(locs, exact, keep_query).where(~F.col("is_first"))
-    return later.select("file_idx", "loc_idx", F.col("loc").alias("url"), "kept_in", F.col("source_file").alias("duplicate_in"))
+    return _later(_keyed(locs, exact, keep_query))
 
 
 def shared_urls(locs: DataFrame) -> DataFrame:
@@ -62,12 +70,17 @@ def clean(locs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, Data
     locs are on-domain ones of all files. A candidate that keeps no loc is dropped as empty.
     """
     chosen = select_files(files)
-    mine = locs.join(F.broadcast(chosen.where("decision = 'candidate'").select(F.col("file_idx").alias("__f"))), F.col("file_idx") == F.col("__f")).drop("__f")
-    kept = first_wins(mine)
+    mine = locs.join(chosen.where("decision = 'candidate'").select(F.col("file_idx").alias("__f")), F.col("file_idx") == F.col("__f")).drop("__f")
+    # The keys are joined once, in a table that survivors and duplicates are both read from.
+    keyed = _keyed(mine, False, False)
+    path = scratch(locs.sparkSession, "keyed-locs")
+    keyed.write.parquet(path)
+    keyed = locs.sparkSession.read.schema(keyed.schema).parquet(path)
+    kept = _kept(keyed, locs.columns)
     counts = kept.groupBy(F.col("file_idx").alias("__f")).agg(F.count("*").alias("url_count"))
     result = chosen.join(counts, F.col("file_idx") == F.col("__f"), "left").drop("__f").withColumn("url_count", F.coalesce("url_count", F.lit(0)))
     result = result.withColumn("decision", F.when((F.col("decision") == "candidate") & (F.col("url_count") == 0), "empty").otherwise(F.col("decision")))
-    return kept, duplicates(mine), result
+    return kept, _later(keyed), result
 
 
 def summary(result: DataFrame, report: DataFrame) -> DataFrame:

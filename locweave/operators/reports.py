@@ -45,18 +45,31 @@ def page_count(rows: DataFrame, size: int) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.ceil(F.count("*") / size).alias("pages"))
 
 
-def scoped(rows: DataFrame, owner: str, users: DataFrame, groups: DataFrame) -> DataFrame:
-    """viewer_id and the rows each viewer may see: own ones, those of a led group's members, or all.
+def members_seen(users: DataFrame, groups: DataFrame) -> DataFrame:
+    """viewer_id, member: themselves, and for leads the members of their groups; super-admins, who see all, are not listed.
 
     users has user_id and role; groups has lead_user_id and member_user_ids.
     """
     led = groups.select(F.col("lead_user_id").alias("viewer_id"), F.explode("member_user_ids").alias("member"))
     own = users.where("role <> 'super-admin'").select(F.col("user_id").alias("viewer_id"), F.col("user_id").alias("member"))
     sub = users.where("role = 'sub-lead'").select(F.col("user_id").alias("viewer_id")).join(led, "viewer_id")
+    return own.unionByName(sub).distinct()
+
+
+def scoped(rows: DataFrame, owner: str, viewer: int, users: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows one viewer may see: own ones, those of a led group's members, or all."""
+    if not users.where((F.col("user_id") == viewer) & (F.col("role") == "super-admin")).isEmpty():
+        return rows
+    mine = members_seen(users, groups).where(F.col("viewer_id") == viewer).select(F.col("member").alias("__m"))
+    return rows.join(mine, F.col(owner) == F.col("__m"), "left_semi")
+
+
+def scoped_totals(counts: DataFrame, owner: str, n: str, users: DataFrame, groups: DataFrame) -> DataFrame:
+    """viewer_id, n: the sum over what each viewer may see. Owners are summed first; super-admins all have the one total."""
+    by_owner = counts.groupBy(F.col(owner).alias("__o")).agg(F.sum(n).alias("__n"))
+    seen = members_seen(users, groups).join(by_owner, F.col("member") == F.col("__o")).groupBy("viewer_id").agg(F.sum("__n").alias(n))
     every = users.where("role = 'super-admin'").select(F.col("user_id").alias("viewer_id"))
-    owners = rows.select(F.col(owner).alias("member")).distinct()
-    seen = own.unionByName(sub).distinct().unionByName(every.join(owners))
-    return seen.join(rows, F.col("member") == F.col(owner)).drop("member")
+    return seen.unionByName(every.withColumn(n, by_owner.agg(F.sum("__n").alias("total")).scalar()))
 
 
 def missing_days(reports: DataFrame, members: DataFrame, first: str, last: str) -> DataFrame:

@@ -199,7 +199,7 @@ def rbac_scope(spark, d):
     members = s.groupBy("s_nationkey").agg(F.collect_list("s_suppkey").alias("member_user_ids"))
     groups = s.join(members, "s_nationkey").select(i.alias("lead_user_id"), "member_user_ids")
     rows = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    return reports.scoped(rows, "l_suppkey", users, groups).groupBy("viewer_id").agg(F.sum("n").alias("visible"))
+    return reports.scoped_totals(rows, "l_suppkey", "n", users, groups).select("viewer_id", F.col("n").alias("visible"))
 
 
 @query("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_linestatus = 'O' AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
@@ -287,6 +287,6 @@ def ext_intersect(spark, d):
     return read(spark, d, "orders").where("o_orderstatus = 'F'").select("o_custkey").intersect(read(spark, d, "customer").where("c_acctbal > 0").select("c_custkey"))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0")
 def ext_except(spark, d):
-    return read(spark, d, "customer").select("c_custkey").exceptAll(read(spark, d, "orders").select("o_custkey").distinct())
+    return read(spark, d, "customer").select("c_custkey").exceptAll(read(spark, d, "orders").where("o_orderkey % 7 = 0").select("o_custkey").distinct())

@@ -99,14 +99,20 @@ ONLINE = f"""{FACTS}, spread AS (
 ), totals AS (
   SELECT source_file, count(*) AS n FROM locs GROUP BY source_file
 ), weighted AS (
-  SELECT t.*, CASE WHEN n > 500 THEN CAST(n AS DECIMAL(18,0)) / 500 ELSE 1 END AS weight FROM templated t JOIN totals USING (source_file) WHERE loc_idx < 500
+  SELECT t.*, CAST(1 AS DOUBLE) AS weight FROM templated t
+)"""
+#: The same with the first locs of each file only, as weights for all of it.
+CAP = 20
+CAPPED = f"""{ONLINE.rpartition(", weighted AS (")[0]}, weighted AS (
+  SELECT t.*, CASE WHEN n > {CAP} THEN CAST(n AS DECIMAL(18,0)) / {CAP} ELSE 1 END AS weight FROM templated t JOIN totals USING (source_file) WHERE loc_idx < {CAP}
 )"""
 
 
-def templated(spark: SparkSession, d: str) -> DataFrame:
-    locs = page_locs(spark, d)
-    facts = patterns.url_facts(locs)
-    return patterns.with_templates(patterns.capped(facts), patterns.online_positions(facts))
+def templated(spark: SparkSession, d: str, cap: int | None = None) -> DataFrame:
+    """The locs with their templates, all with weight 1; with a cap the first ones of each file, with the weight of all of it."""
+    facts = patterns.url_facts(page_locs(spark, d))
+    rows = patterns.capped(facts, cap=cap) if cap else facts.withColumn("weight", F.lit(1).cast(patterns.AMOUNT))
+    return patterns.with_templates(rows, patterns.online_positions(facts))
 
 
 @query(f"SELECT page_id, lower({_part('url', 2)}) AS host, {_path('url')} AS path, {_part('url', 4)} AS query, CAST(len({_segs('url')}) AS INTEGER) AS n_segments FROM pages")
@@ -169,6 +175,12 @@ def pattern_table(spark, d):
     return patterns.pattern_totals(templated(spark, d))
 
 
+@query(f"WITH {TABLE.replace(ONLINE, CAPPED)} SELECT * FROM patterns")
+def pattern_table_capped(spark, d):
+    """Totals from the first locs of each file, each standing for its share of all."""
+    return patterns.pattern_totals(templated(spark, d, CAP))
+
+
 @query(f"WITH {TABLE} SELECT template, total_urls FROM patterns ORDER BY total_urls DESC, template LIMIT 5")
 def pattern_preview_top5(spark, d):
     return patterns.largest(patterns.pattern_totals(templated(spark, d)).select("template", "total_urls"), 5)
@@ -211,11 +223,11 @@ def suspicious_segments(spark, d):
 
 
 @query(
-    f"""WITH {ONLINE}, roles AS (SELECT DISTINCT template, CASE WHEN loc LIKE 'https:%' THEN 'current' ELSE 'legacy' END AS source_role FROM weighted)
+    f"""WITH {ONLINE}, roles AS (SELECT DISTINCT template, CASE WHEN len(segs) % 2 = 1 THEN 'current' ELSE 'legacy' END AS source_role FROM weighted)
     SELECT template FROM roles WHERE source_role = 'legacy' AND template NOT IN (SELECT template FROM roles WHERE source_role = 'current')"""
 )
 def missing_in_current(spark, d):
-    role = F.when(F.col("loc").startswith("https:"), "current").otherwise("legacy")
+    role = F.when(F.size("segs") % 2 == 1, "current").otherwise("legacy")
     return patterns.missing_in_current(templated(spark, d).select("template", role.alias("source_role")).distinct()).select("template")
 
 
@@ -294,7 +306,7 @@ def all_http_urls(spark, d):
     return readers.all_urls(read(spark, d, "pages").select(F.concat_ws(" ", "url", "html").alias("value")))
 
 
-PHRASES = " OR ".join(f"contains(lower(left(html, 65536)), '{p}')" for p in urls.NOT_FOUND_PHRASES)
+PHRASES = " OR ".join(f"contains(lower(html), '{p}')" for p in urls.NOT_FOUND_PHRASES)
 
 
 @query(f"SELECT page_id, ({PHRASES}) OR octet_length(encode(html)) < 1000 AS soft_404 FROM pages")

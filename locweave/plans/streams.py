@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..shipping import scratch
 from ..streaming import progress, windows
 from .inventory import read
 
@@ -23,15 +22,9 @@ def query(sql: str | None):
     return add
 
 
-def _scratch(spark, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _finished(spark, d, make, mode="complete"):
-    name = f"s{uuid.uuid4().hex[:12]}"
-    windows.run_to_end(make(windows.event_stream(spark, f"{d}/events.parquet*")), name, _scratch(spark, name), mode)
-    return spark.table(name)
+def _finished(spark, d, make):
+    rows = make(windows.event_stream(spark, f"{d}/events.parquet*"))
+    return windows.run_to_table(rows, scratch(spark, "stream"), scratch(spark, "stream-checkpoint"), ["event_type", "window_start"])
 
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL")
@@ -52,12 +45,38 @@ def _frames(spark, d):
     return e.select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("seq"), "ts", stage.alias("stage"), (F.col("event_id") % 250).alias("current"), F.lit(250).alias("total"))
 
 
-@query(None)
+STAGE = "['upload', 'classify', 'clean', 'package'][(event_id % 1000 // 250) + 1]"
+FRAMES = f"""frames AS (SELECT CAST(user_id AS VARCHAR) AS run, event_id AS seq, epoch_us(ts) // 1000 AS ms, {STAGE} AS stage, CAST(event_id % 250 AS DOUBLE) AS cur,
+  [0.0, 35.0, 60.0, 90.0][(event_id % 1000 // 250) + 1] + [35.0, 25.0, 30.0, 10.0][(event_id % 1000 // 250) + 1] * ((event_id % 250) / CAST(250 AS DOUBLE)) AS pct,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events)"""
+
+
+@query(
+    f"""WITH RECURSIVE {FRAMES}, s AS (
+      SELECT run, rn, seq, stage, ms AS began, cur AS first, ms, cur, CAST(NULL AS DOUBLE) AS rate, CAST(pct AS DOUBLE) AS percent, ms AS now, cur AS here FROM frames WHERE rn = 1
+      UNION ALL SELECT run, rn, seq, stage, began, first, CASE WHEN gone > 0 THEN now ELSE base_ms END, CASE WHEN gone > 0 THEN here ELSE base_cur END,
+        CASE WHEN gone <= 0 THEN base_rate WHEN base_rate IS NULL THEN fresh ELSE CAST(0.3 AS DOUBLE) * fresh + CAST(0.7 AS DOUBLE) * base_rate END, percent, now, here
+      FROM (SELECT *, CASE WHEN gone > 0 THEN greatest(CAST(0 AS DOUBLE), here - base_cur) / gone END AS fresh FROM (
+        SELECT f.run, f.rn, f.seq, f.stage, CASE WHEN f.stage <> s.stage THEN f.ms ELSE s.began END AS began, CASE WHEN f.stage <> s.stage THEN f.cur ELSE s.first END AS first,
+          CASE WHEN f.stage <> s.stage THEN f.ms ELSE s.ms END AS base_ms, CASE WHEN f.stage <> s.stage THEN f.cur ELSE s.cur END AS base_cur,
+          CASE WHEN f.stage <> s.stage THEN NULL ELSE s.rate END AS base_rate, (f.ms - CASE WHEN f.stage <> s.stage THEN f.ms ELSE s.ms END) / CAST(1000 AS DOUBLE) AS gone,
+          greatest(s.percent, f.pct) AS percent, f.ms AS now, f.cur AS here
+        FROM s JOIN frames f ON f.run = s.run AND f.rn = s.rn + 1)))
+    SELECT run, seq, round(percent, 6) AS percent, round(rate, 6) AS rate,
+      round(CASE WHEN (now - began) / 1000.0 >= 5 AND here - first >= 10 AND percent < 97 AND rate <> 0 THEN (250 - here) / rate END, 6) AS eta_seconds FROM s"""
+)
 def progress_fold(spark, d):
-    return progress.fold(_frames(spark, d))
+    folded = progress.fold(_frames(spark, d))
+    return folded.select("run", "seq", *[F.round(c, 6).alias(c) for c in ("percent", "rate", "eta_seconds")])
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {FRAMES}, s AS (
+      SELECT run, rn, seq, ms AS last_ms, pct AS last_pct, TRUE AS due FROM frames WHERE rn = 1
+      UNION ALL SELECT run, rn, seq, CASE WHEN due THEN ms ELSE last_ms END, CASE WHEN due THEN pct ELSE last_pct END, due FROM (
+        SELECT f.*, s.last_ms, s.last_pct, f.rn = f.n OR (f.pct - s.last_pct >= 5 AND f.ms - s.last_ms >= 2000) AS due FROM s JOIN frames f ON f.run = s.run AND f.rn = s.rn + 1))
+    SELECT run, seq FROM s WHERE due"""
+)
 def log_gate(spark, d):
     f = _frames(spark, d)
     return progress.log_gate(f.select("run", "seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), progress.percent(F.col("stage"), F.col("current"), F.col("total")).alias("pct")))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..shipping import ship
@@ -29,6 +28,35 @@ def percent(stage: Column, current: Column, total: Column) -> Column:
     return out
 
 
+def _in_order(rows: DataFrame, names: list[str], work: Callable[[dict, dict | None, dict | None], Iterator[dict]], out: str) -> DataFrame:
+    """Frames go to a task by run and pass through it in the order of seq; work sees a run's state, a frame, and the next one if there is any.
+
+    A run's frames are streamed, never gathered: what is held is one state and one frame.
+    """
+    columns = [c.split()[0] for c in out.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict = {}
+        held: dict | None = None
+        for batch in frames:
+            made: list[dict] = []
+            for row in batch.to_dict("records"):
+                if held is not None:
+                    same = held["run"] == row["run"]
+                    made += [{"run": held["run"], **x} for x in work(state, held, row if same else None)]
+                    state = state if same else {}
+                held = row
+            yield pd.DataFrame(made, columns=columns)
+        if held is not None:
+            yield pd.DataFrame([{"run": held["run"], **x} for x in work(state, held, None)], columns=columns)
+
+    return rows.select(*names).repartition("run").sortWithinPartitions("run", "seq").mapInPandas(run, out)
+
+
+def _timed(frames: DataFrame) -> DataFrame:
+    return frames.select("run", "seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "stage", F.col("current").cast("double").alias("current"), F.col("total").cast("double").alias("total"), percent(F.col("stage"), F.col("current"), F.col("total")).alias("pct"))
+
+
 def fold(frames: DataFrame) -> DataFrame:
     """run, seq, percent (never falling), rate (items a second, smoothed) and eta_seconds for each frame in the order of seq.
 
@@ -36,20 +64,8 @@ def fold(frames: DataFrame) -> DataFrame:
     and total. A time left is given once five seconds and ten items have passed and below 97 percent.
     """
     ship(frames.sparkSession)
-    rows = frames.select("run", F.struct("seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "stage", F.col("current").cast("double").alias("current"), F.col("total").cast("double").alias("total"), percent(F.col("stage"), F.col("current"), F.col("total")).alias("pct")).alias("f"))
-    listed = rows.groupBy("run").agg(F.sort_array(F.collect_list("f")).alias("fs"))
-    out = T.ArrayType(T.StructType([T.StructField("seq", T.LongType()), T.StructField("percent", T.DoubleType()), T.StructField("rate", T.DoubleType()), T.StructField("eta_seconds", T.DoubleType())]))
-
-    @F.pandas_udf(out)
-    def run_fold(lists: pd.Series) -> pd.Series:
-        return pd.Series([step_all(fs) for fs in lists])
-
-    return listed.select("run", F.explode(run_fold("fs")).alias("r")).select("run", "r.*")
-
-
-def step_all(frames) -> list[dict]:
-    state: dict = {}
-    return [step(state, dict(f)) for f in frames]
+    names = ["run", "seq", "ms", "stage", "current", "total", "pct"]
+    return _in_order(_timed(frames), names, lambda state, frame, _: iter([step(state, frame)]), "run string, seq long, percent double, rate double, eta_seconds double")
 
 
 def step(state: dict, frame: dict) -> dict:
@@ -83,23 +99,20 @@ def live_progress(frames: DataFrame) -> DataFrame:
             held.remove()
         yield pd.DataFrame(out, columns=["run", "seq", "percent", "rate", "eta_seconds"])
 
-    rows = frames.select("run", "seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "stage", F.col("current").cast("double").alias("current"), F.col("total").cast("double").alias("total"), percent(F.col("stage"), F.col("current"), F.col("total")).alias("pct"))
-    return rows.groupBy("run").applyInPandasWithState(update, "run string, seq long, percent double, rate double, eta_seconds double", state, "append", GroupStateTimeout.NoTimeout)
+    return _timed(frames).groupBy("run").applyInPandasWithState(update, "run string, seq long, percent double, rate double, eta_seconds double", state, "append", GroupStateTimeout.NoTimeout)
 
 
 def log_gate(frames: DataFrame) -> DataFrame:
     """The frames (run, seq, ms, pct) to log: the first and last, and those 5 percent and 2 seconds past the last one logged."""
-    listed = frames.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("seq", "ms", "pct"))).alias("fs"))
-    zero = F.struct(F.lit(None).cast("long").alias("ms"), F.lit(None).cast("double").alias("pct"), F.array().cast("array<bigint>").alias("seqs"))
-    last = F.element_at("fs", -1)["seq"]
+    ship(frames.sparkSession)
 
-    def merge(a: Column, f: Column) -> Column:
-        due = a["ms"].isNull() | (f["seq"] == last) | ((f["pct"] - a["pct"] >= LOG_STEP) & (f["ms"] - a["ms"] >= LOG_SECONDS * 1000))
-        return F.struct(
-            F.when(due, f["ms"]).otherwise(a["ms"]).alias("ms"), F.when(due, f["pct"]).otherwise(a["pct"]).alias("pct"), F.when(due, F.concat(a["seqs"], F.array(f["seq"]))).otherwise(a["seqs"]).alias("seqs")
-        )
+    def gate(state: dict, frame: dict, after: dict | None) -> Iterator[dict]:
+        due = not state or after is None or (frame["pct"] - state["pct"] >= LOG_STEP and frame["ms"] - state["ms"] >= LOG_SECONDS * 1000)
+        if due:
+            state.update(ms=frame["ms"], pct=frame["pct"])
+            yield {"seq": frame["seq"]}
 
-    return listed.select("run", F.explode(F.aggregate("fs", zero, merge, lambda a: a["seqs"])).alias("seq"))
+    return _in_order(frames, ["run", "seq", "ms", "pct"], gate, "run string, seq long")
 
 
 def liveness(runs: DataFrame, now: Column, grace: str = "5 minutes", pending: str = "120 seconds") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -38,11 +39,26 @@ def first_frames(frames: DataFrame, late: str = "10 minutes") -> DataFrame:
     return frames.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run", "seq"])
 
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Run a stream over what there is and wait; its rows are the table of that name in memory."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what there is, write every micro-batch as Parquet of its own below a path, and read the rows back.
+
+    With keys the stream's rows are updates and the last one of each key counts; without, all are rows
+    of their own. A batch that is run again replaces what it wrote before. Nothing goes through the driver.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode("update" if keys else "append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return query
+    if query.lastProgress is None and not query.recentProgress:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    if not keys:
+        return rows.drop("batch")
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
 
 
 def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

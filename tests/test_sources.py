@@ -58,9 +58,9 @@ def test_stream_of_progress_equals_the_fold(spark, tmp_path):
     frames = spark.createDataFrame(rows, "run string, seq long, ts string, stage string, current int, total int").withColumn("ts", F.col("ts").cast("timestamp"))
     frames.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in"))
-    windows.run_to_end(progress.live_progress(stream), "live_progress_rows", str(tmp_path / "cp"))
+    live = windows.run_to_table(progress.live_progress(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     want = [tuple(r) for r in progress.fold(frames).orderBy("seq").collect()]
-    assert [tuple(r) for r in spark.table("live_progress_rows").orderBy("seq").collect()] == want
+    assert [tuple(r) for r in live.orderBy("seq").collect()] == want
     percents = [w[2] for w in want]
     assert percents == sorted(percents)
 
