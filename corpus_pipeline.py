@@ -13,6 +13,7 @@ one; texts are read whole, however long; an empty table gives an empty one.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,22 @@ ORACLE_SQL = None
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with their keys; those are written before they are used, as a second reading could number rows otherwise."""
-    return docs if ROW in docs.columns else written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    """The rows with their keys, the same ones however often they are read.
+
+    A row read from a file is known by the file and its place there, so a frame that is read from files
+    row by row needs no copy; whether these keys tell all rows apart is counted. Any other frame is
+    written with numbered rows first, as a second evaluation could number them otherwise.
+    """
+    if ROW in docs.columns:
+        return docs
+    try:
+        placed = docs.withColumn(ROW, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+        repeated = placed.groupBy(ROW).agg(F.count("*").alias("n")).where("n > 1")
+        if repeated.isEmpty():
+            return placed
+    except AnalysisException:  # no files behind it
+        pass
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:

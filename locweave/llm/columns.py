@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
-import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import scratch
 from ..shipping import ship as ship_package
 
 #: Bytes of an Arrow batch between Spark and Python about. Spark's own 64 MB are held several times over on either side.
@@ -53,20 +55,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as the session names it; one below the warehouse where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+#: The tables written in the innermost of the open blocks of this thread.
+_WRITTEN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder, read back: its lineage ends there and a lost executor costs nothing."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     frame.write.parquet(path)
+    if (made := _WRITTEN.get()) is not None:
+        made.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose written tables are deleted at its end; what it gives writes one that stays."""
+    outer, mine = _WRITTEN.get(), []
+    token = _WRITTEN.set(mine)
+
+    def lasting(frame: DataFrame, name: str) -> DataFrame:
+        out = written(frame, name)
+        path = mine.pop()
+        if outer is not None:
+            outer.append(path)
+        return out
+
+    try:
+        yield lasting
+    finally:
+        _WRITTEN.reset(token)
+        for path in mine:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release_memory() -> None:
     """Give back what a Python worker has freed; workers live on after a task, beside those of later stages."""
     gc.collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import written
+from .columns import passing_tables, written
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -14,6 +14,12 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     Each round points every node to the least of itself and its neighbours and contracts the edges to
     the nodes pointed to, until none is left. A round is two tables in the shared folder.
     """
+    spark = edges.sparkSession
+    with passing_tables(spark) as lasting:
+        return lasting(_contracted(edges, left, right), "components")
+
+
+def _contracted(edges: DataFrame, left: str, right: str) -> DataFrame:
     edges = written(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v").distinct(), "edges")
     roots = None
     while not edges.isEmpty():

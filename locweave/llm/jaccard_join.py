@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .columns import release_memory, ship, table, written
+from .columns import passing_tables, release_memory, ship, table, written
 from .components import components
 
 #: A link needs 100 * overlap >= PERCENT * union.
@@ -370,8 +370,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null texts among them, have an empty set and no links. Rows with equal sets are one node, so
     repeated rows cost nothing; a null id is nobody's least id unless all are null.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
+    with passing_tables(docs.sparkSession) as lasting:
+        labelled = lasting(_labelled(docs, id_col, text_col, size, percent), "labelled")
+    least = labelled.where("label is not null").groupBy("label").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1")
+    least = least.select(_apart(F.col("label")).alias("group"), "least")
+    return labelled.join(least, F.col("label") == F.col("group"), "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")
+    )
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """id, n, label of each row: rows of one component have the same label, and no others; null without words."""
     sets = written(shingle_sets(docs, id_col, text_col, size), "shingle-sets")
     total = sets.where("set_key is not null").agg(F.sum("n").alias("n")).first()["n"] or 0
     fragments = max(12, math.ceil(total / FRAGMENT_HASHES))
@@ -417,13 +427,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     last = _links(alive, _cross_packs(active, parts, percent), parts, few, percent)
     roots = components(links.union(last))
 
-    labelled = sets.join(roots, F.col("set_key") == F.col("node"), "left").select("id", "n", F.coalesce("root", "set_key").alias("label"))
-    labelled = written(labelled, "labelled")
-    least = labelled.where("label is not null").groupBy("label").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1")
-    least = least.select(_apart(F.col("label")).alias("group"), "least")
-    return labelled.join(least, F.col("label") == F.col("group"), "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")
-    )
+    return sets.join(roots, F.col("set_key") == F.col("node"), "left").select("id", "n", F.coalesce("root", "set_key").alias("label"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
