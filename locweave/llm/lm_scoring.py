@@ -3,7 +3,7 @@
 A count is kept as the number of powers of BASE it reaches. An n-gram that reaches q of them is put
 into the filter q times, as (n-gram, 1) to (n-gram, q), and read by asking for one after the other until
 an answer is no. The
-filter has a bit for each byte of text to learn from, and is cut into cells: the task that sums a cell's
+filter has three bits for each byte of text to learn from, and is cut into cells: the task that sums a cell's
 counts also sets that cell's bits, so no bits of different tasks are merged, and texts ask the cells by a
 shuffle, so that no worker holds more than one cell.
 
@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 from . import shingles as sh
 from .columns import ship, table, written
 
-#: The filter has a bit for each byte of text to learn from, and this many at least.
+#: The filter has so many bits for each byte of text to learn from, and this many at least.
+BITS_PER_BYTE = 3
 MIN_BITS = 1 << 20
+#: Bits of one cell at most.
+CELL_BITS = 1 << 26
 HASHES = 2
 BASE = 1.5
 MAX_LEVEL = 64
@@ -39,8 +42,6 @@ HOT_WORDS = 1 << 18
 HOT_PAIRS = 1 << 18
 #: Bytes of text that the frequent ones are chosen from. The choice decides where counts are kept, not what they are.
 SAMPLE_BYTES = 16 << 20
-#: Bytes of text that a cell's counts come from about.
-CELL_BYTES = 32 << 20
 #: Bytes of texts that are worked on together: each block sends a pack to each cell.
 BLOCK_BYTES = 4 << 20
 #: Tokens whose n-grams a task sums before it sends them.
@@ -195,14 +196,19 @@ def frequent(texts: DataFrame, size: int) -> list[np.ndarray]:
     return out
 
 
+def layout(size: int) -> tuple[int, int]:
+    """How many cells the filter of so many bytes of text has, and how many bits each (a power of two)."""
+    bits = max(MIN_BITS, BITS_PER_BYTE * size)
+    cell_bits = min(CELL_BITS, 1 << ((bits // 16).bit_length() - 1))
+    return -(-bits // cell_bits), cell_bits
+
+
 def learn(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model of all rows of docs, and by cell the exact counts of all words and the filter (cell, a: hashes, b: counts, bits)."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("body"))
     size = texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    bits = max(MIN_BITS, 1 << max(0, size - 1).bit_length())
-    cells = min(bits // 64, 1 << max(4, max(0, size // CELL_BYTES - 1).bit_length()))
-    cell_bits = bits // cells
+    cells, cell_bits = layout(size)
     chosen = docs.sparkSession.sparkContext.broadcast(frequent(texts, size))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from locweave.llm import lm_scoring as lm
@@ -94,3 +95,39 @@ def test_filter_grows_with_the_text(spark, monkeypatch, hot, pairs):
     # At a bit for each byte some unseen n-grams are taken for seen ones; a full filter would take all.
     off = np.array([abs(a[1] - b[1]) for a, b in zip(got, plain_scores(rows), strict=True)])
     assert off.mean() < 3
+
+
+def by_filter_and_exactly(train, test):
+    """Scores a token of texts by a filter of the size that the text to learn from gives it, and by exact counts; how full it is."""
+    h, before, _ = lm.tokens(pa.array(train))
+    (words, n), (pairs, m) = (np.unique(x, return_counts=True) for x in (h, lm.bigrams(h, before)))
+    cells, cell_bits = lm.layout(sum(len(t) for t in train))
+    names, reached = np.concatenate([words, pairs]), lm.levels(np.concatenate([n, m]))
+    cell = lm.cell_of(names, cells)
+    bits = np.concatenate([lm.filled(names[cell == k], reached[cell == k], 0, 1, cell_bits) for k in range(cells)])
+    h, before, counts = lm.tokens(pa.array(test))
+    model = lm.Model(cells, cell_bits, int(n.sum()), len(words), *[np.zeros(0, np.uint64), np.zeros(0, np.int64)] * 2)
+
+    def by_cell(asked):
+        at, out = lm.cell_of(asked, cells), np.zeros(len(asked), np.int64)
+        for k in range(cells):
+            out[at == k] = lm.probed(bits[k * cell_bits // 8 : (k + 1) * cell_bits // 8], asked[at == k], 1, cell_bits)
+        return out
+
+    def exact(names, n, asked):
+        known, place = lm.found(names, asked)
+        return np.where(known, lm.levels(n[place]), 0)
+
+    def score(own, seen, context):
+        return np.add.reduceat(model.parts[lm.code(own, seen)] - model.context[context], np.cumsum(counts) - counts) / counts
+
+    got = score(by_cell(h), by_cell(lm.bigrams(h, before)), by_cell(before))
+    return got, score(exact(words, n, h), exact(pairs, m, lm.bigrams(h, before)), exact(words, n, before)), np.unpackbits(bits).mean()
+
+
+@pytest.mark.parametrize("times", [1, 10, 100])
+def test_scores_follow_exact_ones_at_any_load(times):
+    r = np.random.default_rng(times)
+    texts = lambda k: [" ".join(f"w{x}" for x in row) for row in r.zipf(1.2, (k, 60)) % 50_000]
+    got, want, full = by_filter_and_exactly(texts(400 * times), texts(400))
+    assert full < 0.2 and np.corrcoef(got, want)[0, 1] > 0.99, full
