@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 from .columns import table, text_or_empty, without_white, written
 
 PREFIX_CHARS = 64
-#: Bits of the bitmap of surviving groups: 2**23 bits are 1 MB, whatever the input.
-BITMAP_BITS = 1 << 23
+#: Bits of the bitmap of surviving groups: eight a group, so that few others pass, from 128 KB up to 32 MB. Beyond
+#: that more and more texts are hashed that need not be; results are the same.
+BITS_PER_GROUP = 8
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Bits in one row of the bitmap, as bitmap_construct_agg packs them.
 ROW_BITS = 32768
 
 
+def _slots(groups: int) -> Column:
+    """How many bits the bitmap of so many groups has."""
+    return F.lit(min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_GROUP * groups - 1).bit_length() if groups else 0)))
+
+
 def _bitmap(keys: DataFrame, slot: Column) -> DataFrame:
-    """BITMAP_BITS bits at most, 32768 of them a row, a bit set for each key."""
+    """32768 bits a row, a bit set for each key."""
     return (
         keys.select(slot.alias("slot"))
         .groupBy(F.floor(F.col("slot") / ROW_BITS).alias("bitmap_row"))
@@ -49,16 +56,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
     normal = source.select("id", F.length("body").alias("n_chars"), without_white(F.col("body")).alias("norm"))
     by_length, by_prefix = F.xxhash64("norm_len"), F.xxhash64("norm_len", "prefix_hash")
-    slots = F.lit(BITMAP_BITS)
     facts = written(
         normal.select("id", "n_chars", F.length("norm").alias("norm_len"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix_hash")),
         "exact-facts",
     )
     # Level 1: lengths that occur once are settled.
-    lengths = facts.groupBy("norm_len").agg(F.count("*").alias("n")).where("n > 1")
+    lengths = written(facts.groupBy("norm_len").agg(F.count("*").alias("n")).where("n > 1"), "exact-lengths")
+    slots = _slots(lengths.count())
     level_2 = _marked(facts, _bitmap(lengths, F.pmod(by_length, slots)), F.pmod(by_length, slots)).where("survives")
     # Level 2: of the others, prefixes that occur once at their length.
-    prefixes = level_2.groupBy("norm_len", "prefix_hash").agg(F.count("*").alias("n")).where("n > 1")
+    prefixes = written(level_2.groupBy("norm_len", "prefix_hash").agg(F.count("*").alias("n")).where("n > 1"), "exact-prefixes")
+    slots = _slots(prefixes.count())
     surviving = _bitmap(prefixes, F.pmod(by_prefix, slots))
     # Level 3: the whole text, for what is left.
     keyed = normal.withColumns({"norm_len": F.length("norm"), "prefix_hash": F.xxhash64(F.substring("norm", 1, PREFIX_CHARS))})

@@ -258,13 +258,18 @@ def _pair_packs(pairs: DataFrame, parts: int) -> DataFrame:
 def _cross_packs(active: DataFrame, parts: int, percent: int) -> DataFrame:
     """The pairs between components that share a prefix n-gram, as packs.
 
-    A token's holders are packed in chunks of bounded size; each holder outside the largest component
-    meets the chunks, and the pairs that sizes and positions allow are made there.
+    A token's holders are packed by classes of size in chunks of bounded length. Similar sets are in the
+    same class or the next one, so each holder outside the largest component meets those chunks only;
+    the pairs that sizes and positions allow are made there.
     """
-    sizes = active.groupBy(F.col("token").alias("of")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = active.join(sizes, F.col("token") == F.col("of")).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
-    chunks = dealt.groupBy("token", "chunk").agg(F.collect_list(F.struct("key", "n", "rest", "root")).alias("held")).select(_apart(F.col("token")).alias("at"), "held")
-    outside = active.where("root <> largest").select("token", "key", "n", "rest", "root", "largest", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(1e-9, 1.000001 * math.log(100 / percent)))).cast("int")
+    active = active.withColumn("class", size_class)
+    sizes = active.groupBy(F.col("token").alias("of"), F.col("class").alias("of_class")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = active.join(sizes, (F.col("token") == F.col("of")) & (F.col("class") == F.col("of_class"))).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
+    chunks = dealt.groupBy("token", "class", "chunk").agg(F.collect_list(F.struct("key", "n", "rest", "root")).alias("held"))
+    chunks = chunks.select(_apart(F.col("token")).alias("at"), F.col("class").alias("at_class"), "held")
+    near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
+    outside = active.where("root <> largest").select("token", "key", "n", "rest", "root", "largest", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"), near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +284,7 @@ def _cross_packs(active: DataFrame, parts: int, percent: int) -> DataFrame:
             if len(pairs):
                 yield _pack([(p, 1, pairs[pairs[:, 0] == p, 1].astype("<i8"), pairs[pairs[:, 0] == p, 2].astype("<i8")) for p in np.unique(pairs[:, 0]).tolist()])
 
-    met = outside.join(chunks, F.col("token") == F.col("at"))
+    met = outside.join(chunks, (F.col("token") == F.col("at")) & (F.col("class") == F.col("at_class")))
     return met.select("key", "n", "rest", "root", "largest", "part", "held").mapInArrow(run, PACK)
 
 
