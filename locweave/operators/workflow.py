@@ -200,3 +200,11 @@ def parse_finished(sessions: DataFrame, files: DataFrame) -> DataFrame:
     """session_id of sessions whose files have all been parsed and have all come to an end."""
     counts = files.groupBy("session_id").agg(F.count_if(F.col("status") != "pending").alias("parsed"), F.count_if(F.col("status").isin("parsed", "failed")).alias("ended"))
     return sessions.where("total_files > 0").join(counts, "session_id").where("parsed >= total_files AND ended >= total_files").select("session_id")
+
+
+def readiness(files: DataFrame) -> DataFrame:
+    """session_id, total, parsed, next_file (the least pending id), parsed_with_rest, from files with rest (whether some of it was saved apart)."""
+    parsed = F.col("status") == "parsed"
+    return files.groupBy("session_id").agg(
+        F.count("*").alias("total"), F.count_if(parsed).alias("parsed"), F.min(F.when(F.col("status") == "pending", F.col("file_id"))).alias("next_file"), F.count_if(parsed & F.coalesce("rest", F.lit(False))).alias("parsed_with_rest")
+    )

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rules, urls
-from ..operators import exports, mismatches, patterns, rewriting, workflow
+from ..functions import rules, templates, urls
+from ..operators import cleaning, exports, mismatches, patterns, reports, rewriting, workflow
 from ..sources import readers
 from .inventory import LOCS, RX, _part, _segs, page_locs, read
 
@@ -459,3 +459,84 @@ def ext_approximate_distinct(spark, d):
 @query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '[^a-z0-9]+', '-', 'g') AS name FROM pages")
 def safe_names(spark, d):
     return read(spark, d, "pages").select("page_id", rules.safe_name(urls.host(F.col("url"))).alias("name"))
+
+
+PATHS = "p AS (SELECT page_id, ['/a/b', 'a/b/', '/', '/x.html', '/a?x=1', '/a/?x=1', ''][(page_id % 7) + 1] AS v FROM pages)"
+
+
+def _paths(spark, d):
+    values = ("/a/b", "a/b/", "/", "/x.html", "/a?x=1", "/a/?x=1", "")
+    return read(spark, d, "pages").select("page_id", F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("page_id") % 7 + 1).cast("int")).alias("v"))
+
+
+@query(f"""WITH {PATHS} SELECT page_id, 'https://e.com' || CASE WHEN v[1:1] = '/' THEN v ELSE '/' || v END AS joined,
+    ['/a/b/', NULL, NULL, NULL, '/a/?x=1', NULL, NULL][(page_id % 7) + 1] AS slashed, [NULL, 'a/b', NULL, NULL, NULL, '/a?x=1', NULL][(page_id % 7) + 1] AS stripped FROM p""")
+def path_variants(spark, d):
+    v = F.col("v")
+    return _paths(spark, d).select("page_id", urls.join_path(F.lit("https://e.com//"), v).alias("joined"), urls.add_path_slash(v).alias("slashed"), urls.strip_path_slash(v).alias("stripped"))
+
+
+@query("""SELECT page_id, [0, 1, 2][(page_id % 3) + 1] AS params, ['/a/b', '/a/{A}', '/{A}/x/{B}'][(page_id % 3) + 1] AS lettered FROM pages""")
+def pattern_params(spark, d):
+    p = F.element_at(F.array(*[F.lit(x) for x in ("/a/b", "/a/{param}", "/{param}/x/{param}")]), (F.col("page_id") % 3 + 1).cast("int"))
+    return read(spark, d, "pages").select("page_id", templates.count_params(p).alias("params"), templates.letters_for_params(p).alias("lettered"))
+
+
+@query("""SELECT event_id, ['ssl_cert', 'timeout', 'timeout', 'no_response', 'ssl_cert'][(event_id % 5) + 1] AS kind,
+    CASE WHEN event_id % 3 = 0 THEN 'skip' WHEN event_id % 2 = 0 THEN 'delete' ELSE 'fix' END AS action FROM events""")
+def error_classes(spark, d):
+    i = F.col("event_id")
+    message = F.element_at(F.array(*[F.lit(m) for m in ("Self-signed thing", "request TIMED OUT", "AbortError", "socket hang up", "unable to verify")]), (i % 5 + 1).cast("int"))
+    return read(spark, d, "events").select("event_id", rules.request_error(message).alias("kind"), rules.fix_action(i % 3 != 0, i % 2 == 0).alias("action"))
+
+
+@query("""SELECT page_id, ['https://e.com/a/b', 'https://e.com/b', 'https://o.org/x', 'https://o.org/y'][(page_id % 4) + 1] AS target FROM pages""")
+def redirect_targets(spark, d):
+    to = F.element_at(F.array(*[F.lit(m) for m in ("b", "/b", "https://o.org/x", "//o.org/y")]), (F.col("page_id") % 4 + 1).cast("int"))
+    return read(spark, d, "pages").select("page_id", urls.resolve(F.lit("https://e.com/a/c"), to).alias("target"))
+
+
+@query(f"WITH {LOCS} SELECT source_file, loc FROM (SELECT *, row_number() OVER (PARTITION BY loc ORDER BY file_idx, loc_idx) AS rn FROM locs) WHERE rn = 1")
+def exact_first_wins(spark, d):
+    return cleaning.first_wins(page_locs(spark, d), exact=True).select("source_file", "loc")
+
+
+@query("SELECT o_orderpriority AS status, count(*) FILTER (o_totalprice > 100000) AS large, count(*) FILTER (o_orderstatus = 'F') AS finished FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_orderpriority")
+def content_counts(spark, d):
+    o = read(spark, d, "orders").where("o_custkey % 2 = 0").withColumnRenamed("o_orderpriority", "status")
+    return reports.counts_where(o, ["status"], {"large": F.col("o_totalprice") > 100000, "finished": F.col("o_orderstatus") == "F"})
+
+
+@query(f"""WITH {PATTERNS} SELECT template, CASE WHEN length(template) > 5 THEN template[1:2] || '...' ELSE template END AS label, total_urls FROM pats ORDER BY total_urls DESC, template, pattern_id LIMIT 10""")
+def top10_labels(spark, d):
+    top = _patterns(spark, d).orderBy(F.desc("total_urls"), "template", "pattern_id").limit(10)
+    return top.select("template", rules.ellipsis(F.col("template"), 5).alias("label"), "total_urls")
+
+
+@query(f"""WITH {LOCS} SELECT seq, rtrim(regexp_extract(loc, '^(?i)[a-z]+://[^/?#]+', 0), '/') AS site, loc FROM locs""")
+def template_undo(spark, d):
+    """A template rewrite and the same one backwards give the locs as they were."""
+    rows = page_locs(spark, d).select("seq", "loc")
+    there = rewriting.rewrite(rows, {"kind": "template", "old": "/en/{param}", "new": "/english/{param}"})
+    back = rewriting.rewrite(there.select("seq", "loc"), {"kind": "template", "old": "/english/{param}", "new": "/en/{param}"})
+    return back.select("seq", F.regexp_extract("loc", r"^(?i)[a-z]+://[^/?#]+", 0).alias("site"), "loc")
+
+
+@query(f"""WITH {LOCS}, f AS (SELECT seq, loc, CASE WHEN loc LIKE '%/' OR regexp_matches(loc, '[?#]') OR regexp_matches(loc, '\\.[A-Za-z0-9]+$') THEN loc ELSE loc || '/' END AS fixed FROM locs WHERE NOT regexp_matches(loc, '[?#]'))
+    SELECT seq, fixed AS loc, fixed <> loc AS fixed FROM f""")
+def slash_fix(spark, d):
+    rows = page_locs(spark, d).where(~F.col("loc").rlike("[?#]")).select("seq", "loc")
+    return rewriting.rewrite(rows, {"kind": "trailing_slash"}).select("seq", "loc", F.col("rewritten").alias("fixed"))
+
+
+@query("SELECT event_id, event_type, user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'view' ORDER BY user_id DESC, event_type, event_id LIMIT 40")
+def any_column_sort(spark, d):
+    e = read(spark, d, "events").where("event_type = 'view'").select("event_id", "event_type", "user_id", F.col("ts").cast("date").alias("day"))
+    return reports.page(e, [F.desc("user_id"), F.asc("event_type"), F.asc("event_id")], 1, 40)
+
+
+@query(f"""WITH {FILES} SELECT session_id, count(*) AS total, count(*) FILTER (status = 'parsed') AS parsed, min(file_id) FILTER (status = 'pending') AS next_file,
+    count(*) FILTER (status = 'parsed' AND file_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) AS parsed_with_rest FROM files GROUP BY session_id""")
+def readiness_counters(spark, d):
+    rest = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("file_id")).distinct().withColumn("rest", F.lit(True))
+    return workflow.readiness(_files(spark, d).join(rest, "file_id", "left"))
