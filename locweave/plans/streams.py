@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cleaning
 from ..shipping import scratch
 from ..streaming import progress, windows
 from .inventory import read
@@ -92,3 +93,30 @@ def run_liveness(spark, d):
     runs = read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_seen"))
     runs = runs.withColumns({"phase": F.when(i == 0, "pending").when(i == 1, "cleaning").when(i == 2, "uploading").otherwise("finished"), "subscribers": F.col("user_id") % 2})
     return progress.liveness(runs, F.lit("2024-01-30").cast("timestamp_ntz")).select("user_id", "phase", "state")
+
+
+STAGES = ("unzip", "parse", "mystery", "dedup", "zip", "cleanup")
+
+
+@query(
+    """WITH f AS (SELECT user_id AS run, event_id AS seq, ['upload', 'classify', NULL, 'clean', 'package', 'package'][(event_id % 6) + 1] AS s FROM events)
+    SELECT run, seq, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY run ORDER BY seq ROWS UNBOUNDED PRECEDING), 'upload') AS step FROM f"""
+)
+def stage_steps(spark, d):
+    stage = F.element_at(F.array(*[F.lit(x) for x in STAGES]), (F.col("event_id") % 6 + 1).cast("int"))
+    return progress.with_steps(read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), stage.alias("stage"))).select("run", "seq", "step")
+
+
+@query(
+    """WITH u AS (SELECT 'r' || (event_id % 5) AS run_id, event_id // 20 AS batch, event_id % 3 AS attempt, event_id, CASE WHEN event_id % 7 = 0 THEN 'unparsable' WHEN event_id % 11 = 0 THEN 'index' WHEN event_id % 4 = 0 THEN 'wrong_domain' ELSE 'candidate' END AS decision FROM events)
+    SELECT run_id, batch, attempt, event_id, decision FROM u QUALIFY attempt = max(attempt) OVER (PARTITION BY run_id, batch)"""
+)
+def stream_classify(spark, d):
+    """Uploads are classified batch by batch as they come; of each batch of a run the latest attempt counts."""
+    i = F.col("event_id")
+    uploads = windows.event_stream(spark, f"{d}/events.parquet*").select(
+        F.concat(F.lit("r"), (i % 5).cast("string")).alias("run_id"), F.floor(i / 20).alias("batch"), (i % 3).alias("attempt"), "event_id",
+        (i % 7 != 0).alias("is_valid"), F.when(i % 11 == 0, "sitemapindex").otherwise("urlset").alias("root_element"), F.lit(10).alias("total"), F.when(i % 4 == 0, 1).otherwise(9).alias("matching"),
+    )
+    classified = cleaning.select_files(uploads).select("run_id", "batch", "attempt", "event_id", "decision")
+    return cleaning.latest_batches(windows.run_to_table(classified, scratch(spark, "uploads"), scratch(spark, "uploads-checkpoint")))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..shipping import ship
@@ -14,6 +15,11 @@ from ..shipping import ship
 # The steps of a run with their share of the whole, and the smoothing of the rate.
 STEPS = (("upload", 35), ("classify", 25), ("clean", 30), ("package", 10))
 SMOOTHING = 0.3
+# The step that each stage of a run's log belongs to.
+STAGE_STEP = {
+    "upload": "upload", "unzip": "upload", "start": "classify", "parse": "classify", "select": "classify", "dedup": "clean",
+    "output": "clean", "index": "package", "report": "package", "cleanup": "package", "zip": "package",
+}
 LEAST_SECONDS, LEAST_ITEMS, NO_ETA_FROM = 5.0, 10, 97.0
 LOG_STEP, LOG_SECONDS = 5.0, 2.0
 
@@ -28,6 +34,17 @@ def percent(stage: Column, current: Column, total: Column) -> Column:
     return out
 
 
+def step_of(stage: Column) -> Column:
+    """The step of a logged stage, null for one that is not known."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in STAGE_STEP.items() for x in kv]), stage)
+
+
+def with_steps(frames: DataFrame) -> DataFrame:
+    """The frames (run, seq, stage ...) with step; under a stage that is not known a run stays at the step it was at, upload at first."""
+    so_far = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return frames.withColumn("step", F.coalesce(F.last(step_of(F.col("stage")), ignorenulls=True).over(so_far), F.lit("upload")))
+
+
 def _in_order(rows: DataFrame, names: list[str], work: Callable[[dict, dict | None, dict | None], Iterator[dict]], out: str) -> DataFrame:
     """Frames go to a task by run and pass through it in the order of seq; work sees a run's state, a frame, and the next one if there is any.
 

@@ -48,17 +48,17 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str]
     spark = stream.sparkSession
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/__batch={number}")
 
     query = stream.writeStream.foreachBatch(keep).outputMode("update" if keys else "append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.lastProgress is None and not query.recentProgress:
         return spark.createDataFrame([], stream.schema)
-    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())])).parquet(path)
     if not keys:
-        return rows.drop("batch")
+        return rows.drop("__batch")
     values = [c for c in stream.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "__batch").alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
 
 
 def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from locweave.operators import cleaning, patterns, reports, rewriting, scoring
+from locweave.operators import clean_job, cleaning, patterns, reports, rewriting, scoring
+from locweave.sources import readers
 
 
 def frame(spark, rows, schema):
@@ -107,3 +108,33 @@ def test_delete_is_by_file_or_everywhere(spark):
 def test_nearest_rank(spark):
     rows = frame(spark, [("k", float(i)) for i in range(1, 21)], "k string, v double")
     assert reports.nearest_rank(rows, "k", "v").first().v == 19.0
+
+
+def test_whole_cleaning_of_a_folder(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    (source / "more").mkdir(parents=True)
+    xml = lambda *locs: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in locs) + "</urlset>"
+    (source / "a.xml").write_text(xml("https://e.com/1", "https://e.com/2/", "https://o.org/x", "https://e.com/1"))
+    (source / "b.xml").write_text(xml("https://www.E.com/3", "https://e.com/2"))
+    (source / "more" / "b.xml").write_text(xml("https://e.com/3x"))
+    (source / "c.xml").write_text(xml("https://o.org/1", "https://o.org/2"))
+    (source / "d.xml").write_text(xml("https://e.com/1"))
+    (source / "e.xml").write_text("<urlset><url><loc>https://e.com/9</loc></url>")
+    (source / "i.xml").write_text("<sitemapindex><sitemap><loc>https://e.com/a.xml</loc></sitemap></sitemapindex>")
+    row = clean_job.clean_folder(spark, str(source), str(out), "e.com", lastmod=F.lit("2024-02-03").cast("date")).first()
+    assert (row.files_processed, row.files_kept, row.files_dropped, row.index_files_detected) == (6, 3, 3, 1)
+    assert (row.clean_urls_remaining, row.duplicates_removed) == (4, 3)
+    back = readers.ordered_locs(readers.scan_files(spark, str(out / "sitemaps"), readers.WRITTEN_NAMES))
+    assert sorted((r.source_file, r.loc) for r in back.collect()) == [("a.xml", "https://e.com/1"), ("a.xml", "https://e.com/2/"), ("b-2.xml", "https://e.com/3x"), ("b.xml", "https://www.E.com/3")]
+    report = spark.read.option("header", True).csv(str(out / "report")).orderBy("file_idx", "loc_idx")
+    assert [(r.url, r.kept_in, r.duplicate_in) for r in report.collect()] == [("https://e.com/1", "a.xml", "a.xml"), ("https://e.com/2", "a.xml", "b.xml"), ("https://e.com/1", "a.xml", "d.xml")]
+    index = "".join(p.read_text() for p in sorted((out / "index").glob("part-*")))
+    assert readers.scan_xml(index.encode())["locs"] == [f"https://e.com/sitemaps/{n}" for n in ("a.xml", "b.xml", "b-2.xml")]
+
+
+def test_one_viewer_s_scope(spark):
+    users = frame(spark, [(1, "super-admin"), (2, "sub-lead"), (3, "admin")], "user_id long, role string")
+    groups = frame(spark, [(2, [3, 4])], "lead_user_id long, member_user_ids array<long>")
+    rows = frame(spark, [(k, f"r{k}") for k in (1, 2, 3, 4, 5)], "owner long, v string")
+    seen = lambda viewer: sorted(r.owner for r in reports.scoped(rows, "owner", viewer, users, groups).collect())
+    assert (seen(1), seen(2), seen(3), seen(9)) == ([1, 2, 3, 4, 5], [2, 3, 4], [3], [])
