@@ -44,7 +44,9 @@ def index_folder(xml: Column) -> Column:
 
 def write_documents(documents: DataFrame, path: str, packed: bool = False) -> None:
     """Each document as text below a folder of its file's name; a file a document where its rows are dealt out so."""
-    rows = documents.select("source_file", F.rtrim("xml").alias("value"))
+    # Many small files: their writing is dealt to all tasks, however little text it is.
+    tasks = documents.sparkSession.sparkContext.defaultParallelism
+    rows = documents.select("source_file", F.rtrim("xml").alias("value")).repartition(tasks, "source_file")
     rows.write.partitionBy("source_file").option("compression", "gzip" if packed else "none").option("lineSep", "\n").text(path)
 
 
