@@ -23,6 +23,8 @@ from locweave.llm.columns import all_of, table, written
 #: The column of row keys, written once and carried from stage to stage.
 ROW = "__locweave_row"
 SCORE = "__locweave_score"
+#: Parts that the rows of a component are dealt to, to be told which one of them stays.
+PARTS = 32
 #: Ids to drop are broadcast up to this many: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -89,12 +91,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing and all stay.
     """
     rows = keyed(docs)
-    groups = written(jaccard_join.similar_groups(rows, id_col=ROW).select(ROW, "component_id"), "near-groups")
-    # A component that has another row than the one it is named after.
-    several = groups.where(f"component_id <> {ROW}").select(F.col("component_id").alias("several")).distinct()
-    members = written(groups.join(several, F.col("component_id") == F.col("several"), "left_semi").join(rows.select(ROW, "doc_id"), ROW), "near-members")
-    kept = members.groupBy("component_id").agg(F.min(order())[ROW].alias(ROW))
-    return without(rows, members.join(kept, ROW, "left_anti"), ROW).select(*all_of(docs))
+    groups = jaccard_join.similar_groups(rows, id_col=ROW).select(F.col(ROW).alias("__member"), "component_id")
+    members = written(groups.join(rows.select(ROW, "doc_id"), F.col("__member") == F.col(ROW)).drop("__member"), "near-members")
+    # The row that stays meets a component's others in parts, so that a large component is not one task.
+    first = members.groupBy("component_id").agg(F.count("*").alias("n"), F.min(order())[ROW].alias("stays")).where("n > 1")
+    first = first.select(F.col("component_id").alias("of"), "stays", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("of_part"))
+    parted = members.withColumn("part", F.pmod(F.xxhash64(ROW), F.lit(PARTS)).cast("int"))
+    dropped = parted.join(first, (F.col("component_id") == F.col("of")) & (F.col("part") == F.col("of_part"))).where(F.col(ROW) != F.col("stays"))
+    return without(rows, dropped, ROW).select(*all_of(docs))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
