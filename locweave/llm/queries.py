@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, exact_dedup, html_extraction, jaccard_join, lm_scoring, packing, pii, quality, secrets
+from . import chat, decontamination, exact_dedup, html_extraction, jaccard_join, lm_scoring, merkle, packing, pii, quality, secrets, toxicity, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLES = {
@@ -22,4 +25,5 @@ ORACLES = {
     "op3_decontamination": decontamination.OP3_SQL,
     "op5_chat_format": chat.OP5_SQL,
     "op7_jaccard_join": jaccard_join.OP7_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
