@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from . import exports, workflow
 
 
 def on_domain(loc: Column, expected: Column, unparsable: bool = False) -> Column:
@@ -35,18 +36,29 @@ def per_file(mismatched: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(found, F.col("file_idx") == F.col("__f")).select("file_idx", "source_file", "mismatches", "hosts")
 
 
-def impact(locs: DataFrame, expected: str) -> DataFrame:
-    """What a download without other hosts does to each file that has such: source_file, total, foreign, will_be_empty."""
-    foreign = ~on_domain(F.col("loc"), F.lit(expected), True)
-    counts = locs.groupBy("source_file").agg(F.count("*").alias("total"), F.count_if(foreign).alias("foreign"))
-    return counts.where("foreign > 0").withColumn("will_be_empty", F.col("foreign") == F.col("total"))
+def impact(files: DataFrame, edited_only: bool = False) -> DataFrame:
+    """What a download without other hosts does to the current files that have such, the largest first: file_id, filename, total_urls, foreign_url_count, foreign_url_count_is_minimum, will_be_empty.
 
+    files has file_id, session_id, stored_name, source_role, deleted, is_index, total_urls and mismatched_url_count (null: 0). Deleted
+    files, indexes and those kept as URLs are passed over. A count below the file's total may be that of a sample, and
+    so is a least one; a file is said to be emptied only where the count covers it all.
+    """
+    rows = files.where((F.col("source_role") == "current") & ~F.col("deleted") & ~F.col("is_index") & ~F.col("stored_name").rlike("^https?://"))
+    rows = rows.where(workflow.is_edited(F.col("stored_name"), F.col("session_id"))) if edited_only else rows
+    total, foreign = F.coalesce("total_urls", F.lit(0)).cast("long"), F.coalesce("mismatched_url_count", F.lit(0)).cast("long")
+    told = rows.where(foreign > 0).select(
+        "file_id", exports.download_name(F.col("stored_name"), F.col("session_id")).alias("filename"), total.alias("total_urls"), foreign.alias("foreign_url_count"),
+        (total > foreign).alias("foreign_url_count_is_minimum"), ((total > 0) & (foreign >= total)).alias("will_be_empty"),
+    )
+    return told.orderBy(F.desc("foreign_url_count"), "filename")
 
-def impact_totals(by_file: DataFrame, capped: bool = False) -> DataFrame:
-    """One row: files touched, URLs that go, files left empty, and whether the count is a least one (of a capped list)."""
+
+def impact_totals(by_file: DataFrame) -> DataFrame:
+    """One row: whether there are any, files touched, the least number of URLs that go, and whether any count is that of a sample."""
     return by_file.agg(
-        F.count("*").alias("files"), F.coalesce(F.sum("foreign"), F.lit(0)).alias("urls"), F.count_if("will_be_empty").alias("emptied"), F.lit(capped).alias("is_minimum")
-    )
+        (F.count("*") > 0).alias("has_foreign_urls"), F.count("*").alias("total_affected_files"), F.coalesce(F.sum("foreign_url_count"), F.lit(0)).alias("total_foreign_urls_min"),
+        F.coalesce(F.max("foreign_url_count_is_minimum"), F.lit(False)).alias("counts_are_sampled"),
+    )
 
 
 def occurrences_of(locs: DataFrame, url: Column) -> DataFrame:

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import templates
+from .exports import EDITED_MARKS, display_name
 
-# What the names of edited copies of files have in them.
-EDITED_MARKS = ("edited", "renamed", "transformed", "redirected", "slashfix", "replaced")
 SHOWN_STATUSES = (301, 302, 307, 308, 404)
 NO_ORDER = 9999
 #: Submissions a day below which a site's queue is filled up, by engine.
@@ -25,17 +24,28 @@ def extractable(files: DataFrame, partial: DataFrame) -> DataFrame:
 
 
 def is_edited(stored: Column, session: Column) -> Column:
-    """Whether a stored name is that of an edited copy: the session's id, then one of the marks between hyphens or underscores."""
-    return F.startswith(stored, session) & F.lower(stored).rlike(r"[-_](?:" + "|".join(EDITED_MARKS) + r")[-_.]")
+    """Whether a stored name is that of an edited copy: the session's id, and one of the marks between hyphens right after it."""
+    marks = [F.startswith(stored, F.concat(session, F.lit(f"-{m}-"))) for m in EDITED_MARKS]
+    return F.coalesce(F.exists(F.array(*marks), lambda hit: hit), F.lit(False))
 
 
-def corrected_download(occurrences: DataFrame, stored: DataFrame) -> DataFrame:
-    """pattern_id, filename of each pattern's corrected file: the first by name of its files that have an edited copy.
+def corrected_download(patterns: DataFrame, occurrences: DataFrame, stored: DataFrame) -> DataFrame:
+    """pattern_id, stored_name, download_name of each pattern's corrected file; patterns that no edited file belongs to are absent.
 
-    occurrences has pattern_id and filename; stored has session_id, filename and stored_name.
+    The first by stored name of the edited files of the pattern's session and role that are not deleted and
+    no URLs, among those whose display name is one of the pattern's occurrences (pattern_id, filename), or
+    among all where it has none.
     """
-    edited = stored.where(is_edited(F.col("stored_name"), F.col("session_id"))).select("filename").distinct()
-    return occurrences.join(edited, "filename", "left_semi").groupBy("pattern_id").agg(F.min("filename").alias("filename"))
+    names = stored.where(is_edited(F.col("stored_name"), F.col("session_id")) & ~F.coalesce("deleted", F.lit(False)) & ~F.col("stored_name").rlike("^https?://"))
+    names = names.select("session_id", "source_role", "stored_name", display_name(F.col("stored_name"), F.col("session_id")).alias("shown"))
+    first = names.groupBy("session_id", "source_role").agg(F.min("stored_name").alias("stored_name"))
+    by_name = names.groupBy("session_id", "source_role", "shown").agg(F.min("stored_name").alias("stored_name"))
+    occurring = occurrences.select(F.col("pattern_id").alias("of"), F.col("filename").alias("shown")).distinct()
+    without = patterns.join(occurring, F.col("pattern_id") == F.col("of"), "left_anti").join(first, ["session_id", "source_role"])
+    among = patterns.join(occurring, F.col("pattern_id") == F.col("of")).join(by_name, ["session_id", "source_role", "shown"])
+    wanted = ["pattern_id", "session_id", "stored_name"]
+    found = without.select(*wanted).unionByName(among.groupBy("pattern_id", "session_id").agg(F.min("stored_name").alias("stored_name")))
+    return found.select("pattern_id", "stored_name", F.concat(F.lit("corrected-"), display_name(F.col("stored_name"), F.col("session_id"))).alias("download_name"))
 
 
 def with_statuses(rows: DataFrame, asked: list[int] | None, status: str = "http_status") -> DataFrame:
@@ -44,12 +54,24 @@ def with_statuses(rows: DataFrame, asked: list[int] | None, status: str = "http_
     return rows.where(F.col(status).isin(*(good or SHOWN_STATUSES)))
 
 
-def runs_of(rows: DataFrame, automated: bool | None, viewer: Column) -> DataFrame:
-    """Automated runs, the viewer's own manual ones, or both; automated ones are everybody's."""
-    mine = ~F.col("automated") & (F.col("user_id") == viewer)
-    if automated is None:
-        return rows.where(F.col("automated") | mine)
-    return rows.where("automated" if automated else mine)
+def runs_of(rows: DataFrame, kind: str = "all", visible: DataFrame | None = None, team: DataFrame | None = None, selected: int | str | None = None) -> DataFrame:
+    """The runs of a view: automated ones whoever looks; manual ones, or all, of the users in scope.
+
+    visible has the users a viewer may see (None: all of them), team those of a chosen team. A selected
+    user counts if visible; without a bound on what is visible the team goes before the selected user.
+    Runs without a user, as automated ones are, are in no scope, so that only a viewer without bounds and
+    filters has them among all.
+    """
+    if kind == "automated":
+        return rows.where("automated")
+    rows = rows.where(~F.coalesce("automated", F.lit(False))) if kind == "manual" else rows
+    users = visible if visible is not None else team
+    if visible is not None and selected is not None:
+        chosen = visible.where(F.col("user_id") == F.lit(selected))
+        users = chosen if not chosen.isEmpty() else visible
+    if users is not None:
+        return rows.join(users.select(F.col("user_id").alias("in_scope")).distinct(), F.col("user_id") == F.col("in_scope"), "left_semi")
+    return rows if selected is None else rows.where(F.col("user_id") == F.lit(selected))
 
 
 def queue_page(rows: DataFrame, gsc: str | None = None, bing: str | None = None, url_like: str | None = None) -> DataFrame:
@@ -137,16 +159,23 @@ def with_results(queue: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def new_backlinks(held: DataFrame, sent: DataFrame, sources: DataFrame) -> DataFrame:
-    """sent (url, source, user_id) with accepted: a source can be used once, unless it is reusable.
+    """sent (url, source, target, user_id) with outcome: accepted, taken, unknown source or incomplete.
 
-    Of several sent at once for one source the first by url and user is accepted.
+    A source serves a target once, while the link held (source, target, status) is pending or approved; reusable
+    sources always do. Of several sent at once for one pair the first by url and user is accepted. No target
+    is a target like any other; without an URL or a source nothing is sent.
     """
-    free = sources.where("reusable").select(F.col("source").alias("__free")).distinct()
-    used = held.select(F.col("source").alias("__used")).distinct()
-    first = sent.groupBy(F.col("source").alias("__s")).agg(F.min(F.struct("url", "user_id")).alias("__first"))
-    joined = sent.join(free, F.col("source") == F.col("__free"), "left").join(used, F.col("source") == F.col("__used"), "left").join(first, F.col("source") == F.col("__s"))
-    ok = F.col("__free").isNotNull() | (F.col("__used").isNull() & (F.struct("url", "user_id") == F.col("__first")))
-    return joined.select(*sent.columns, ok.alias("accepted"))
+    key = lambda c: F.coalesce(F.col(c), F.lit(""))
+    known = sources.groupBy(F.col("source").alias("known")).agg(F.max("reusable").alias("free"))
+    active = held.where(F.col("status").isin("pending", "approved")).select(F.col("source").alias("held_source"), key("target").alias("held_target")).distinct()
+    whole = (F.trim(key("url")) != "") & (key("source") != "")
+    first = sent.where(whole).groupBy(F.col("source").alias("first_source"), key("target").alias("first_target")).agg(F.min(F.struct("url", "user_id")).alias("first"))
+    joined = sent.join(known, F.col("source") == F.col("known"), "left")
+    joined = joined.join(active, (F.col("source") == F.col("held_source")) & (key("target") == F.col("held_target")), "left")
+    joined = joined.join(first, (F.col("source") == F.col("first_source")) & (key("target") == F.col("first_target")), "left")
+    taken = F.col("held_source").isNotNull() | ~F.struct("url", "user_id").eqNullSafe(F.col("first"))
+    outcome = F.when(~whole, "incomplete").when(F.col("known").isNull(), "unknown source").when(~F.coalesce("free", F.lit(False)) & taken, "taken").otherwise("accepted")
+    return joined.select(*sent.columns, outcome.alias("outcome"))
 
 
 def decide(links: DataFrame, decisions: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -172,8 +201,8 @@ def reordered(items: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def is_fresh(generated: Column, changed: Column) -> Column:
-    """Whether a packed download is newer than the last change; at the same time it is not."""
-    return F.coalesce(generated > changed, generated.isNotNull() & changed.isNull())
+    """Whether a packed download still holds: nothing has changed, or it was made after the change; at the same time is too early."""
+    return F.when(changed.isNull(), True).otherwise(F.coalesce(generated > changed, F.lit(False)))
 
 
 def without_sessions(table: DataFrame, gone: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def file_robots(spark, d):
 
 
 @query("""SELECT 'https://h' || page_id AS site, 'https://h' || page_id || '/own.xml' AS sitemap, TRUE AS from_robots FROM pages WHERE page_id % 2 = 0
-    UNION ALL SELECT 'https://h' || page_id, 'https://h' || page_id || unnest(['/sitemap.xml', '/sitemap_index.xml', '/sitemap-index.xml', '/sitemaps.xml', '/sitemap1.xml', '/sitemap/sitemap.xml', '/sitemap/index.xml', '/wp-sitemap.xml', '/sitemap.xml.gz', '/sitemap.txt']), FALSE FROM pages WHERE page_id % 2 = 1""")
+    UNION ALL SELECT 'https://h' || page_id, 'https://h' || page_id || unnest(['/sitemap.xml', '/sitemap_index.xml', '/sitemap-index.xml', '/sitemap/sitemap.xml', '/sitemaps/sitemap.xml', '/sitemap/index.xml', '/wp-sitemap.xml', '/news-sitemap.xml', '/product-sitemap.xml', '/page-sitemap.xml']), FALSE FROM pages WHERE page_id % 2 = 1""")
 def sitemaps_to_try(spark, d):
     sites = read(spark, d, "pages").select("page_id", F.concat(F.lit("https://h"), F.col("page_id").cast("string")).alias("site"))
     return readers.sitemaps_to_try(sites, sites.where("page_id % 2 = 0").select("site", F.concat("site", F.lit("/own.xml")).alias("sitemap")))

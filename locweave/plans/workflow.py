@@ -6,11 +6,14 @@ logs, customers for sessions and users, parts for stored files.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules, templates, urls
 from ..operators import cleaning, exports, mismatches, patterns, reports, rewriting, workflow
+from ..operators.ordering import placed
 from ..sources import readers
 from .inventory import LOCS, RX, _part, _segs, page_locs, read
 
@@ -66,21 +69,44 @@ def downloadable_locs(spark, d):
     return mismatches.downloadable(read(spark, d, "pages").select("page_id", mixed.alias("loc")), DOMAIN)
 
 
-@query(f"WITH {HOSTS} SELECT source_file, count(*) AS total, count(*) FILTER (NOT mine) AS \"foreign\", count(*) FILTER (NOT mine) = count(*) AS will_be_empty FROM h GROUP BY source_file HAVING count(*) FILTER (NOT mine) > 0")
+HITS = """hits AS (SELECT o_orderkey AS file_id, 's' || (o_custkey % 9) AS session_id, CASE WHEN o_orderkey % 6 = 5 THEN 'https://e.com/' ELSE '' END
+    || 's' || (o_custkey % 9) || ['-', '-fixed-a1-', '-current-'][(o_orderkey % 3) + 1] || 'f' || o_orderkey || '.xml' AS stored_name,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'legacy' ELSE 'current' END AS source_role, o_orderkey % 10 = 0 AS deleted, o_orderkey % 11 = 0 AS is_index,
+  CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey % 50 END AS total_urls, CASE WHEN o_orderkey % 17 <> 0 THEN o_custkey % 70 END AS mismatched_url_count FROM orders),
+  hit AS (SELECT *, coalesce(mismatched_url_count, 0) AS n, coalesce(total_urls, 0) AS t, stored_name LIKE session_id || '-fixed-%' AS edited FROM hits
+    WHERE source_role = 'current' AND NOT deleted AND NOT is_index AND stored_name NOT LIKE 'http%' AND coalesce(mismatched_url_count, 0) > 0)"""
+
+
+def _hits(spark, d):
+    """Files with the number of their URLs on other hosts."""
+    k, s = F.col("o_orderkey"), F.concat(F.lit("s"), (F.col("o_custkey") % 9).cast("string"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("-", "-fixed-a1-", "-current-")]), (k % 3 + 1).cast("int"))
+    stored = F.concat(F.when(k % 6 == 5, "https://e.com/").otherwise(""), s, kind, F.lit("f"), k.cast("string"), F.lit(".xml"))
+    return read(spark, d, "orders").select(
+        k.alias("file_id"), s.alias("session_id"), stored.alias("stored_name"), F.when(k % 4 == 0, "legacy").otherwise("current").alias("source_role"), (k % 10 == 0).alias("deleted"), (k % 11 == 0).alias("is_index"),
+        F.when(k % 13 != 0, F.col("o_custkey") % 50).alias("total_urls"), F.when(k % 17 != 0, F.col("o_custkey") % 70).alias("mismatched_url_count"),
+    )
+
+
+@query(f"WITH {HITS} SELECT file_id, 'f' || file_id || '.xml' AS filename, t AS total_urls, n AS foreign_url_count, t > n AS foreign_url_count_is_minimum, t > 0 AND n >= t AS will_be_empty FROM hit")
 def foreign_impact(spark, d):
-    return mismatches.impact(page_locs(spark, d), DOMAIN)
+    return mismatches.impact(_hits(spark, d))
 
 
-@query(f"""WITH {HOSTS}, f AS (SELECT source_file, count(*) AS total, count(*) FILTER (NOT mine) AS n FROM h GROUP BY source_file)
-    SELECT count(*) FILTER (n > 0) AS files, CAST(sum(n) AS BIGINT) AS urls, count(*) FILTER (n = total) AS emptied, FALSE AS is_minimum FROM f""")
+@query(f"WITH {HITS} SELECT file_id, t > 0 AND n >= t AS will_be_empty FROM hit WHERE edited")
+def foreign_impact_edited(spark, d):
+    return mismatches.impact(_hits(spark, d), edited_only=True).select("file_id", "will_be_empty")
+
+
+@query(f"WITH {HITS} SELECT count(*) > 0 AS has_foreign_urls, count(*) AS total_affected_files, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_foreign_urls_min, coalesce(bool_or(t > n), FALSE) AS counts_are_sampled FROM hit")
 def foreign_impact_totals(spark, d):
-    return mismatches.impact_totals(mismatches.impact(page_locs(spark, d), DOMAIN))
+    return mismatches.impact_totals(mismatches.impact(_hits(spark, d)))
 
 
 @query(f"WITH {LOCS}, one AS (SELECT min(loc) AS u FROM locs) SELECT source_file, count(*) AS n FROM locs, one WHERE loc = u GROUP BY source_file")
 def url_occurrences(spark, d):
     locs = page_locs(spark, d)
-    return mismatches.occurrences_of(locs, F.lit(locs.agg(F.min("loc")).first()[0]))
+    return mismatches.occurrences_of(locs, locs.agg(F.min("loc").alias("first")).scalar())
 
 
 FILES = """files AS (SELECT o_orderkey AS file_id, o_custkey AS session_id, 'f' || (o_orderkey % 50) || '.xml' AS filename,
@@ -101,22 +127,15 @@ def extractable_files(spark, d):
     return workflow.extractable(_files(spark, d), partial).select("file_id", "filename")
 
 
-@query(f"WITH {FILES} SELECT file_id, row_number() OVER (ORDER BY is_index DESC, filename, file_id) AS place FROM files QUALIFY place <= 200")
+@query(f"WITH {FILES} SELECT file_id, row_number() OVER (ORDER BY is_index DESC, filename, file_id) AS place FROM files")
 def index_files_first(spark, d):
-    first = _files(spark, d).orderBy(*workflow.index_first()).limit(200)
-    return _placed(first, "file_id")
-
-
-def _placed(rows, key):
-    """key and place of a few ordered rows, so that their order can be compared."""
-    listed = rows.agg(F.collect_list(key).alias("ids"))
-    return listed.select(F.posexplode("ids").alias("place", key)).select(key, (F.col("place") + 1).cast("long").alias("place"))
+    return placed(_files(spark, d), workflow.index_first()).select("file_id", "place")
 
 
 PATTERNS = """pats AS (SELECT p_partkey AS pattern_id, '/' || p_size || '/' || (p_partkey % 40) AS template, CASE WHEN p_partkey % 2 = 0 THEN 'current' ELSE 'legacy' END AS source_role,
   p_partkey % 5 = 0 AND p_partkey % 2 = 1 AS missing_in_current, CAST(p_size AS BIGINT) * 10 AS total_urls,
   CASE WHEN p_partkey % 3 = 0 THEN 'GOOD' WHEN p_partkey % 3 = 1 THEN 'WARNING' ELSE 'BAD' END AS status, CAST(p_partkey % 100 AS INTEGER) AS confidence_pct, CAST(p_partkey * 7 % 100 AS INTEGER) AS redirect_pct,
-  CASE WHEN p_partkey % 13 = 0 THEN 'old' END AS suspicious_segment, CASE WHEN p_partkey % 17 = 0 THEN 'tmp' END AS artifact_segment, p_partkey % 19 = 0 AS has_soft_404 FROM part)"""
+  100.0 / (1 + p_partkey % 7) AS coverage_pct, CASE WHEN p_partkey % 17 = 0 THEN 'tmp' END AS artifact_segment, p_partkey % 19 = 0 AS has_soft_404 FROM part)"""
 
 
 def _patterns(spark, d):
@@ -125,60 +144,103 @@ def _patterns(spark, d):
         k.alias("pattern_id"), F.concat(F.lit("/"), F.col("p_size").cast("string"), F.lit("/"), (k % 40).cast("string")).alias("template"), F.when(k % 2 == 0, "current").otherwise("legacy").alias("source_role"),
         ((k % 5 == 0) & (k % 2 == 1)).alias("missing_in_current"), (F.col("p_size").cast("long") * 10).alias("total_urls"),
         F.when(k % 3 == 0, "GOOD").when(k % 3 == 1, "WARNING").otherwise("BAD").alias("status"), (k % 100).cast("int").alias("confidence_pct"), (k * 7 % 100).cast("int").alias("redirect_pct"),
-        F.when(k % 13 == 0, "old").alias("suspicious_segment"), F.when(k % 17 == 0, "tmp").alias("artifact_segment"), (k % 19 == 0).alias("has_soft_404"),
+        (k % 13 < 2).alias("has_suspicious_segment"), F.when(k % 13 == 0, "old").alias("suspicious_segment_value"), (F.lit(100.0) / (1 + k % 7)).alias("coverage_pct"),
+        (k % 9).alias("sampled_count"), (k % 5).alias("hit_count"), F.lit(None).cast("int").alias("miss_count"), F.when(k % 4 == 0, "a.xml").alias("source_file"), F.lit(None).cast("string").alias("original_template"), F.when(k % 17 == 0, "tmp").alias("artifact_segment"), (k % 19 == 0).alias("has_soft_404"),
     )
 
 
-@query(f"WITH {PATTERNS} SELECT pattern_id, row_number() OVER (ORDER BY CASE source_role WHEN 'current' THEN 0 ELSE 1 END, missing_in_current DESC, total_urls DESC, template, pattern_id) AS place FROM pats QUALIFY place <= 300")
+@query(f"WITH {PATTERNS} SELECT pattern_id, row_number() OVER (ORDER BY CASE source_role WHEN 'current' THEN 0 ELSE 1 END, missing_in_current DESC, total_urls DESC, template, pattern_id) AS place FROM pats")
 def pattern_order(spark, d):
-    return _placed(_patterns(spark, d).orderBy(*workflow.pattern_order(), "pattern_id").limit(300), "pattern_id")
-
-
-@query(f"""WITH {PATTERNS}, r AS (SELECT pattern_id, unnest([
-      CASE WHEN missing_in_current THEN {{'ordinal': 0, 'message': template || ' is missing in the current sitemaps'}} END,
-      CASE WHEN status IN ('WARNING', 'BAD') THEN {{'ordinal': 1, 'message': (100 - confidence_pct) || '% of the sampled URLs of ' || template || ' failed'}} END,
-      CASE WHEN suspicious_segment IS NOT NULL THEN {{'ordinal': 2, 'message': template || ' has the suspicious segment ' || suspicious_segment}} END,
-      CASE WHEN redirect_pct > 50 THEN {{'ordinal': 3, 'message': 'More than half of ' || template || ' redirects'}} END,
-      CASE WHEN artifact_segment IS NOT NULL THEN {{'ordinal': 4, 'message': 'Redirects of ' || template || ' drop ' || artifact_segment}} END,
-      CASE WHEN has_soft_404 THEN {{'ordinal': 5, 'message': template || ' has pages that say not found'}} END]) AS x FROM pats)
-    SELECT pattern_id, x.ordinal AS ordinal, x.message AS message, CASE WHEN regexp_matches(x.message, 'failed|missing') THEN 'bad' WHEN regexp_matches(x.message, 'suspicious|redirects|not found') THEN 'warning' ELSE 'info' END AS tone
-    FROM r WHERE x IS NOT NULL""")
+    return placed(_patterns(spark, d), [*workflow.pattern_order(), F.col("pattern_id")]).select("pattern_id", "place")
+
+
+@query(f"""WITH {PATTERNS}, r AS (SELECT pattern_id, source_role = 'current' AS cur, unnest([
+      CASE WHEN missing_in_current THEN {{'ordinal': 0, 'message': 'Pattern ' || template || ' found in old sitemap - no matching pattern in new sitemap.', 'tone': 'red'}} END,
+      CASE WHEN source_role = 'current' AND status <> 'GOOD' THEN {{'ordinal': 1, 'message': 'Pattern ' || template || ' covers ' || CAST(floor(coverage_pct + 0.5) AS BIGINT) || '% of URLs; ' || (100 - confidence_pct)
+        || '% of sampled checks did not pass. Check how these pages open on the new site.', 'tone': 'red'}} END,
+      CASE WHEN source_role = 'current' AND pattern_id % 13 < 2 THEN {{'ordinal': 2, 'message': 'Pattern ' || template || ' contains a suspicious fixed segment ' || CASE WHEN pattern_id % 13 = 0 THEN 'old' ELSE 'unknown' END
+        || ' that may be a migration artifact.', 'tone': 'amber'}} END,
+      CASE WHEN source_role = 'current' AND redirect_pct > 50 THEN {{'ordinal': 3, 'message': 'Pattern ' || template || ' has a high redirect rate (' || redirect_pct || '%). URLs are live, but redirects may slow search engines down.', 'tone': 'amber'}} END,
+      CASE WHEN source_role = 'current' AND pattern_id % 17 = 0 THEN {{'ordinal': 4, 'message': 'Redirects suggest segment tmp is a migration artifact.', 'tone': 'amber'}} END,
+      CASE WHEN source_role = 'current' AND has_soft_404 THEN {{'ordinal': 5, 'message': 'Pattern ' || template || ' has soft-404 responses — pages load but show no content. Verify these URLs return real data.', 'tone': 'orange'}} END]) AS x FROM pats)
+    SELECT pattern_id, x.ordinal AS ordinal, x.message AS message, x.tone AS tone FROM r WHERE x IS NOT NULL""")
 def pattern_remarks(spark, d):
     return exports.remarks(_patterns(spark, d))
 
 
-SAMPLES = "s AS (SELECT l_partkey AS pattern_id, l_returnflag = 'N' AS is_hit, 'https://e.com/' || l_orderkey || '/' || l_linenumber AS url FROM lineitem)"
+SAMPLES = """s AS (SELECT l_orderkey * 10 + l_linenumber AS sample_id, l_partkey AS pattern_id, l_returnflag = 'N' AS is_hit, 'https://e.com/' || l_orderkey || '/' || l_linenumber AS url, l_shipdate AS checked_at,
+  CASE WHEN l_linenumber % 3 > 0 THEN 200 + l_linenumber END AS http_status, l_linenumber % 2 = 0 AS is_soft_404 FROM lineitem)"""
 
 
 def _samples(spark, d):
-    u = F.concat(F.lit("https://e.com/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))
-    return read(spark, d, "lineitem").select(F.col("l_partkey").alias("pattern_id"), (F.col("l_returnflag") == "N").alias("is_hit"), u.alias("url"))
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    u = F.concat(F.lit("https://e.com/"), k.cast("string"), F.lit("/"), n.cast("string"))
+    none = F.lit(None).cast("string")
+    return read(spark, d, "lineitem").select(
+        (k * 10 + n).alias("sample_id"), F.col("l_partkey").alias("pattern_id"), (F.col("l_returnflag") == "N").alias("is_hit"), u.alias("url"), F.col("l_shipdate").alias("checked_at"), F.when(n % 3 > 0, 200 + n).alias("http_status"),
+        (n % 2 == 0).alias("is_soft_404"), none.alias("response_ms"), none.alias("category"), none.alias("final_url"), F.lit(0).alias("redirect_count"),
+    )
 
 
-@query(f"""WITH {PATTERNS}, {SAMPLES}, c AS (SELECT pattern_id, count(*) AS samples, count(*) FILTER (is_hit) AS hits, count(*) FILTER (NOT is_hit) AS misses, min(url) AS example FROM s GROUP BY pattern_id)
-    SELECT p.pattern_id, template, source_role, total_urls, 0.5 AS coverage_pct, status, confidence_pct, redirect_pct, coalesce(samples, 0) AS samples, coalesce(hits, 0) AS hits, coalesce(misses, 0) AS misses,
-           coalesce(suspicious_segment, '') AS suspicious_segment, missing_in_current, CASE WHEN p.pattern_id % 4 = 0 THEN 'a.xml, b.xml' ELSE '' END AS source_files, coalesce(example, '') AS example
-    FROM pats p LEFT JOIN c ON c.pattern_id = p.pattern_id""")
+@query(f"""WITH {PATTERNS}, {SAMPLES}, t AS (SELECT pattern_id AS p, string_agg(url, ', ' ORDER BY checked_at, sample_id) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY checked_at, sample_id) AS rn FROM s) WHERE rn <= 3 GROUP BY pattern_id)
+    SELECT CASE source_role WHEN 'legacy' THEN 'Legacy' ELSE 'Current' END AS "Role", template AS "Pattern", CASE WHEN pattern_id % 4 = 0 THEN 'a.xml' ELSE '' END AS "Source File", total_urls AS "URL Occurrences", round(coverage_pct, 1) AS "Coverage %",
+      pattern_id % 9 AS "Sampled", pattern_id % 5 AS "Hit", CAST(0 AS INTEGER) AS "Miss", CAST(confidence_pct AS DOUBLE) AS "Confidence %", CAST(redirect_pct AS DOUBLE) AS "Redirect %", status AS "Status", CASE WHEN missing_in_current THEN 'Yes' ELSE 'No' END AS "Missing In Current",
+      CASE pattern_id % 13 WHEN 0 THEN 'old' WHEN 1 THEN 'Yes' ELSE 'No' END AS "Suspicious Segment", coalesce(urls, '') AS "Sample URLs" FROM pats LEFT JOIN t ON p = pattern_id""")
 def export_pattern_columns(spark, d):
-    p = _patterns(spark, d).withColumn("coverage_pct", F.lit(0.5))
-    files = p.where("pattern_id % 4 = 0").select("pattern_id", F.lit("a.xml, b.xml").alias("source_files"))
-    return exports.pattern_table(p, _samples(spark, d), files)
+    return exports.pattern_table(_patterns(spark, d), _samples(spark, d))
 
 
-@query(f"WITH {PATTERNS} SELECT count(*) AS patterns, CAST(sum(total_urls) AS BIGINT) AS urls, count(*) FILTER (status = 'GOOD') AS good, count(*) FILTER (status = 'WARNING') AS warning, count(*) FILTER (status = 'BAD') AS bad FROM pats")
+@query(f"""WITH {PATTERNS}, c AS (SELECT coalesce(sum(confidence_pct * coverage_pct) FILTER (source_role = 'current') / nullif(sum(coverage_pct) FILTER (source_role = 'current'), 0), 0) AS health, count(*) FILTER (status = 'GOOD' AND source_role = 'current') AS good,
+      count(*) FILTER (status = 'WARNING' AND source_role = 'current') AS warning, count(*) FILTER (status = 'BAD' AND source_role = 'current') AS bad, count(*) FILTER (missing_in_current) AS missing FROM pats),
+    o AS (SELECT max(o_orderdate) AS made, count(*) AS n FROM orders)
+    SELECT unnest(['Session name', 'Base URL', 'Date', 'Health score', 'Total URLs', 'Healthy patterns', 'Warning patterns', 'Broken patterns', 'Missing legacy patterns', 'Mismatched URLs']) AS metric,
+      unnest(['all orders', '', strftime(made, '%d %B %Y, %H:%M UTC'), CAST(CAST(floor(health + 0.5) AS BIGINT) AS VARCHAR), CAST(n AS VARCHAR), CAST(good AS VARCHAR), CAST(warning AS VARCHAR), CAST(bad AS VARCHAR), CAST(missing AS VARCHAR), '0']) AS value FROM c, o""")
 def export_summary(spark, d):
-    return exports.workbook(_patterns(spark, d), _samples(spark, d), mismatched_urls(spark, d))["summary"]
+    session = read(spark, d, "orders").agg(F.max("o_orderdate").alias("created_at"), F.count("*").alias("total_urls"))
+    session = session.withColumns({"name": F.lit("all orders"), "base_url": F.lit(None).cast("string"), "mismatched_url_count": F.lit(None).cast("long")})
+    return exports.summary(session, _patterns(spark, d))
 
 
-@query(f"WITH {PATTERNS}, {SAMPLES} SELECT s.pattern_id, is_hit, url, template FROM s LEFT JOIN pats ON pats.pattern_id = s.pattern_id")
+@query(f"""WITH {PATTERNS}, {SAMPLES} SELECT sample_id, template AS "Pattern", CASE WHEN s.pattern_id % 4 = 0 THEN 'a.xml' ELSE '' END AS "Source File", url AS "URL", coalesce(CAST(http_status AS VARCHAR), '') AS "HTTP Status", '' AS "Response Time (ms)", '' AS "Category",
+    CASE WHEN is_soft_404 THEN 'Yes' ELSE 'No' END AS "Soft-404", '' AS "Final URL", CAST(0 AS INTEGER) AS "Redirect Count", CASE WHEN is_hit THEN 'Yes' ELSE 'No' END AS "Hit", strftime(checked_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS "Checked At" FROM s JOIN pats ON pats.pattern_id = s.pattern_id""")
 def export_sampled_urls(spark, d):
-    return exports.workbook(_patterns(spark, d), _samples(spark, d), mismatched_urls(spark, d))["sampled_urls"]
+    return exports.sample_sheet(_samples(spark, d), _patterns(spark, d))
+
 
+@query(f"WITH {HOSTS} SELECT loc AS \"URL\", host AS \"Detected Host\", '{DOMAIN}' AS \"Expected Host\", source_file AS \"Sitemap File\", '2024-02-03T04:05:06.000Z' AS \"Found At\" FROM h WHERE NOT mine AND source_role = 'current'")
+def export_mismatched_urls(spark, d):
+    found = mismatches.split_hosts(_roles(spark, d), DOMAIN)[1]
+    rows = found.select(F.col("loc").alias("url"), F.col("host").alias("detected_host"), F.lit(DOMAIN).alias("expected_host"), F.col("source_file").alias("filename"), F.lit("2024-02-03 04:05:06").cast("timestamp_ntz").alias("found_at"))
+    return exports.mismatch_sheet(rows)
 
-@query("""SELECT event_id, strftime(ts, '%d/%m/%Y') AS day, CASE event_type WHEN 'click' THEN 'Clicked' WHEN 'view' THEN 'Viewed' ELSE event_type END AS label, user_id
-    FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 10000)""")
+
+RUNS = """runs AS (SELECT event_id AS log_id, user_id, event_type AS script_slug, upper(event_type) AS script_name, CASE WHEN event_id % 4 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN event_id % 4 = 0 THEN 1 WHEN event_id % 4 = 1 THEN 0 END AS exit_code,
+  ts AS started_at, CASE WHEN event_id % 5 > 0 THEN ts + INTERVAL 90 SECOND END AS completed_at, CASE WHEN event_id % 5 > 0 THEN 90000 END AS duration_ms FROM events)"""
+ISO = "'%Y-%m-%dT%H:%M:%S.%gZ'"
+TOLD = f"""script_name AS "Script", status AS "Status", coalesce(CAST(exit_code AS VARCHAR), '') AS "Exit Code", strftime(started_at, {ISO}) AS "Started At", coalesce(strftime(completed_at, {ISO}), '') AS "Completed At", coalesce(CAST(duration_ms AS VARCHAR), '') AS "Duration (ms)" """
+
+
+def _runs(spark, d):
+    i, done = F.col("event_id"), F.col("event_id") % 5 > 0
+    return read(spark, d, "events").select(
+        i.alias("log_id"), "user_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_name"), F.lit(None).cast("string").alias("user_email"), F.col("event_type").alias("script_slug"), F.upper("event_type").alias("script_name"),
+        F.when(i % 4 == 0, "error").otherwise("success").alias("status"), F.when(i % 4 == 0, 1).when(i % 4 == 1, 0).alias("exit_code"), F.col("ts").alias("started_at"), F.when(done, F.col("ts") + F.expr("INTERVAL 90 SECONDS")).alias("completed_at"),
+        F.when(done, 90000).alias("duration_ms"),
+    )
+
+
+@query(f"WITH {RUNS} SELECT log_id, 'u' || user_id AS \"User\", '' AS \"Email\", {TOLD} FROM runs WHERE status = 'success' AND CAST(started_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' ORDER BY started_at DESC, log_id DESC LIMIT 10000")
 def log_export(spark, d):
-    return exports.log_export(read(spark, d, "events"), {"click": "Clicked", "view": "Viewed"})
+    return exports.log_export(_runs(spark, d), status="success", first="2024-01-05", last="2024-01-20")
+
+
+@query(f"WITH {RUNS} SELECT log_id, {TOLD} FROM runs WHERE user_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3 OR s_suppkey = 7) AND script_slug = 'click' ORDER BY started_at DESC, log_id DESC LIMIT 10000")
+def log_export_scoped(spark, d):
+    """What the leader of a group (a nation's suppliers) may export: own runs and those of the members."""
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"), F.when(F.col("s_suppkey") == 7, "sub-lead").otherwise("user").alias("role"), "s_nationkey")
+    groups = s.where("s_nationkey = 3").agg(F.collect_set("user_id").alias("member_user_ids")).select(F.lit(7).cast("long").alias("lead_user_id"), "member_user_ids")
+    seen = reports.members_seen(s, groups).where("viewer_id = 7").select(F.col("member").alias("user_id"))
+    return exports.log_export(_runs(spark, d), seen, script="click")
 
 
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 10")
@@ -186,27 +248,35 @@ def recent_runs(spark, d):
     return read(spark, d, "events").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(10)
 
 
-STORED = """stored AS (SELECT c_custkey AS id, 's' || (c_custkey % 9) AS session_id, 'f' || (c_custkey % 50) || '.xml' AS filename,
-  's' || (c_custkey % 9) || ['-17-', '-renamed-', '_edited_', '-copy-'][(c_custkey % 4) + 1] || 'f' || (c_custkey % 50) || '.xml' AS stored_name FROM customer)"""
+STORED = """stored AS (SELECT c_custkey AS id, 's' || (c_custkey % 9) AS session_id, CASE WHEN c_custkey % 4 = 1 THEN 'legacy' ELSE 'current' END AS source_role, c_custkey % 10 = 0 AS deleted, 'current-f' || (c_custkey % 50) || '.xml' AS shown,
+  's' || (c_custkey % 9) || ['-', '-fixed-0a1b-', '-renamed-c2-', '-copy-', '-slashed-9e-'][(c_custkey % 5) + 1] || CASE WHEN c_custkey % 3 = 0 THEN '0a1b2c3d-0000-4000-8000-0123456789ab-' ELSE '' END || 'current-f' || (c_custkey % 50) || '.xml' AS stored_name FROM customer)"""
 
 
 def _stored(spark, d):
     k = F.col("c_custkey")
-    session, name = F.concat(F.lit("s"), (k % 9).cast("string")), F.concat(F.lit("f"), (k % 50).cast("string"), F.lit(".xml"))
-    mark = F.element_at(F.array(*[F.lit(m) for m in ("-17-", "-renamed-", "_edited_", "-copy-")]), (k % 4 + 1).cast("int"))
-    return read(spark, d, "customer").select(k.alias("id"), session.alias("session_id"), name.alias("filename"), F.concat(session, mark, name).alias("stored_name"))
+    session, name = F.concat(F.lit("s"), (k % 9).cast("string")), F.concat(F.lit("current-f"), (k % 50).cast("string"), F.lit(".xml"))
+    mark = F.element_at(F.array(*[F.lit(m) for m in ("-", "-fixed-0a1b-", "-renamed-c2-", "-copy-", "-slashed-9e-")]), (k % 5 + 1).cast("int"))
+    upload = F.when(k % 3 == 0, "0a1b2c3d-0000-4000-8000-0123456789ab-").otherwise("")
+    role = F.when(k % 4 == 1, "legacy").otherwise("current")
+    return read(spark, d, "customer").select(k.alias("id"), session.alias("session_id"), role.alias("source_role"), (k % 10 == 0).alias("deleted"), F.concat(session, mark, upload, name).alias("stored_name"))
 
 
-@query(f"WITH {STORED} SELECT id, regexp_matches(stored_name, '[-_](edited|renamed)[-_.]') AS edited FROM stored")
+@query(f"WITH {STORED} SELECT id, id % 5 IN (1, 2, 4) AS edited FROM stored")
 def edited_names(spark, d):
     return _stored(spark, d).select("id", workflow.is_edited(F.col("stored_name"), F.col("session_id")).alias("edited"))
 
 
-@query(f"""WITH {STORED}, occ AS (SELECT o_custkey AS pattern_id, 'f' || (o_orderkey % 50) || '.xml' AS filename FROM orders)
-    SELECT pattern_id, min(filename) AS filename FROM occ WHERE filename IN (SELECT filename FROM stored WHERE regexp_matches(stored_name, '[-_](edited|renamed)[-_.]')) GROUP BY pattern_id""")
+@query(f"""WITH {STORED}, pat AS (SELECT o_orderkey AS pattern_id, 's' || (o_custkey % 12) AS session_id, CASE WHEN o_orderkey % 3 = 0 THEN 'legacy' ELSE 'current' END AS source_role FROM orders),
+    occ AS (SELECT l_orderkey AS pattern_id, 'current-f' || (l_partkey % 60) || '.xml' AS filename FROM lineitem WHERE l_orderkey % 4 <> 0),
+    ed AS (SELECT session_id, source_role, stored_name, shown FROM stored WHERE id % 5 IN (1, 2, 4) AND NOT deleted)
+    SELECT pattern_id, stored_name, 'corrected-' || shown AS download_name FROM (
+      SELECT p.pattern_id, e.stored_name, e.shown, row_number() OVER (PARTITION BY p.pattern_id ORDER BY e.stored_name) AS rn FROM pat p JOIN ed e ON e.session_id = p.session_id AND e.source_role = p.source_role
+      WHERE NOT EXISTS (SELECT 1 FROM occ o WHERE o.pattern_id = p.pattern_id) OR EXISTS (SELECT 1 FROM occ o WHERE o.pattern_id = p.pattern_id AND o.filename = e.shown)) WHERE rn = 1""")
 def corrected_download(spark, d):
-    occ = read(spark, d, "orders").select(F.col("o_custkey").alias("pattern_id"), F.concat(F.lit("f"), (F.col("o_orderkey") % 50).cast("string"), F.lit(".xml")).alias("filename"))
-    return workflow.corrected_download(occ, _stored(spark, d))
+    k = F.col("o_orderkey")
+    pats = read(spark, d, "orders").select(k.alias("pattern_id"), F.concat(F.lit("s"), (F.col("o_custkey") % 12).cast("string")).alias("session_id"), F.when(k % 3 == 0, "legacy").otherwise("current").alias("source_role"))
+    occ = read(spark, d, "lineitem").where("l_orderkey % 4 <> 0").select(F.col("l_orderkey").alias("pattern_id"), F.concat(F.lit("current-f"), (F.col("l_partkey") % 60).cast("string"), F.lit(".xml")).alias("filename"))
+    return workflow.corrected_download(pats, occ, _stored(spark, d))
 
 
 @query("SELECT event_id, [200, 301, 302, 404, 500, 308][(event_id % 6) + 1] AS http_status FROM events WHERE event_id % 6 IN (1, 3)")
@@ -215,10 +285,26 @@ def status_list(spark, d):
     return workflow.with_statuses(read(spark, d, "events").select("event_id", statuses.alias("http_status")), [301, 404, 999])
 
 
-@query("SELECT event_id FROM events WHERE event_type = 'view' OR user_id = 7")
+MADE = "made AS (SELECT event_id, event_type = 'view' AS automated, CASE WHEN event_type <> 'view' THEN user_id END AS user_id FROM events)"
+
+
+def _made(spark, d):
+    auto = F.col("event_type") == "view"
+    return read(spark, d, "events").select("event_id", auto.alias("automated"), F.when(~auto, F.col("user_id")).alias("user_id"))
+
+
+@query(f"""WITH {MADE} SELECT 'scope' AS view, event_id FROM made WHERE user_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 9) UNION ALL SELECT 'selected', event_id FROM made WHERE user_id = (SELECT min(s_suppkey) FROM supplier WHERE s_nationkey < 9)
+    UNION ALL SELECT 'automated', event_id FROM made WHERE automated UNION ALL SELECT 'manual', event_id FROM made WHERE NOT automated UNION ALL SELECT 'all', event_id FROM made
+    UNION ALL SELECT 'hidden', event_id FROM made WHERE NOT automated AND user_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 9) UNION ALL SELECT 'team', event_id FROM made WHERE user_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 9)""")
 def run_types(spark, d):
-    e = read(spark, d, "events").withColumn("automated", F.col("event_type") == "view")
-    return workflow.runs_of(e, None, F.lit(7)).select("event_id")
+    made, s = _made(spark, d), read(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"), "s_nationkey")
+    visible, team = s.where("s_nationkey < 9"), s.where("s_nationkey = 9")
+    one = visible.agg(F.min("user_id")).first()[0]
+    views = {
+        "scope": workflow.runs_of(made, "all", visible), "selected": workflow.runs_of(made, "all", visible, selected=one), "automated": workflow.runs_of(made, "automated", visible), "manual": workflow.runs_of(made, "manual"),
+        "all": workflow.runs_of(made), "hidden": workflow.runs_of(made, "manual", visible, selected=-5), "team": workflow.runs_of(made, "all", team=team, selected=one),
+    }
+    return functools.reduce(lambda a, b: a.unionByName(b), [v.select(F.lit(n).alias("view"), "event_id") for n, v in views.items()])
 
 
 QUEUE = "q AS (SELECT event_id, 'https://e.com/' || event_type || '/' || event_id AS url, CASE WHEN event_id % 3 = 0 THEN 'done' ELSE 'open' END AS gsc_status, CASE WHEN event_id % 5 = 0 THEN 'done' ELSE 'open' END AS bing_status FROM events)"
@@ -264,10 +350,10 @@ def reporting_order(spark, d):
     return workflow.by_reporting_order(s, s.where("member % 3 = 0").select("member", (F.col("member") % 10).cast("int").alias("reporting_order")))
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY event_type = 'view' DESC, event_id) AS place FROM events QUALIFY place <= 500")
+@query("SELECT event_id, row_number() OVER (ORDER BY event_type = 'view' DESC, event_id) AS place FROM events")
 def verified_first(spark, d):
     e = read(spark, d, "events").select("event_id", (F.col("event_type") == "view").alias("is_sampled"), F.col("event_id").alias("seq"))
-    return _placed(e.orderBy(*workflow.verified_first()).limit(500), "event_id")
+    return placed(e, workflow.verified_first()).select("event_id", "place")
 
 
 FOUND = f"f AS (SELECT seq, source_file, loc, replace(loc, 'example', 'sample') AS new FROM locs)"
@@ -279,11 +365,13 @@ def rewrite_preview(spark, d):
     return workflow.preview(rows, rewriting.rewrite(rows, {"kind": "find_replace", "find": "example", "put": "sample"}), "seq")
 
 
-@query(f"WITH {LOCS} SELECT seq, loc FROM locs")
+@query(f"WITH {LOCS} SELECT seq, replace(loc, 'example', 'sample') AS between, loc FROM locs")
 def rewrite_undo(spark, d):
+    """The URLs as a rewrite left them, and as they were again when it was taken back."""
     rows = page_locs(spark, d).select("seq", "loc")
-    twice = rewriting.rewrite(rewriting.rewrite(rows, {"kind": "find_replace", "find": "example", "put": "sample"}), {"kind": "trailing_slash"})
-    return rewriting.undo(twice).select("seq", "loc")
+    once = rewriting.rewrite(rows, {"kind": "find_replace", "find": "example", "put": "sample"})
+    back = rewriting.undo(once).select(F.col("seq").alias("s"), F.col("loc").alias("b"))
+    return once.select("seq", F.col("loc").alias("between")).join(back, F.col("seq") == F.col("s")).select("seq", "between", F.col("b").alias("loc"))
 
 
 @query(f"WITH {LOCS} SELECT source_file, count(*) FILTER (seq % 3 <> 0) AS kept, count(*) FILTER (seq % 3 = 0) AS removed FROM (SELECT source_file, loc, min(seq) OVER (PARTITION BY loc) AS seq FROM locs) GROUP BY source_file")
@@ -310,17 +398,20 @@ def soft_delete(spark, d):
     return workflow.soft_delete(gone, f.where("file_id % 4 = 2").select("file_id"), now, restore=True).select("file_id", "deleted")
 
 
-SENT = "sent AS (SELECT event_id AS link_id, 'https://e.com/' || event_id AS url, 'src' || (event_id % 200) AS source, user_id FROM events WHERE event_id % 2 = 1)"
+SENT = """sent AS (SELECT CASE WHEN event_id % 50 = 1 THEN ' ' ELSE 'https://e.com/' || event_id END AS url, 'src' || (event_id % 200) AS source, CASE WHEN user_id % 7 > 0 THEN 't' || (user_id % 7) END AS target, user_id FROM events WHERE event_id % 2 = 1)"""
 
 
-@query(f"""WITH {SENT}, held AS (SELECT DISTINCT 'src' || (event_id % 200) AS source FROM events WHERE event_id % 6 = 0)
-    SELECT url, source, user_id, CAST(substr(source, 4) AS INTEGER) % 5 = 0 OR (source NOT IN (SELECT source FROM held) AND url = min(url) OVER (PARTITION BY source)) AS accepted FROM sent""")
+@query(f"""WITH {SENT}, held AS (SELECT DISTINCT 'src' || (event_id % 200) AS source, CASE WHEN user_id % 7 > 0 THEN 't' || (user_id % 7) ELSE '' END AS target FROM events WHERE event_id % 6 = 3 AND event_type <> 'error'),
+    ranked AS (SELECT s.*, coalesce(s.target, '') AS t, trim(url) = '' AS empty, row_number() OVER (PARTITION BY source, coalesce(s.target, ''), trim(url) = '' ORDER BY url, user_id) AS rn, CAST(substr(source, 4) AS INTEGER) AS k FROM sent s)
+    SELECT url, source, target, user_id, CASE WHEN empty THEN 'incomplete' WHEN k >= 190 THEN 'unknown source' WHEN k % 5 = 0 THEN 'accepted'
+      WHEN rn > 1 OR EXISTS (SELECT 1 FROM held h WHERE h.source = ranked.source AND h.target = t) THEN 'taken' ELSE 'accepted' END AS outcome FROM ranked""")
 def backlinks_once(spark, d):
-    e = read(spark, d, "events")
-    source = F.concat(F.lit("src"), (F.col("event_id") % 200).cast("string"))
-    sent = e.where("event_id % 2 = 1").select(F.concat(F.lit("https://e.com/"), F.col("event_id").cast("string")).alias("url"), source.alias("source"), "user_id")
-    sources = spark.range(200).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("source"), (F.col("id") % 5 == 0).alias("reusable"))
-    return workflow.new_backlinks(e.where("event_id % 6 = 0").select(source.alias("source")), sent, sources)
+    e, i = read(spark, d, "events"), F.col("event_id")
+    source, target = F.concat(F.lit("src"), (i % 200).cast("string")), F.when(F.col("user_id") % 7 > 0, F.concat(F.lit("t"), (F.col("user_id") % 7).cast("string")))
+    held = e.where("event_id % 6 = 3").select(source.alias("source"), target.alias("target"), F.when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "view", "pending").otherwise("approved").alias("status"))
+    sent = e.where("event_id % 2 = 1").select(F.when(i % 50 == 1, " ").otherwise(F.concat(F.lit("https://e.com/"), i.cast("string"))).alias("url"), source.alias("source"), target.alias("target"), "user_id")
+    sources = spark.range(190).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("source"), (F.col("id") % 5 == 0).alias("reusable"))
+    return workflow.new_backlinks(held, sent, sources)
 
 
 @query("""SELECT event_id AS link_id, user_id, CASE WHEN event_id % 3 = 0 AND user_id % 2 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'approved' ELSE 'rejected' END ELSE 'pending' END AS status FROM events""")
@@ -344,10 +435,10 @@ def checklist_reordered(spark, d):
     return workflow.reordered(items, items.where("item_id % 4 = 0").select("item_id", (1000 - F.col("item_id") % 100).alias("position")))
 
 
-@query("SELECT event_id, event_id % 3 > event_id % 2 AS fresh FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN TRUE WHEN event_id % 3 = 0 THEN FALSE ELSE event_id % 3 > event_id % 5 END AS fresh FROM events")
 def packed_freshness(spark, d):
     i = F.col("event_id")
-    return read(spark, d, "events").select("event_id", workflow.is_fresh(i % 3, i % 2).alias("fresh"))
+    return read(spark, d, "events").select("event_id", workflow.is_fresh(F.when(i % 3 != 0, i % 3), F.when(i % 2 != 0, i % 5)).alias("fresh"))
 
 
 @query("SELECT o_orderkey, o_custkey AS session_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
@@ -409,22 +500,22 @@ def guard_counts(spark, d):
     return exports.guard_counts(read(spark, d, "customer").select(F.when(k % 10 == 0, "super-admin").otherwise("admin").alias("role"), (F.col("c_acctbal") > 0).alias("active")))
 
 
-@query("""SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' END AS eta, format('{:,}', s * 1001) AS grouped FROM (SELECT event_id, event_id * 37 % 20000 AS s FROM events)""")
+@query("""SELECT event_id, CASE WHEN s >= 60 THEN CAST(floor(s / 60 + 0.5) AS BIGINT) || ' min' ELSE greatest(1, CAST(floor(s + 0.5) AS BIGINT)) || ' sec' END AS eta, format('{:,}', n * 1001) AS grouped FROM (SELECT event_id, event_id * 37 % 20000 AS n, (event_id * 37 % 20000) / 8.0 AS s FROM events)""")
 def formatted_numbers(spark, d):
-    s = F.col("event_id") * 37 % 20000
-    return read(spark, d, "events").select("event_id", exports.eta(s).alias("eta"), exports.grouped(s * 1001).alias("grouped"))
+    n = F.col("event_id") * 37 % 20000
+    return read(spark, d, "events").select("event_id", exports.eta(n / 8.0).alias("eta"), exports.grouped(n * 1001).alias("grouped"))
 
 
-@query(f"WITH {LOCS} SELECT seq, CASE WHEN list_position({_segs('loc')}, 'en') > 0 THEN CAST(list_position({_segs('loc')}, 'en') - 1 AS INTEGER) END AS place FROM locs WHERE regexp_matches(loc, '{RX}')")
+@query(f"""WITH {LOCS} SELECT seq, CASE WHEN contains(coalesce(g[1], ''), 'e') THEN 0 WHEN contains(coalesce(g[3], ''), 'e') THEN 1 END AS place FROM (SELECT seq, CASE WHEN regexp_matches(loc, '{RX}') THEN {_segs('loc')} END AS g FROM locs)""")
 def suspicious_places(spark, d):
-    facts = patterns.url_facts(page_locs(spark, d))
-    return facts.select("seq", exports.suspicious_position(F.col("segs"), F.lit("en")).cast("int").alias("place"))
+    sampled = F.array(F.lit("not a URL"), F.lit("https://x.com/"), F.col("loc"))
+    return page_locs(spark, d).select("seq", exports.suspicious_position(F.lit("/{param}/static/{param}"), F.lit("e"), sampled).alias("place"))
 
 
-@query("SELECT page_id, 'f' || page_id || '.xml' AS name FROM pages")
+@query(f"WITH {STORED} SELECT id, CASE WHEN id % 5 = 3 THEN 'copy-' ELSE '' END || CASE WHEN id % 5 = 3 AND id % 3 = 0 THEN '0a1b2c3d-0000-4000-8000-0123456789ab-' ELSE '' END || shown AS name, CASE WHEN id % 5 = 3 THEN name ELSE 'f' || (id % 50) || '.xml' END AS download FROM stored")
 def display_names(spark, d):
-    name = F.concat(F.lit("0a1b2c3d-0000-4000-8000-0123456789ab-1700000000000-f"), F.col("page_id").cast("string"), F.lit(".xml"))
-    return read(spark, d, "pages").select("page_id", exports.display_name(name).alias("name"))
+    stored, session = F.col("stored_name"), F.col("session_id")
+    return _stored(spark, d).select("id", exports.display_name(stored, session).alias("name"), exports.download_name(stored, session).alias("download"))
 
 
 @query("SELECT page_id, ['xml', 'list', 'try_xml', 'xml'][(page_id % 4) + 1] AS kind FROM pages")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules
+from ..operators.ordering import placed
 from ..shipping import ship
 
 SITEMAP_NAMES = r"(?i)\.xml(\.gz)?$"
@@ -141,21 +142,9 @@ def file_facts(scanned: DataFrame) -> DataFrame:
 
 
 def file_numbers(scanned: DataFrame) -> DataFrame:
-    """path, file_idx: files numbered from 0 in the order of their names, then paths; two files of one name are two files.
-
-    Names are numbered in ranges, and each range from where the one before ends, so that no task has all files.
-    """
-    files = scanned.select("path", "source_file").repartitionByRange(F.col("source_file"), F.col("path")).withColumn("range", F.spark_partition_id())
-    return offset_numbers(files, "range", [F.col("source_file"), F.col("path")], "file_idx").select("path", "file_idx")
-
-
-def offset_numbers(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
-    """The rows with a number from 0, by group and then the order in it; groups are few, their sizes are summed in one small table."""
-    sizes = rows.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    numbered = rows.withColumn("__rn", within).join(sizes.select("__g", before.alias("__before")), F.col(group) == F.col("__g"))
-    return numbered.withColumn(name, F.col("__before") + F.col("__rn") - 1).drop("__g", "__rn", "__before")
+    """path, file_idx: files numbered from 0 in the order of their names, then paths; two files of one name are two files."""
+    files = scanned.select("path", "source_file")
+    return placed(files, [F.col("source_file"), F.col("path")], "file_idx", 0).select("path", "file_idx")
 
 
 def ordered_locs(scanned: DataFrame, root: str = "urlset", include_index: bool = False) -> DataFrame:
@@ -221,7 +210,10 @@ def robots_sitemaps(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 # Where a sitemap is looked for when no robots file names one.
-FALLBACK_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemaps.xml", "/sitemap1.xml", "/sitemap/sitemap.xml", "/sitemap/index.xml", "/wp-sitemap.xml", "/sitemap.xml.gz", "/sitemap.txt")
+FALLBACK_PATHS = (
+    "/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap/sitemap.xml", "/sitemaps/sitemap.xml", "/sitemap/index.xml", "/wp-sitemap.xml", "/news-sitemap.xml",
+    "/product-sitemap.xml", "/page-sitemap.xml",
+)
 
 
 def sitemaps_to_try(sites: DataFrame, directives: DataFrame) -> DataFrame:
@@ -258,7 +250,7 @@ def json_batches(spark: SparkSession, path: str) -> DataFrame:
     texts = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
     entries = texts.select("path", F.posexplode(F.from_json("value", "array<struct<name:string,urls:array<string>>>")).alias("entry", "e"))
     counts = entries.select("path", "entry", F.col("e.name").alias("source_file"), F.col("e.urls").alias("urls"))
-    numbered = offset_numbers(counts.repartitionByRange("path").withColumn("range", F.spark_partition_id()), "range", [F.col("path"), F.col("entry")], "file_idx")
+    numbered = placed(counts, [F.col("path"), F.col("entry")], "file_idx", 0)
     return numbered.select("file_idx", "source_file", F.posexplode("urls").alias("loc_idx", "loc"))
 
 
