@@ -42,9 +42,13 @@ def without_white(text: Column) -> Column:
     return text
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def all_of(frame: DataFrame) -> list[Column]:
     """The frame's columns by name, whatever characters the names have."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in frame.columns]
+    return [F.col(quoted(c)) for c in frame.columns]
 
 
 def text_or_empty(name: str = "text") -> Column:

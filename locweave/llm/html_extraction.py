@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import ship, table, written
+from .columns import quoted, ship, table, written
 
 #: Chosen paths are broadcast up to so many bytes; above, pages are joined with them by a shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -48,8 +48,14 @@ NOT_ARTICLE_ALONE = {"header", "side", "rail", "tags", "hidden", "overlay", "wid
 NOT_THE_ARTICLE = re.compile(r"(?:^|[^a-z])(?:comments?|advert\w*|sponsor\w*|promo\w*|related\w*|teasers?)(?:$|[^a-z])")
 #: Names that hold words of these lists but are parts of articles.
 OF_ARTICLES = re.compile(r"(?:^|[^a-z])(?:related[-_]?works?|discussions?|search[-_](?:trees?|spaces?|methods?|strategy)|social[-_](?:aspects?|impacts?|sciences?)|comment(?:ary|aries)|table[-_]of[-_]contents)(?:$|[^a-z])")
-#: What the element for browsers without scripts says of itself, rather than of the page.
-NO_SCRIPTS = re.compile(r"javascript|browser|\bcookies\b", re.I)
+#: What the element for browsers without scripts says of itself, rather than of the page; prose on the subject is longer.
+NO_SCRIPTS = re.compile(r"(?:enable|activate|allow|turn\s+on|requires?|needs?|without|disabled|supports?|update|upgrade)\b.{0,80}\b(?:javascript|java\s*script|cookies|scripts|browser)|(?:javascript|cookies|browser)\b.{0,80}\b(?:enabled?|disabled|required|turned|off|support)", re.I | re.S)
+NOTICE_CHARS = 240
+#: Names that say how a page is laid out, not what their element holds.
+LAYOUT = re.compile(r"^(?:has|no|with|without)[-_]|[-_](?:none|off|layout|wrap|wrapper)$")
+#: Words of controls: an element with a longer name around one of these, and this much running text, is no control.
+CONTROLS = re.compile(r"^(?:.*[^a-z])?(?:share\w*|sharing|social\w*|search\w*|login|signup|toolbar|menu\w*|nav|navigation|pager|skip)(?:[^a-z].*)?$")
+PROSE_CHARS = 200
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*(?:>.*?(?:</(?P=raw)\s*(?:>|\Z)|\Z)|\Z)"
@@ -68,6 +74,8 @@ class Node:
     away: bool
     depth: int
     in_article: bool = False
+    #: Why the element is set apart by itself: its tag, a name, a control's name, or for good; empty where it is not.
+    why: str = ""
 
 
 @dataclass
@@ -77,35 +85,44 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
 
-def _label(tag: str, attrs: str, in_article: bool = False) -> tuple[str, bool]:
-    """The element's part of a path, without digits, and whether its attributes set it apart from articles.
+def _named_apart(value: str, whole_names: bool = False) -> str:
+    """Why the words of a class, an id or a role set an element apart."""
+    names = [x for x in value.split() if not OF_ARTICLES.search(x) and not LAYOUT.search(x)]
+    bad = [x for x in names if (NOT_ARTICLE.fullmatch(x) if whole_names else NOT_ARTICLE.search(x)) or x in NOT_ARTICLE_ALONE]
+    if not bad:
+        return ""
+    if any(NOT_THE_ARTICLE.search(x) for x in bad):
+        return "for good"
+    return "control" if all(CONTROLS.match(x) and not CONTROLS.sub("", x.strip("-_")) and re.search("[-_]", x) for x in bad) else "name"
+
+
+def _label(tag: str, attrs: str, in_article: bool = False) -> tuple[str, str]:
+    """The element's part of a path, without digits, and why its attributes set it apart from articles.
 
     Names of headings, paragraphs and other running text say nothing, sections go by whole class names
     only, and inside an article ids say nothing: there they name what the text is about.
     """
     if not attrs or attrs.isspace():
-        return tag, False
-    names, away = [], False
+        return tag, ""
+    names, whys = [], {""}
     for m in ATTR.finditer(attrs):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind in ("class", "id"):
             names += re.sub(r"[0-9]+", "", value).split()
-            value = " ".join(x for x in value.split() if not OF_ARTICLES.search(x))
             if tag in RUNNING or (kind == "id" and (in_article or tag == "section")):
                 continue
-            if tag == "section":
-                away |= any(NOT_ARTICLE.fullmatch(x) for x in value.split()) or not NOT_ARTICLE_ALONE.isdisjoint(value.split())
-            elif tag in ("article", "main"):
-                away |= bool(NOT_THE_ARTICLE.search(value))
+            if tag in ("article", "main"):
+                value = " ".join(x for x in value.split() if not OF_ARTICLES.search(x))
+                whys.add("for good" if NOT_THE_ARTICLE.search(value) else "")
             else:
-                away |= bool(NOT_ARTICLE.search(value)) or not NOT_ARTICLE_ALONE.isdisjoint(value.split())
+                whys.add(_named_apart(value, tag == "section"))
         elif kind == "role":
-            away |= bool(NOT_ARTICLE.search(value)) or value == "dialog"
+            whys.add("name" if NOT_ARTICLE.search(value) or value == "dialog" else "")
         elif kind == "style":
-            away |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-        else:
-            away |= kind == "hidden" or value == "true"
-    return ".".join([tag, *sorted(set(names))]), away
+            whys.add("for good" if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) else "")
+        elif kind == "hidden" or value == "true":
+            whys.add("for good")
+    return ".".join([tag, *sorted(set(names))]), next((w for w in ("for good", "name", "control") if w in whys), "")
 
 
 def parse(source: str) -> Page:
@@ -117,7 +134,7 @@ def parse(source: str) -> Page:
         nonlocal linked
         if text:
             whole = " ".join("".join(text).split())
-            if whole and not (NO_SCRIPTS.search(whole) and any(page.nodes[k].tag == "noscript" for k in stack)):
+            if whole and not (len(whole) < NOTICE_CHARS and NO_SCRIPTS.search(whole) and any(page.nodes[k].tag == "noscript" for k in stack)):
                 page.blocks.append((stack[-1], whole, min(linked, len(whole))))
             text.clear()
         linked = 0
@@ -159,18 +176,57 @@ def parse(source: str) -> Page:
         elif tag in ENDS_SELF and page.nodes[stack[-1]].tag == tag:
             stack.pop()
         top = page.nodes[stack[-1]]
-        name, away = _label(tag, m["attrs"] or m["attrs2"] or "", top.in_article)
+        name, why = _label(tag, m["attrs"] or m["attrs2"] or "", top.in_article)
         if tag in ("html", "body"):
-            away = False
-        page.nodes.append(Node(tag, f"{top.path}/{name}", stack[-1], top.away or away or tag in AWAY, top.depth + 1, top.in_article or tag == "article"))
+            why = ""
+        elif not why and tag in AWAY and not (tag == "header" and (top.in_article or any(page.nodes[k].tag == "main" for k in stack))):
+            why = "tag"
+        page.nodes.append(Node(tag, f"{top.path}/{name}", stack[-1], bool(why), top.depth + 1, top.in_article or tag == "article", why))
         stack.append(len(page.nodes) - 1)
     if at < len(source):
         say(source[at:])
     flush()
+    _set_apart(page)
     _keep_titles(page)
     return page
 
 
+def _set_apart(page: Page) -> None:
+    """Settle what is set apart: what its element or its name says, but for elements that hold the page's text.
+
+    From the outside in, an element set apart by its tag or name is taken back where it has more running
+    text than all that is left outside, and half of that within article or main, or where it is a form and no
+    article is outside, or where nothing is left outside; and so is a control by name that has a paragraph's worth of text. What is
+    hidden, and comments, adverts and teasers, stay apart.
+    """
+    nodes = page.nodes
+    held, articles = [0] * len(nodes), [0] * len(nodes)
+    plain, told = 0, False  # what is left outside, and whether some of it is in an article
+    for node, text, linked in page.blocks:
+        if 2 * linked > len(text):
+            continue
+        k, in_article = node, False
+        while k >= 0:
+            in_article = in_article or (nodes[k].tag in ("article", "main") and not nodes[k].why)
+            held[k] += len(text)
+            articles[k] += len(text) if in_article else 0
+            if nodes[k].why:
+                break
+            k = nodes[k].parent
+        plain += len(text) if k < 0 else 0
+        told = told or (k < 0 and in_article)
+    for i, node in enumerate(nodes):
+        above = node.parent >= 0 and nodes[node.parent].away
+        if not above and node.why in ("tag", "name", "control"):
+            much = held[i] >= PROSE_CHARS
+            whole = held[i] > plain and 2 * articles[i] > held[i]
+            wrapper = node.tag == "form" or node.why != "tag"
+            if whole or (wrapper and much and (plain == 0 or (node.tag == "form" and held[i] > plain and not told))) or (node.why == "control" and much):
+                node.why = ""
+                plain += held[i]
+        node.away = above or bool(node.why)
+
+
 def _keep_titles(page: Page) -> None:
     """A header inside an article with a first heading is part of the article."""
     for i, node in enumerate(page.nodes):
@@ -189,19 +245,21 @@ def _keep_titles(page: Page) -> None:
                         page.nodes[x].away = False
 
 
-def scores(page: Page) -> list[tuple[float, float, int]]:
+def scores(page: Page, links: bool = False) -> list[tuple[float, float, int]]:
     """score, share of the page's running text, node for each container that holds any, best first."""
     good = [0.0] * len(page.nodes)
     all_text = [0.0] * len(page.nodes)
     for node, text, linked in page.blocks:
         size = len(text)
-        running = 0 if page.nodes[node].away or 2 * linked > size else size
+        running = 0 if page.nodes[node].away or (2 * linked > size and not links) or (links and page.nodes[node].tag == "li") else size
         k = node
         while k >= 0:
             good[k] += running
             all_text[k] += size
             k = page.nodes[k].parent
     total = good[0]
+    if not total and not links:
+        return scores(page, True)  # a page of links: those outside menus are its text
     if not total:
         return []
     out = []
@@ -279,7 +337,9 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", br
     """
     ship(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (html_col, "text")]
-    hosted = pages.withColumn("__host", host_of(F.col(url_col)))
+    # Columns go by their places: the frame's own may have any names.
+    held = [F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(kept)]
+    hosted = pages.select(*held, F.col(quoted(html_col)).alias("html"), host_of(F.col(quoted(url_col))).alias("host"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,12 +352,12 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", br
             hosts, paths = zip(*sums, strict=True) if sums else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(list(sums.values()), pa.float64())], names=["host", "path", "votes"])
 
-    votes = hosted.select("__host", F.col(html_col)).mapInArrow(vote, "host string, path string, votes double")
+    votes = hosted.select("host", "html").mapInArrow(vote, "host string, path string, votes double")
     by_path = votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
     winners = by_path.groupBy("host").agg(F.max_by("path", F.struct(F.col("votes"), F.col("path"))).alias("path"))
-    winners = written(winners, "host-paths").select(F.concat(F.col("host"), F.lit("")).alias("__of"), F.col("path").alias("__path"))
-    size = winners.agg(F.sum(F.octet_length("__of") + F.coalesce(F.octet_length("__path"), F.lit(0)) + 32)).first()[0] or 0
-    chosen = hosted.join(F.broadcast(winners) if size <= broadcast_bytes else winners, F.col("__host") == F.col("__of"), "left")
+    winners = written(winners, "host-paths").select(F.concat(F.col("host"), F.lit("")).alias("of"), "path")
+    size = winners.agg(F.sum(F.octet_length("of") + F.coalesce(F.octet_length("path"), F.lit(0)) + 32)).first()[0] or 0
+    chosen = hosted.join(F.broadcast(winners) if size <= broadcast_bytes else winners, F.col("host") == F.col("of"), "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,7 +366,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", br
             yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string())], names=[*kept, "text"])
 
     out = T.StructType([*[pages.schema[c] for c in kept], T.StructField("text", T.StringType(), False)])
-    return chosen.select(*[F.col(f"`{c}`") for c in kept], F.col(html_col).alias("__html"), "__path").mapInArrow(read, out)
+    return chosen.select(*[f"k{i}" for i in range(len(kept))], "html", "path").mapInArrow(read, out)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,3 +108,43 @@ def test_recall_and_precision_on_gold_pages(spark):
             both, found, wanted = both + (a & b).total(), found + a.total(), wanted + b.total()
         assert both >= 0.9 * wanted and both >= 0.9 * found, (kind, both / wanted, both / max(1, found))
     assert sum(got[i] == rows[i][2] for i in range(len(rows))) >= 0.9 * len(rows)
+
+
+LONG = "Some running text of the article that goes on for quite a while, as articles do. " * 4
+
+
+@pytest.mark.parametrize("source, text", [
+    ("<body><form><h1>T</h1><p>{0}</p></form></body>", "T\n{0}"), ("<body><form><article><p>Short.</p></article></form></body>", "Short."),
+    ("<body><div class='layout has-sidebar'><article><p>{0}</p></article><div class=sidebar><p>More.</p></div></div></body>", "{0}"),
+    ("<body><div class='container no-sidebar'><p>{0}</p></div></body>", "{0}"), ("<body><div class='content-sidebar'><article><p>{0}</p></article></div></body>", "{0}"),
+    ("<body><div class='sidebar-page'><p>{0}</p></div></body>", "{0}"),
+    ("<body><article><header><h2>T</h2><p>Lead.</p></header><p>{0}</p></article></body>", "T\nLead.\n{0}"),
+    ("<body><div><p>{0}</p><div class='share-prices'><p>{0}</p></div></div></body>", "{0}\n{0}"), ("<body><div><p>{0}</p><div class='search-results-study'><p>{0}</p></div></div></body>", "{0}\n{0}"),
+    ("<body><div><p>{0}</p><div class='share-box'><p>Tell others of it.</p></div></div></body>", "{0}"),
+    ("<body><article><p>{0}</p><noscript><p>A browser is a program that shows pages, and this chapter is about its parts and how they came to be.</p></noscript></article></body>", "{0}\nA browser is a program that shows pages, and this chapter is about its parts and how they came to be."),
+    ("<body><article><p>{0}</p><noscript>Please enable JavaScript in your browser.</noscript></article></body>", "{0}"),
+    ("<body><p><a href=x>The one paragraph is a link</a></p></body>", "The one paragraph is a link"),
+    ("<body><div class=comments><p>{0}</p></div></body>", ""), ("<body><article><p>Short.</p></article><div class=comments><p>{0}</p></div><div class=sidebar><p>{0}</p></div><form><p>{0}</p></form></body>", "Short."),
+    ("<body><nav><p>{0}</p></nav></body>", ""), ("<body><div class=story><p>{0}{0}</p></div><div class=related><article><p>{0}</p></article></div></body>", "{0}{0}"),
+    ("<body><div style='display:none'><article><p>{0}</p></article></div></body>", ""),
+])
+def test_containers_are_judged_by_what_they_hold(source, text):
+    assert he.extract(source.format(LONG.strip()), None) == text.format(LONG.strip())
+
+
+@pytest.mark.parametrize("wrap", ["<form>{}</form>", "<div class='layout has-sidebar'>{}</div>", "<div class='container no-sidebar'>{}</div>", "<div class=page-wrapper><div id=main-menu-layout>{}</div></div>"])
+def test_wrapped_pages_give_what_bare_ones_give(spark, wrap):
+    """The pages of the driver's table and the gold ones, each within a wrapper whose name or tag says nothing of the article."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()] + [h for _, h, _ in gold_pages()]
+    for source in pages:
+        body, _, end = source.rpartition("</body>")
+        head, opened, inner = body.partition("<body>")
+        if opened:
+            assert he.extract(f"{head}<body>{wrap.format(inner)}</body>{end}", None) == he.extract(source, None)
+
+
+def test_columns_of_any_name_and_no_rows(spark):
+    frame = spark.createDataFrame([("https://e.com/a", f"<p>{LONG}</p>", 1, 2, 3, 4)], "url string, html string, host int, `a``b` int, path int, k0 int")
+    row = he.main_text(frame).first()
+    assert row.text == LONG.strip() and (row.host, row["a`b"], row.path, row.k0) == (1, 2, 3, 4)
+    assert he.main_text(frame.limit(0)).count() == 0
