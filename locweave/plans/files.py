@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import rules
 from ..shipping import scratch
-from ..sources import readers, writers
+from ..sources import datasource, in_place, readers, writers
 from .inventory import LOCS, page_locs, read
 
 QUERIES: dict = {}
@@ -155,3 +157,41 @@ def file_result_csv(spark, d):
 def file_lastmod_rewrite(spark, d):
     entries = file_xml_rows(spark, d)
     return writers.with_lastmod(entries.drop("lastmod"), F.lit("2024-05-06").cast("date"))
+
+
+BYTES_HEAD = '<?xml version="1.0"?>\n<urlset>\n<!-- kept as it is -->\n'
+
+
+def _entry_sql(loc: str) -> str:
+    return f"""'  <url>' || chr(10) || '    <loc>' || replace(replace(replace({loc}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</loc>' || chr(10)
+      || '    <lastmod>2024-02-0' || (loc_idx % 9 + 1) || '</lastmod><priority>0.' || (loc_idx % 10) || '</priority>' || chr(10) || '  </url>' || chr(10)"""
+
+
+@query(f"""WITH {PLACED}, made AS (SELECT *, loc_idx % 5 = 3 AS gone, CASE WHEN contains(loc, 'example') THEN replace(loc, 'example', 'sample') ELSE loc END AS new FROM placed)
+    SELECT source_file, sha256('{BYTES_HEAD.replace(chr(10), "' || chr(10) || '")}' || coalesce(string_agg(CASE WHEN NOT gone THEN {_entry_sql("new")} END, '' ORDER BY loc_idx), '') || '</urlset>' || chr(10)) AS digest,
+      count(*) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS removed, count(*) FILTER (NOT gone AND new <> loc) AS rewritten FROM made GROUP BY source_file""")
+def file_rewrite_bytes(spark, d):
+    """Files with dates, priorities and a comment: hosts are replaced and each fifth block goes, all other bytes stay."""
+    locs = page_locs(spark, d).withColumn("source_file", F.concat("source_file", F.lit(".xml")))
+    i = F.col("loc_idx")
+    plain = F.replace(F.replace(F.replace("loc", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    entry = F.concat(F.lit("  <url>\n    <loc>"), plain, F.lit("</loc>\n    <lastmod>2024-02-0"), (i % 9 + 1).cast("string"), F.lit("</lastmod><priority>0."), (i % 10).cast("string"), F.lit("</priority>\n  </url>\n"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("loc_idx", entry.alias("xml")))), lambda e: e["xml"]), "")
+    # The place in the file, and not among all locs.
+    ranked = locs.withColumn("loc_idx", F.row_number().over(Window.partitionBy("source_file").orderBy("loc_idx")) - 1)
+    path = scratch(spark, "bytes")
+    writers.write_documents(ranked.groupBy("source_file").agg(F.concat(F.lit(BYTES_HEAD), body, F.lit("</urlset>")).alias("xml")), path)
+    found = in_place.byte_locs(spark, path, readers.WRITTEN_NAMES)
+    new = F.when(rules.has(F.col("loc"), "example", False), rules.find_replace(F.col("loc"), "example", "sample", False))
+    files = in_place.rewrite_files(spark, path, in_place.edits_of(found, new, F.col("position") % 5 == 3), readers.WRITTEN_NAMES)
+    return files.select(F.url_decode(F.regexp_extract("path", "/source_file=([^/]+)/", 1)).alias("source_file"), F.sha2("content", 256).alias("digest"), "kept", "removed", "rewritten")
+
+
+@query(f"""WITH {PLACED} SELECT replace(source_file, '.xml', CASE WHEN loc_idx >= 3 THEN '-' || (loc_idx // 3 + 1) ELSE '' END || '.xml') AS source_file, 'urlset' AS root, loc_idx % 3 AS position, loc, CASE WHEN loc_idx % 2 = 0 THEN '2024-02-03' END AS lastmod FROM placed""")
+def file_sitemap_source(spark, d):
+    """Written and read as a data source, three locs a document."""
+    locs = page_locs(spark, d).withColumn("source_file", F.concat("source_file", F.lit(".xml")))
+    position = F.row_number().over(Window.partitionBy("source_file").orderBy("loc_idx")) - 1
+    path = scratch(spark, "source")
+    datasource.write_sitemaps(locs.select("source_file", position.alias("position"), "loc", F.when(position % 2 == 0, "2024-02-03").alias("lastmod")), path, most=3)
+    return spark.read.format("sitemap").load(path).select("source_file", "root", "position", "loc", "lastmod")

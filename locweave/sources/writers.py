@@ -43,11 +43,13 @@ def index_folder(xml: Column) -> Column:
 
 
 def write_documents(documents: DataFrame, path: str, packed: bool = False) -> None:
-    """Each document as text below a folder of its file's name; a file a document where its rows are dealt out so."""
-    # Many small files: their writing is dealt to all tasks, however little text it is.
+    """Each document as text in a file of its own below a folder of its source file's name, in the order of parts."""
+    # Many small files: their writing is dealt to all tasks, however little text it is. Parts of one file stay together for their order.
     tasks = documents.sparkSession.sparkContext.defaultParallelism
-    rows = documents.select("source_file", F.rtrim("xml").alias("value")).repartition(tasks, "source_file")
-    rows.write.partitionBy("source_file").option("compression", "gzip" if packed else "none").option("lineSep", "\n").text(path)
+    part = F.col("part") if "part" in documents.columns else F.lit(0).alias("part")
+    rows = documents.select("source_file", F.rtrim("xml").alias("value"), part).repartition(tasks, "source_file").sortWithinPartitions("source_file", "part")
+    texts = rows.select("source_file", "value").write.partitionBy("source_file").option("maxRecordsPerFile", 1)
+    texts.option("compression", "gzip" if packed else "none").option("lineSep", "\n").text(path)
 
 
 def with_lastmod(entries: DataFrame, day: Column | None = None) -> DataFrame:
