@@ -7,10 +7,11 @@ filter has three bits for each byte of text to learn from, and is cut into cells
 counts also sets that cell's bits, so no bits of different tasks are merged, and texts ask the cells by a
 shuffle, so that no worker holds more than one cell.
 
-What is broadcast has a bound whatever the corpus: exact counts of frequent words and bigrams. A bigram
-whose last word is frequent is in the cell of its own hash, any other in the cell of that word, which so
-knows all that a token's score needs. The base score needs exact counts of all words; those of words that
-are not frequent come back from their cells as sums.
+What is broadcast has a bound whatever the corpus: the filter's answers for frequent words and bigrams, asked
+once by the tasks that fill it, so that scores are the filter's at every size and the same whatever is broadcast.
+A bigram whose last word is frequent is in the cell of its own hash, any other in the cell of that word, which so
+knows all that a token's score needs. The base score needs exact counts of all words; those of frequent words are
+broadcast beside their answers, those of others come back from their cells as sums.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ BASE = 1.5
 MAX_LEVEL = 64
 #: Weight of the unigram estimate, in counts.
 PRIOR = 4.0
-#: Frequent words and bigrams with exact counts in the broadcast: 16 bytes each.
+#: Frequent words and bigrams whose answers are in the broadcast: 17 and 9 bytes each.
 HOT_WORDS = 1 << 18
 HOT_PAIRS = 1 << 18
 #: Bytes of text that the frequent ones are chosen from. The choice decides where counts are kept, not what they are.
@@ -151,12 +152,12 @@ def home(pairs: np.ndarray, last: np.ndarray, hot: np.ndarray, cells: int) -> np
 
 
 class Model:
-    """What a worker needs to ask the cells: totals and the exact counts of frequent words and bigrams."""
+    """What a worker needs to ask the cells: totals, and the cells' answers for frequent words (with their counts) and bigrams."""
 
-    def __init__(self, cells: int, cell_bits: int, total: int, kinds: int, hot: np.ndarray, hot_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
+    def __init__(self, cells: int, cell_bits: int, total: int, kinds: int, hot: np.ndarray, hot_counts: np.ndarray, hot_levels: np.ndarray, pairs: np.ndarray, pair_levels: np.ndarray):
         self.cells, self.cell_bits, self.total, self.kinds = cells, cell_bits, total, kinds
-        self.hot, self.hot_counts, self.hot_levels = hot, hot_counts, levels(hot_counts).astype(np.uint8)
-        self.pairs, self.pair_levels = pairs, levels(pair_counts).astype(np.uint8)
+        self.hot, self.hot_counts, self.hot_levels = hot, hot_counts, hot_levels
+        self.pairs, self.pair_levels = pairs, pair_levels
         # log10 of a token's probability is a part for the levels of the token and its bigram, less one for that of its context.
         uni = (MEAN + 0.5) / (total + 0.5 * (kinds + 1))
         self.parts = np.log10(np.minimum(MEAN[:, None], MEAN[None, :]) + PRIOR * uni[:, None]).ravel()
@@ -237,7 +238,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
         if held:
             yield send()
 
-    blobs_made = ("a", "b", "bits", "hot", "hot_counts", "hot_pairs", "pair_counts")
+    blobs_made = ("a", "b", "bits", "hot", "hot_counts", "hot_levels", "hot_pairs", "pair_levels")
     made = pa.schema([("cell", pa.int64()), *[(x, pa.binary()) for x in blobs_made], ("total", pa.int64()), ("kinds", pa.int64())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +252,9 @@ def learn(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
             (words, counts), (pairs, pair_counts) = parts
             slice_ = filled(np.concatenate([words, pairs]), levels(np.concatenate([counts, pair_counts])), 0, 1, cell_bits)
             hot, hot_pairs = (found(names, x)[0] for names, x in zip(chosen.value, (words, pairs), strict=True))
-            blobs = [words.astype("<u8"), counts.astype("<i8"), slice_, words[hot].astype("<u8"), counts[hot].astype("<i8"), pairs[hot_pairs].astype("<u8"), pair_counts[hot_pairs].astype("<i8")]
+            # The exact counts end here: what scores are made of is asked of the cell's bits.
+            answers = [probed(slice_, x, 1, cell_bits).astype(np.uint8) for x in (words[hot], pairs[hot_pairs])]
+            blobs = [words.astype("<u8"), counts.astype("<i8"), slice_, words[hot].astype("<u8"), counts[hot].astype("<i8"), answers[0], pairs[hot_pairs].astype("<u8"), answers[1]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([cell]), *[pa.array([x.tobytes()], pa.binary()) for x in blobs], pa.array([int(counts.sum())]), pa.array([len(words)])], schema=made
             )
@@ -260,9 +263,9 @@ def learn(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     counted = written(packed.mapInArrow(build, f"cell long, {', '.join(f'{x} binary' for x in blobs_made)}, total long, kinds long"), "lm-cells")
     # What comes to the driver has a bound: HOT_WORDS words, HOT_PAIRS bigrams and two numbers a cell.
     rows = counted.select(*blobs_made[3:], "total", "kinds").collect()
-    hot, hot_counts, pairs, pair_counts = (_join([tuple(r) for r in rows], k, kind) for k, kind in enumerate(("<u8", "<i8") * 2))
+    hot, hot_counts, hot_levels, pairs, pair_levels = (_join([tuple(r) for r in rows], k, kind) for k, kind in enumerate(("<u8", "<i8", "u1", "<u8", "u1")))
     by, by_pair = np.argsort(hot), np.argsort(pairs)
-    model = Model(cells, cell_bits, sum(r["total"] for r in rows), sum(r["kinds"] for r in rows), hot[by], hot_counts[by], pairs[by_pair], pair_counts[by_pair])
+    model = Model(cells, cell_bits, sum(r["total"] for r in rows), sum(r["kinds"] for r in rows), hot[by], hot_counts[by], hot_levels[by], pairs[by_pair], pair_levels[by_pair])
     return model, counted.select("cell", "a", "b", "bits")
 
 
