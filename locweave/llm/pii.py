@@ -1,11 +1,12 @@
 """Personal data by weak supervision: labelers vote on candidate spans, a label model weighs them, a classifier decides.
 
-Candidates are cut out of the texts by patterns. Four labelers vote on each: a test of its form, a
-gazetteer of known parts, the words before it, and a test of what it could be mistaken for. Expectation
-maximisation over the counts of vote patterns, kind by kind, estimates how far each labeler can be
-trusted. The estimated labels then train a classifier (naive Bayes over hashed features) on what the
-labelers do not look at: the word before, the first word, the shape, what follows. It has the last
-word on spans that no base rule already gives, and so finds some that no gazetteer or cue knows.
+Candidates are cut out of the texts by patterns. Five labelers vote on each: a test of its form, a
+gazetteer of known parts, the words before it, a test of what it could be mistaken for, and its place in
+the sentence. Expectation maximisation over the counts of vote patterns, kind by kind, estimates how far
+each labeler can be trusted. The estimated labels then train a classifier (naive Bayes over hashed
+features) on what the labelers do not look at: the word before, the first word, the shape, what follows.
+It starts from what the votes say, with a bound, and has the last word on spans that no base rule already
+gives: it finds some that no gazetteer or cue knows, and drops some that labelers were taken in by.
 
 A text's spans are made beside its id, by columns only, and stay in that row to the end.
 """
@@ -30,12 +31,14 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# Words that open sentences and are no part of a name behind them.
+OPENERS = "Yesterday|Today|Tomorrow|Then|When|While|After|Before|Here|There|Now|Later|Once|Since|Last|Next|Also|However|Meanwhile|Perhaps|Maybe|If|As|At|By|Gestern|Heute|Morgen|Dann|Als|Wenn|Hier|Jetzt|Demain|Puis|Quand|Ici|Maintenant|Ayer|Hoy|Luego|Cuando|Ahora"
 # Candidates of the method beyond these: telephone numbers without a country, identity numbers (in the forms of
 # social security, bank accounts, national cards and passports), and capitalised names.
 MORE = {
     "local_phone": r"(?<![0-9A-Za-z+.,/-])(?![0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]))(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20/-]|[0-9]{3}[\x20.-])[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4}){1,3}(?![0-9A-Za-z]|[.,-][0-9])",
     "identity": r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?|[0-9]{8}-?[A-Z]|[A-Z]{1,2}[0-9]{6,9})(?![0-9A-Za-z-])",
-    "name": r"(?<![\p{L}])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20)?\p{Lu}\p{Ll}++(?:[\x20-]\p{Lu}(?:\.|\p{Ll}++)){1,3}",
+    "name": r"(?<![\p{L}])(?!(?:" + OPENERS + r")\x20)(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20)?\p{Lu}\p{Ll}++(?:[\x20-]\p{Lu}(?:\.|\p{Ll}++)){1,3}",
 }
 KINDS, LEARNED = [*BASE, *MORE], list(MORE)
 #: What must be in a text for a pattern to match; spares the others the search.
@@ -66,8 +69,12 @@ FORM = {
     "name": r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\b",
 }
 # Months, days and openings of sentences that make capitalised words no names.
-NO_NAME = r"(?i)\b(?:the|a|an|this|that|these|in|on|of|and|or|but|for|to|from|with|we|he|she|it|they|you|der|die|das|ein|eine|und|le|la|les|un|une|et|el|los|las|una|y|january|february|march|april|june|july|august|september|october|november|december|monday|tuesday|wednesday|thursday|friday|saturday|sunday|street|university|company|inc|city|north|south|west|east|new|united)\b"
-LABELERS = ("form", "gazetteer", "context", "shape")
+NO_NAME = r"(?i)\b(?:the|a|an|this|that|these|in|on|of|and|or|but|for|to|from|with|we|he|she|it|they|you|der|die|das|ein|eine|und|le|la|les|un|une|et|el|los|las|una|y|january|february|march|april|june|july|august|september|october|november|december|monday|tuesday|wednesday|thursday|friday|saturday|sunday|street|university|company|inc|city|north|south|west|east|new|united|licen[cs]e|version|copyright|foundation|software|public|general|apache|gnu|commons|project|chapter|section|table|figure|act|law|court|river|lake|mount|sea|bank|bridge|gate|airport|station|park|island|club|college|institute|hotel|museum|church|square|road|avenue|group|committee|party|union|war|prize|press)\b|\b(\p{L}+)[ -]\1\b"
+# What stands right before a span within a sentence: for names a word in lower case, for numbers a word or a mark of what follows.
+PLACES = {"local_phone": r"[\p{L}:#(]\x20?$", "identity": r"[\p{L}:#(]\x20?$", "name": r"(?:^|[^\p{L}])\p{Ll}+[,;:]?\x20$"}
+LABELERS = ("form", "gazetteer", "context", "shape", "place")
+#: What the votes together may weigh at most, as log odds.
+MOST_VOTES = 3.0
 #: Features of the classifier: the word before, the first word, the shape of all, its length, what stands before and after.
 FEATURES = ("word_before", "first_word", "shape", "length", "mark_before", "mark_after")
 BUCKETS = 512
@@ -168,7 +175,7 @@ def votes(kind: str, m: Column) -> Column:
         "identity": size.between(6, 26),
         "name": ~span.rlike(NO_NAME) & F.length(span).between(5, 40),
     }[kind]
-    flags = (span.rlike(FORM[kind]), span.rlike(GAZETTEER[kind]), F.lower(m["before"]).rlike(CUES[kind]), shape)
+    flags = (span.rlike(FORM[kind]), span.rlike(GAZETTEER[kind]), F.lower(m["before"]).rlike(CUES[kind]), shape, m["before"].rlike(PLACES[kind]))
     return sum((F.coalesce(v, F.lit(False)).cast("int") * 2**k for k, v in enumerate(flags)), F.lit(0))
 
 
@@ -213,7 +220,7 @@ def marked(body: Column) -> Column:
 
 def label_model(counts: list[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS) -> tuple[float, list[tuple[float, float]]]:
     """Expectation maximisation on one kind's vote patterns with counts: the share of true spans, and each labeler's rates of votes for true and other spans."""
-    width, weight = len(LABELERS), PRIOR_SPANS
+    width, weight = len(counts[0][0]) if counts else len(LABELERS), PRIOR_SPANS
     share, rates = 0.3, [(0.8, 0.2)] * width
     for _ in range(rounds):
         sums = [[0.8 * weight, weight, 0.2 * weight, weight] for _ in range(width)]
@@ -272,17 +279,22 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ac
     """
     rows = written(docs.select(F.col(id_col).alias("id"), marked(text_or_empty(text_col)).alias("spans")), "pii-spans")
 
-    # What leaves the cluster has a bound: 2 ** 4 vote patterns a kind, and then two sums a bucket.
+    # What leaves the cluster has a bound: 2 ** 5 vote patterns a kind, and then two sums a bucket.
     each = rows.select(F.explode(F.filter("spans", lambda s: s["votes"].isNotNull())).alias("s"))
     seen = each.groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).collect()
     of_kind = {k: label_model([(bits(r["votes"]), r["n"]) for r in seen if r["kind"] == k]) for k in LEARNED}
     labels = _numbers([posterior(bits(v), *of_kind[k]) for k in LEARNED for v in range(1 << len(LABELERS))])
     label = F.get(labels, (F.col("s.place") - len(BASE)) * (1 << len(LABELERS)) + F.col("s.votes"))
     learned = each.select(F.explode("s.features").alias("bucket"), label.alias("p")).groupBy("bucket").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
-    odds, weights = (_numbers(x) for x in span_classifier({r["bucket"]: (r["yes"], r["no"]) for r in learned.collect()}))
+    _, weights = span_classifier({r["bucket"]: (r["yes"], r["no"]) for r in learned.collect()})
+    weights = _numbers(weights)
+
+    voted = _numbers([max(-MOST_VOTES, min(MOST_VOTES, math.log(p / (1 - p)))) for k in LEARNED for v in range(1 << len(LABELERS)) for p in [posterior(bits(v), *of_kind[k])]])
 
     def believed(s: Column) -> Column:
-        total = F.aggregate(s["features"], F.get(odds, s["place"] - len(BASE)), lambda a, f: a + PART * F.get(weights, f))
+        kind = s["place"] - len(BASE)
+        start = F.get(voted, kind * (1 << len(LABELERS)) + s["votes"])
+        total = F.aggregate(s["features"], start, lambda a, f: a + PART * F.get(weights, f))
         return total >= math.log(accept / (1 - accept))
 
     def plain(spans: Column) -> Column:

@@ -197,3 +197,27 @@ def test_added_spans_have_recall_and_precision(spark):
             hit[want[0]] += found
     assert all(hit[k] >= 0.9 * all_[k] for k in pii.LEARNED), (hit, all_)
     assert wrong <= 0.05 * sum(hit.values()), wrong
+
+
+PLAIN = ["The report was written by {} in the spring and then sent to the others.", "Yesterday {} went to the market to buy some bread.", "We met {} at the station before the train had left.",
+         "In the end it was {} who found the keys under the mat.", "They asked whether {} would come or stay at home.", "A letter to {} arrived late in the evening."]
+OTHERS = ["The Apache License, Version 2.0 applies to this file.", "On page 1998-2003 there were 12 of them, and 300 500 more.", "We went to New York City in August and saw the Golden Gate Bridge.", "Version 10.2.33 of it costs 1.200,50 today."]
+
+
+def test_names_in_plain_sentences_and_names_of_no_list(spark):
+    """Sentences and names that no labeler was written for, beside the driver's documents."""
+    r = random.Random(9)
+    known, unknown = [n.capitalize() for n in pii.FIRST_NAMES], "Oluwaseun Priya Dmitri Ingrid Yuki Fatima Chidi Aoife Svetlana Rajesh Mei Thandiwe Zainab".split()
+    last = "Okafor Lindqvist Petrov Nakamura Delgado Ferreira Kowalski Haddad Novak Osei Marchetti Johansson Reyes Adeyemi".split()
+    rows, want = [], {}
+    for k in range(240):
+        name = f"{r.choice(known if k % 2 else unknown)} {r.choice(last)}"
+        text = r.choice(PLAIN).format(name)
+        rows.append((10**9 + k, text))
+        want[10**9 + k] = f"name:{text.index(name)}:{text.index(name) + len(name)}"
+    rows += [(2 * 10**9 + k, t) for k, t in enumerate(OTHERS * 15)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {x.doc_id: x.s for x in pii.find_pii(docs).select("doc_id", pii.joined(F.filter("spans", lambda s: s["place"] >= len(pii.BASE))).alias("s")).where("s <> ''").collect()}
+    right = sum(found.get(i) == w for i, w in want.items())
+    told = sum(s.count(",") + 1 for s in found.values())
+    assert right >= 0.9 * len(want) and right >= 0.95 * told, (right, told)
