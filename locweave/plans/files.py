@@ -195,3 +195,17 @@ def file_sitemap_source(spark, d):
     path = scratch(spark, "source")
     datasource.write_sitemaps(locs.select("source_file", position.alias("position"), "loc", F.when(position % 2 == 0, "2024-02-03").alias("lastmod")), path, most=3)
     return spark.read.format("sitemap").load(path).select("source_file", "root", "position", "loc", "lastmod")
+
+
+@query("SELECT page_id, page_id % 5 IN (0, 1) AS in_session, page_id % 5 IN (0, 1, 2, 3) AS in_cleaner FROM pages")
+def upload_filter(spark, d):
+    """Which uploads count by their names: a session takes XML files, the cleaner packed ones too."""
+    name = F.concat(F.lit("f"), F.col("page_id").cast("string"), F.element_at(F.array(*[F.lit(e) for e in (".xml", ".XML", ".xml.gz", ".Xml.GZ", ".xml.txt")]), (F.col("page_id") % 5 + 1).cast("int")))
+    return read(spark, d, "pages").select("page_id", name.rlike(readers.SESSION_NAMES).alias("in_session"), name.rlike(readers.SITEMAP_NAMES).alias("in_cleaner"))
+
+
+@query(f"WITH {PLACED} SELECT source_file, loc FROM placed")
+def file_any_namespace(spark, d):
+    """Locs of documents whose elements have prefixes, as they are read by their local names."""
+    spoil = lambda x: x.withColumn("xml", F.regexp_replace("xml", r"<(/?)(urlset|url|loc|lastmod)", "<$1sm:$2"))
+    return readers.ordered_locs(readers.scan_files(spark, _sitemaps(spark, d, spoil=spoil), readers.WRITTEN_NAMES)).select("source_file", "loc")

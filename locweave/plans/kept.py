@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import edit_log, kept_index, sketches, walks
+from ..operators import edit_log, kept_index, retention, sketches, walks
 from ..shipping import scratch
 from ..streaming import uploads
 from .inventory import LINKS, LOCS, _key, link_locs, page_locs, read
@@ -158,6 +158,37 @@ def sketched_month(spark, d):
     return both.select("event_type", "exact", (F.abs(sketches.distinct(F.col("seen")) - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact")).alias("close"))
 
 
+FILES = """logs AS (SELECT 'logs/' || CAST(ts AS DATE) || '/u' || user_id || '/e' || event_id || '.log' AS path, ts AS modified, CASE WHEN event_id % 50 > 0 THEN event_id % 1000 END AS bytes FROM events),
+  days AS (SELECT CAST(CAST(modified AS DATE) AS VARCHAR) AS day, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes FROM logs GROUP BY 1)"""
+
+
+def _logs(spark, d):
+    day, i = F.date_format("ts", "yyyy-MM-dd"), F.col("event_id")
+    path = F.concat(F.lit("logs/"), day, F.lit("/u"), F.col("user_id").cast("string"), F.lit("/e"), i.cast("string"), F.lit(".log"))
+    return read(spark, d, "events").select(path.alias("path"), F.col("ts").alias("modified"), F.when(i % 50 > 0, i % 1000).alias("bytes"))
+
+
+@query(f"""WITH {FILES}, p AS (SELECT *, string_split(path, '/') AS s FROM logs), a AS (SELECT array_to_string(s[1:k], '/') AS folder, modified, bytes FROM p, range(4) r(k))
+    SELECT folder, max(modified) AS newest, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, count(*) AS files FROM a GROUP BY folder""")
+def folder_rollup(spark, d):
+    return retention.folders(_logs(spark, d))
+
+
+@query(f"""WITH {FILES} SELECT 'logs/' || day || '/u' || user_id AS folder FROM (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id, max(ts) AS newest FROM events GROUP BY ALL) WHERE newest < TIMESTAMP '2024-01-31' - INTERVAL 14 DAY""")
+def folders_expired(spark, d):
+    return retention.expired(retention.folders(_logs(spark, d)), F.lit("2024-01-31").cast("timestamp_ntz"), "14 DAYS", 3).select("folder")
+
+
+@query(f"""WITH {FILES}, m AS (SELECT *, day < '2024-01-11' AS past FROM days), r AS (SELECT *, sum(bytes) FILTER (NOT past) OVER (ORDER BY day DESC ROWS UNBOUNDED PRECEDING) AS running, (SELECT sum(bytes) * 6 // 10 FROM m WHERE NOT past) AS ceiling FROM m)
+    SELECT day, bytes, CASE WHEN past THEN 'expired' WHEN running > ceiling THEN 'over ceiling' ELSE 'kept' END AS reason FROM r""")
+def retention_sweep(spark, d):
+    """Day folders of logs: twenty days are kept, and of these no more than six tenths of their size."""
+    tree = retention.folders(_logs(spark, d)).where(F.size(F.split("folder", "/")) == 2)
+    days = tree.select(F.substring_index("folder", "/", -1).alias("day"), "bytes")
+    ceiling = days.where("day >= '2024-01-11'").agg(F.sum("bytes")).first()[0] * 6 // 10
+    return retention.sweep(days, F.lit("2024-01-31").cast("date"), 20, ceiling)
+
+
 BATCHES = """sent AS (SELECT 'r' || (event_id % 5) AS run_id, event_id // 40 AS batch, (event_id // 5) % 3 AS attempt, event_id FROM events)"""
 
 

@@ -120,3 +120,24 @@ def stream_classify(spark, d):
     )
     classified = cleaning.select_files(uploads).select("run_id", "batch", "attempt", "event_id", "decision")
     return cleaning.latest_batches(windows.run_to_table(classified, scratch(spark, "uploads"), scratch(spark, "uploads-checkpoint")))
+
+
+@query(SQL["progress_fold"])
+def stream_progress(spark, d):
+    """The fold of frames as a stream keeps it up."""
+    path = scratch(spark, "frames")
+    frames = _frames(spark, d)
+    frames.write.parquet(path)
+    live = progress.live_progress(spark.readStream.schema(frames.schema).parquet(path))
+    rows = windows.run_to_table(live, scratch(spark, "live"), scratch(spark, "live-checkpoint"))
+    return rows.select("run", "seq", *[F.round(c, 6).alias(c) for c in ("percent", "rate", "eta_seconds")])
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS run, event_id AS seq FROM events")
+def stream_first_frames(spark, d):
+    """Frames that are sent again and again, in other micro-batches too, are told once."""
+    path = scratch(spark, "replayed")
+    frames = _frames(spark, d).select("run", "seq", F.col("ts").cast("timestamp").alias("ts"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("sent"))
+    frames.repartition(3, "sent").sortWithinPartitions("ts").write.parquet(path)
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return windows.run_to_table(windows.first_frames(stream, "60 days"), scratch(spark, "first"), scratch(spark, "first-checkpoint")).select("run", "seq")

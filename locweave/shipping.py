@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -37,6 +39,38 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{warehouse}/_scratch"
 
 
+#: Paths in shared folders that this process has named, by the application they were named for.
+_NAMED: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. What is written there is the session owner's to clear."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What is written there stays until it is cleared."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _NAMED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def cleared(spark: SparkSession, *paths: str) -> int:
+    """Delete these tables, or without any all that this process has written for the session, and say how many there were.
+
+    Frames that read them are of no more use, so this is for the end of a job or a session.
+    """
+    named = _NAMED.get(spark.sparkContext.applicationId, [])
+    gone = 0
+    for path in paths or list(named):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+        if path in named:
+            named.remove(path)
+    return gone
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """A block whose tables in the shared folder are deleted at its end; what it gives must not read them."""
+    held = set(_NAMED.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        if mine := [p for p in _NAMED.get(spark.sparkContext.applicationId, []) if p not in held]:
+            cleared(spark, *mine)

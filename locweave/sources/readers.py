@@ -12,6 +12,7 @@ from urllib.parse import unquote
 from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,21 +100,37 @@ def _scanned(path: str, content: bytes) -> dict:
     return {"path": path, "source_file": unquote(folder[1]) if folder else path.rpartition("/")[2], **scan_xml(content)}
 
 
+_SCAN = pa.schema([("path", pa.string()), ("source_file", pa.string()), ("root", pa.string()), ("is_valid", pa.bool_()), ("had_preamble", pa.bool_()), ("error", pa.string()), ("error_offset", pa.int64()), ("locs", pa.list_(pa.string()))])
+#: Locs that are gathered into one batch at most, besides those of its last file.
+BATCH_LOCS = 100_000
+
+
+def _batches_of(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Files' rows in batches of many small files, or of one large one."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row["locs"]) + 1
+        if n >= BATCH_LOCS:
+            yield pa.RecordBatch.from_pylist(held, schema=_SCAN)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=_SCAN)
+
+
 def scan_files(spark: SparkSession, path: str, names: str = SITEMAP_NAMES) -> DataFrame:
     """One row per sitemap file below a path: see SCAN. A file is one row of one task, as its order needs.
 
     names says which base names count; SESSION_NAMES leaves packed files out. Only files with such
-    names are opened.
+    names are opened. Where files are too large for a row there is datasource, which yields a row a loc.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for p, c in zip(frame["path"], frame["content"], strict=True):  # one file's locs at a time
-                yield pd.DataFrame([_scanned(p, bytes(c))], columns=[c.split()[0] for c in SCAN.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches_of(_scanned(p.as_py(), c.as_py()) for batch in batches for p, c in zip(batch.column(0), batch.column(1), strict=True))
 
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("path").rlike(names)).select("path", "content").mapInPandas(run, SCAN)
+    return files.where(F.col("path").rlike(names)).select("path", "content").mapInArrow(run, SCAN)
 
 
 def zip_entries(spark: SparkSession, path: str) -> DataFrame:

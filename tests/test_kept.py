@@ -7,7 +7,8 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from locweave.operators import cleaning, edit_log, kept_index, sketches, walks
+from locweave import shipping
+from locweave.operators import cleaning, edit_log, kept_index, retention, sketches, walks
 from locweave.streaming import uploads
 
 
@@ -132,3 +133,33 @@ def test_later_attempts_withdraw_and_a_restart_goes_on(spark, tmp_path):
     assert sorted((r["item"], r["change"]) for r in told.collect()) == [("a", -1), ("a", -1), ("a", 1), ("a", 1), ("b", 1), ("c", 1), ("x", 1), ("z", 1)]
     complete = spark.createDataFrame([("s", 1)], "run_id string, total_batches long")
     assert [r["item"] for r in uploads.drained(told, complete).collect()] == ["z"] and columns == tuple(told.columns[:4])
+
+
+def test_retention_over_trees(spark):
+    rows = [("a/b/x", "2024-01-01", 5), ("a/b/y", "2024-02-01", None), ("a/z", None, 3), ("c/d", "2023-01-01", 2), ("top", "2024-01-05", 1), (None, "2024-01-01", 9)]
+    files = spark.createDataFrame(rows, "path string, modified string, bytes long").withColumn("modified", F.col("modified").cast("timestamp_ntz"))
+    tree = retention.folders(files)
+    assert {(r.folder, str(r.newest)[:10], r.bytes, r.files) for r in tree.collect()} == {("", "2024-02-01", 11, 5), ("a", "2024-02-01", 8, 3), ("a/b", "2024-02-01", 5, 2), ("c", "2023-01-01", 2, 1)}
+    assert [r.folder for r in retention.expired(tree, F.lit("2024-02-02").cast("timestamp_ntz"), "30 DAYS").collect()] == ["c"]
+    days = spark.createDataFrame([("2024-01-01", 9), ("2024-01-10", 4), ("2024-01-11", None), ("2024-01-12", 5), ("2024-01-13", 5)], "day string, bytes long")
+    got = {r.day: r.reason for r in retention.sweep(days, F.lit("2024-01-13").cast("date"), 5, 10).collect()}
+    assert got == {"2024-01-01": "expired", "2024-01-10": "over ceiling", "2024-01-11": "kept", "2024-01-12": "kept", "2024-01-13": "kept"}
+    assert retention.sweep(days.limit(0), F.lit("2024-01-13").cast("date"), 5, 10).isEmpty()
+
+
+def test_running_total_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retention, "BLOCK", 7)
+    rows = spark.range(100).select("id", (F.col("id") % 5).alias("size"))
+    got = {r.id: r.running for r in retention.running_total(rows, [F.col("id").desc()], "size").collect()}
+    assert got == {i: sum(k % 5 for k in range(i, 100)) for i in range(100)}
+
+
+def test_tables_of_a_job_are_deleted(spark):
+    with shipping.passing(spark):
+        path = shipping.scratch(spark, "x")
+        spark.range(3).write.parquet(path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    other = shipping.scratch(spark, "y")
+    spark.range(3).write.parquet(other)
+    assert shipping.cleared(spark, other) == 1
