@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning
 from ..shipping import scratch
-from ..streaming import progress, windows
+from ..streaming import live_runs, progress, windows
 from .inventory import read
 
 QUERIES: dict = {}
@@ -141,3 +141,20 @@ def stream_first_frames(spark, d):
     frames.repartition(3, "sent").sortWithinPartitions("ts").write.parquet(path)
     stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return windows.run_to_table(windows.first_frames(stream, "60 days"), scratch(spark, "first"), scratch(spark, "first-checkpoint")).select("run", "seq")
+
+
+@query(
+    """WITH r AS (SELECT user_id, max(ts) AS last_seen, ['pending', 'cleaning', 'uploading', 'finished'][(user_id % 4) + 1] AS phase, (SELECT max(ts) FROM events) AS now FROM events GROUP BY user_id)
+    SELECT CAST(user_id AS VARCHAR) AS run, CASE WHEN phase = 'finished' THEN 'finished' WHEN phase = 'cleaning' THEN 'live' WHEN phase = 'pending' AND epoch_ms(last_seen) + 7200000 < epoch_ms(now) THEN 'expired'
+      WHEN user_id % 3 = 0 AND phase <> 'pending' AND epoch_ms(last_seen) + 18000000 < epoch_ms(now) THEN 'abandoned' ELSE 'live' END AS state FROM r"""
+)
+def stream_liveness(spark, d):
+    """States of runs by timers in event time, after four micro-batches; with hours for minutes, as the events are far apart."""
+    i = F.col("user_id")
+    phase = F.element_at(F.array(*[F.lit(x) for x in ("pending", "cleaning", "uploading", "finished")]), (i % 4 + 1).cast("int"))
+    beats = read(spark, d, "events").select(i.cast("string").alias("run"), F.col("ts").cast("timestamp").alias("ts"), phase.alias("phase"), F.when(i % 3 == 0, 0).otherwise(1).alias("subscribers"))
+    path = scratch(spark, "beats")
+    beats.repartitionByRange(4, "ts").write.parquet(path)
+    stream = spark.readStream.schema(beats.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    told = windows.run_to_table(live_runs.changes(stream, "0 seconds", 7_200_000, 18_000_000), scratch(spark, "told"), scratch(spark, "told-checkpoint"))
+    return live_runs.latest(told)

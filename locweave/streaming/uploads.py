@@ -26,7 +26,7 @@ class Attempts(StatefulProcessor):
         self.attempt = handle.getValueState("attempt", "attempt long")
         self.items = handle.getListState("items", "item string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         held = self.attempt.get()[0] if self.attempt.exists() else -1
         for frame in rows:
             newest = int(frame["attempt"].max())
@@ -58,7 +58,7 @@ class Barrier(StatefulProcessor):
         self.seen = handle.getMapState("seen", "batch long", "one boolean")
         self.count = handle.getValueState("count", "n long, told boolean")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         n, told = self.count.get() if self.count.exists() else (0, False)
         total = 0
         for frame in rows:

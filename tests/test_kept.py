@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locweave import shipping
 from locweave.operators import cleaning, edit_log, kept_index, retention, sketches, walks
-from locweave.streaming import uploads
+from locweave.streaming import live_runs, uploads
 
 
 def _locs(spark, rows):
@@ -163,3 +163,30 @@ def test_tables_of_a_job_are_deleted(spark):
     other = shipping.scratch(spark, "y")
     spark.range(3).write.parquet(other)
     assert shipping.cleared(spark, other) == 1
+
+
+def test_runs_are_reaped_by_timers_and_come_back(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    minute = lambda m, s=0: f"2024-01-01 00:{m:02d}:{s:02d}"
+    batches = [
+        [("p", minute(0), "pending", 1), ("q", minute(0), "uploading", 0), ("c", minute(0), "cleaning", 0), (None, minute(0), "pending", 0)],
+        [("p", minute(0, 30), "pending", 1), ("w", minute(1), "uploading", 1), ("q", minute(0), "finished", 0)],
+        [("w", minute(20), "finished", 0)],
+        [("p", minute(21), "uploading", 1), ("w", minute(19), "pending", 0)],
+        [("z", minute(40), "pending", 0)],
+    ]
+    for k, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "run string, ts string, phase string, subscribers long")
+        frame.coalesce(1).write.json(str(tmp_path / f"w{k}"))
+        next((tmp_path / f"w{k}").glob("*.json")).rename(source / f"{k}.json")
+    stream = spark.readStream.schema("run string, ts timestamp, phase string, subscribers long").option("maxFilesPerTrigger", 1).json(str(source))
+    for late in ("30 minutes", "0 seconds"):  # before any timer goes off, or after
+        name = late.split()[1]
+        told = uploads.finished(live_runs.changes(stream, late), str(tmp_path / f"out-{name}"), str(tmp_path / f"cp-{name}"))
+        states = {}
+        for r in sorted(told.collect(), key=lambda r: (r.at_ms, r.state != "live")):
+            states.setdefault(r.run, []).append(r.state)
+        assert states.pop("z")[0] == "live"
+        assert states == {"p": ["live", "expired", "live"], "q": ["live", "finished"], "c": ["live"], "w": ["live", "finished"]}
+        assert {r.run: r.state for r in live_runs.latest(told).collect()}["p"] == "live"
