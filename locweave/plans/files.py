@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules
+from ..operators import mismatches
 from ..shipping import scratch
 from ..sources import datasource, in_place, readers, writers
 from .inventory import LOCS, page_locs, read
@@ -172,21 +173,44 @@ def _entry_sql(loc: str) -> str:
       count(*) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS removed, count(*) FILTER (NOT gone AND new <> loc) AS rewritten FROM made GROUP BY source_file""")
 def file_rewrite_bytes(spark, d):
     """Files with dates, priorities and a comment: hosts are replaced and each fifth block goes, all other bytes stay."""
+    path = _rich_files(spark, d)
+    found = in_place.byte_locs(spark, path, readers.WRITTEN_NAMES)
+    new = F.when(rules.has(F.col("loc"), "example", False), rules.find_replace(F.col("loc"), "example", "sample", False))
+    return _told(in_place.rewrite_files(spark, path, in_place.edits_of(found, new, F.col("position") % 5 == 3), readers.WRITTEN_NAMES))
+
+
+def _rich_files(spark, d):
+    """The folder of the pages' sitemaps with dates, priorities and a comment."""
     locs = page_locs(spark, d).withColumn("source_file", F.concat("source_file", F.lit(".xml")))
+    # The place in the file, and not among all locs.
+    ranked = locs.withColumn("loc_idx", F.row_number().over(Window.partitionBy("source_file").orderBy("loc_idx")) - 1)
     i = F.col("loc_idx")
     plain = F.replace(F.replace(F.replace("loc", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     entry = F.concat(F.lit("  <url>\n    <loc>"), plain, F.lit("</loc>\n    <lastmod>2024-02-0"), (i % 9 + 1).cast("string"), F.lit("</lastmod><priority>0."), (i % 10).cast("string"), F.lit("</priority>\n  </url>\n"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("loc_idx", entry.alias("xml")))), lambda e: e["xml"]), "")
-    # The place in the file, and not among all locs.
-    ranked = locs.withColumn("loc_idx", F.row_number().over(Window.partitionBy("source_file").orderBy("loc_idx")) - 1)
     path = scratch(spark, "bytes")
     writers.write_documents(ranked.groupBy("source_file").agg(F.concat(F.lit(BYTES_HEAD), body, F.lit("</urlset>")).alias("xml")), path)
-    found = in_place.byte_locs(spark, path, readers.WRITTEN_NAMES)
-    new = F.when(rules.has(F.col("loc"), "example", False), rules.find_replace(F.col("loc"), "example", "sample", False))
-    files = in_place.rewrite_files(spark, path, in_place.edits_of(found, new, F.col("position") % 5 == 3), readers.WRITTEN_NAMES)
+    return path
+
+
+def _told(files):
     return files.select(F.url_decode(F.regexp_extract("path", "/source_file=([^/]+)/", 1)).alias("source_file"), F.sha2("content", 256).alias("digest"), "kept", "removed", "rewritten")
 
 
+MINE = "regexp_matches(lower(loc), '^https?://([^/?#]*\\.)?example\\.net(:[0-9]*)?([/?#]|$)')"
+
+
+@query(f"""WITH {PLACED}, made AS (SELECT *, regexp_matches(lower(loc), '^https?://') AND NOT {MINE} AS gone FROM placed)
+    SELECT source_file, sha256('{BYTES_HEAD.replace(chr(10), "' || chr(10) || '")}' || coalesce(string_agg(CASE WHEN NOT gone THEN {_entry_sql("loc")} END, '' ORDER BY loc_idx), '') || '</urlset>' || chr(10)) AS digest,
+      count(*) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS removed, CAST(0 AS BIGINT) AS rewritten FROM made GROUP BY source_file""")
+def file_domain_stripped(spark, d):
+    """The files as they are downloaded without other hosts: their blocks go, what has no host stays, and so do all other bytes."""
+    path = _rich_files(spark, d)
+    found = in_place.byte_locs(spark, path, readers.WRITTEN_NAMES)
+    other = ~mismatches.on_domain(F.col("loc"), F.lit("example.net"), True)
+    return _told(in_place.rewrite_files(spark, path, in_place.edits_of(found, F.lit(None).cast("string"), other), readers.WRITTEN_NAMES))
+
+
 @query(f"""WITH {PLACED} SELECT replace(source_file, '.xml', CASE WHEN loc_idx >= 3 THEN '-' || (loc_idx // 3 + 1) ELSE '' END || '.xml') AS source_file, 'urlset' AS root, loc_idx % 3 AS position, loc, CASE WHEN loc_idx % 2 = 0 THEN '2024-02-03' END AS lastmod FROM placed""")
 def file_sitemap_source(spark, d):
     """Written and read as a data source, three locs a document."""

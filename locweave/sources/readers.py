@@ -182,7 +182,8 @@ def index_children(scanned: DataFrame) -> DataFrame:
 def tree_locs(scanned: DataFrame, root_file: str, depth: int = 4, most: int = 100_000) -> DataFrame:
     """loc, level of the pages below an index file: indexes are followed by their children's base names, down to a depth.
 
-    At most so many pages are returned, the nearest ones first, then by name: the bound is the operator's own.
+    At most so many pages are returned, the nearest ones first, then by name: the bound is the operator's own. This is for files
+    that are known by base names only; where their URLs are known, walks.pages_below keeps equal names of two folders apart.
     """
     named = scanned.select("source_file", "root", "locs")
     level = named.where(F.col("source_file") == root_file).select("source_file")
