@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import edit_log, kept_index, retention, sketches, walks
+from ..operators import edit_log, kept_index, retention, sketches, summaries, walks
 from ..shipping import scratch
 from ..streaming import uploads
 from .inventory import LINKS, LOCS, _key, link_locs, page_locs, read
@@ -216,3 +216,22 @@ def stream_ready_runs(spark, d):
     last = read(spark, d, "events").agg(F.floor(F.max("event_id") / 40) + 1).first()[0]
     announced = sent.select("run_id", "batch", F.when(F.col("run_id") == "r3", 1_000_000).otherwise(last).cast("long").alias("total_batches"))
     return uploads.finished(uploads.ready(announced), scratch(spark, "ready"), scratch(spark, "ready-checkpoint"))
+
+
+VISITS = """visits AS (SELECT event_id, 'https://e.com/v/' || event_type || '/u' || user_id || '/e' || event_id AS loc, ['v', event_type, 'u' || user_id, 'e' || event_id] AS segs FROM events),
+  spread AS (SELECT unnest(segs) AS seg, unnest(range(4)) AS pos FROM visits), stats AS (SELECT pos, count(DISTINCT seg) AS d, count(*) AS n FROM spread GROUP BY pos),
+  params AS (SELECT list(pos) FILTER (d > 100 OR (n >= 3 AND d >= 0.6 * n)) AS ps FROM stats),
+  named AS (SELECT loc, md5('0' || loc) AS hash, '/' || array_to_string(list_transform(segs, lambda s, i: CASE WHEN list_contains(ps, i - 1) THEN '{param}' ELSE s END), '/') AS template FROM visits, params)"""
+
+
+@query(f"""WITH {VISITS} SELECT template, CAST(count(*) AS BIGINT) AS urls, (list(loc ORDER BY hash, loc))[1:5] AS samples FROM named GROUP BY template""")
+def merged_patterns(spark, d):
+    """Patterns of URLs that came in three batches, from what each batch has left: no URL is read twice."""
+    i = F.col("event_id")
+    loc = F.concat(F.lit("https://e.com/v/"), F.col("event_type"), F.lit("/u"), F.col("user_id").cast("string"), F.lit("/e"), i.cast("string"))
+    path = scratch(spark, "summaries")
+    for k in range(3):
+        positions, shapes = summaries.summary(read(spark, d, "events").where(i % 3 == k).select(loc.alias("loc")))
+        positions.write.mode("append").parquet(f"{path}/positions")
+        shapes.write.mode("append").parquet(f"{path}/shapes")
+    return summaries.table(spark.read.parquet(f"{path}/positions"), spark.read.parquet(f"{path}/shapes"))

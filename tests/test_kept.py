@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locweave import shipping
-from locweave.operators import cleaning, edit_log, kept_index, retention, sketches, walks
+from locweave.operators import cleaning, edit_log, kept_index, retention, sketches, summaries, walks
 from locweave.streaming import live_runs, uploads
 
 
@@ -190,3 +190,17 @@ def test_runs_are_reaped_by_timers_and_come_back(spark, tmp_path):
         assert states.pop("z")[0] == "live"
         assert states == {"p": ["live", "expired", "live"], "q": ["live", "finished"], "c": ["live"], "w": ["live", "finished"]}
         assert {r.run: r.state for r in live_runs.latest(told).collect()}["p"] == "live"
+
+
+@pytest.mark.parametrize("parts", [1, 2, 4])
+def test_summaries_of_any_split_give_one_table(spark, parts):
+    rows = spark.range(600).select("id", F.concat(F.lit("https://e.com/"), F.when(F.col("id") % 4 == 0, "a").otherwise("b"), F.lit("/"), (F.col("id") % 130).cast("string"), F.when(F.col("id") % 3 == 0, "/x").otherwise("")).alias("loc"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, "junk"), (-2, None), (-3, "https://e.com")], "id long, loc string"))
+    whole = summaries.table(*summaries.summary(rows)).orderBy("template").collect()
+    assert [(r.template, r.urls) for r in whole] == [("/", 1), ("/a/{param}", 100), ("/a/{param}/x", 50), ("/b/{param}", 300), ("/b/{param}/x", 150)]
+    made = [summaries.summary(rows.where(F.pmod("id", F.lit(parts)) == k)) for k in range(parts)]
+    positions, shapes = made[0]
+    for p, s in made[1:]:
+        positions, shapes = positions.unionByName(p), shapes.unionByName(s)
+    assert summaries.table(summaries.merged_positions(positions), shapes).orderBy("template").collect() == whole
+    assert all(len(r.samples) == min(5, len(set(r.samples))) for r in whole)
