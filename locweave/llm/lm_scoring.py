@@ -46,7 +46,7 @@ SAMPLE_BYTES = 16 << 20
 #: Bytes of texts that are worked on together: each block sends a pack to each cell.
 BLOCK_BYTES = 4 << 20
 #: Tokens whose n-grams a task sums before it sends them.
-GATHER_TOKENS = 5_000_000
+GATHER_TOKENS = 3_500_000
 
 END = np.uint64(0x9E3779B97F4A7C15)
 PACK = "cell long, kind int, a binary, b binary, c binary, d binary"
