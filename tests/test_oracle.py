@@ -1,12 +1,12 @@
 import pytest
 
 import __spark_entry__
-from locweave.plans import desk, files, inventory, streams, workflow
+from locweave.plans import desk, files, inventory, kept, streams, workflow
 
 from .oracle import duck, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = {**inventory.SQL, **desk.SQL, **workflow.SQL, **files.SQL, **streams.SQL}
+SQL = {**inventory.SQL, **desk.SQL, **workflow.SQL, **files.SQL, **streams.SQL, **kept.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
