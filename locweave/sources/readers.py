@@ -8,10 +8,10 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from typing import IO
 from urllib.parse import unquote
 from xml.parsers import expat
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,19 +40,21 @@ def strip_preamble(content: bytes) -> tuple[bytes, bool]:
     return (content[at:], True) if at > 0 else (start, False)
 
 
-def _pieces(content: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+def _pieces(content: bytes | IO[bytes], size: int = 1 << 20) -> Iterator[bytes]:
     """The document in pieces; a gzipped one is unpacked piece by piece."""
-    source = io.BytesIO(content)
-    stream = gzip.GzipFile(fileobj=source) if content[:2] == b"\x1f\x8b" else source
+    source = io.BytesIO(content) if isinstance(content, bytes) else content
+    packed = source.read(2) == b"\x1f\x8b"
+    source.seek(0)
+    stream = gzip.GzipFile(fileobj=source) if packed else source
     while piece := stream.read(size):
         yield piece
 
 
-def scan_xml(content: bytes) -> dict:
+def scan_xml(content: bytes | IO[bytes]) -> dict:
     """Root, validity, error with its place, and the locs that were complete before any error, in document order.
 
     Names count without prefixes and case, so loc elements of any namespace are locs. Text and CDATA
-    are taken, trimmed; empty ones are left out. Of a broken gzip file, what came before the break counts.
+    are taken, trimmed; empty ones are left out. Of a broken gzip file or ZIP entry, what came before the break counts.
     """
     locs: list[str] = []
     state: dict = {"root": None, "text": None}
@@ -87,14 +89,14 @@ def scan_xml(content: bytes) -> dict:
         parser.Parse(b"", True)
     except expat.ExpatError as failed:
         error, place = str(failed), parser.ErrorByteIndex
-    except (OSError, EOFError, zlib.error) as failed:
+    except (OSError, EOFError, zlib.error, zipfile.BadZipFile) as failed:
         error, place = str(failed), 0
     root = state["root"]
     known = root in ("urlset", "sitemapindex")
     return {"root": root, "is_valid": error is None and known, "had_preamble": had, "error": error or (None if known else "unknown root"), "error_offset": place, "locs": locs}
 
 
-def _scanned(path: str, content: bytes) -> dict:
+def _scanned(path: str, content: bytes | IO[bytes]) -> dict:
     """A file's row; one that writers.write_documents has written goes by the name of its folder."""
     folder = re.search(r"/source_file=([^/]+)/part-[^/]*$", path)
     return {"path": path, "source_file": unquote(folder[1]) if folder else path.rpartition("/")[2], **scan_xml(content)}
@@ -133,22 +135,45 @@ def scan_files(spark: SparkSession, path: str, names: str = SITEMAP_NAMES) -> Da
     return files.where(F.col("path").rlike(names)).select("path", "content").mapInArrow(run, SCAN)
 
 
-def zip_entries(spark: SparkSession, path: str) -> DataFrame:
-    """As scan_files, of the sitemaps in ZIP files: entries by base name, without hidden ones; path is that of the ZIP file with the entry's behind it."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for p, c in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(bytes(c))) as packed:
-                    for entry in packed.infolist():
-                        base = entry.filename.rpartition("/")[2]
-                        hidden = any(part.startswith((".", "__MACOSX")) for part in entry.filename.split("/"))
-                        if not entry.is_dir() and not hidden and re.search(SITEMAP_NAMES, base):
-                            yield pd.DataFrame([_scanned(f"{p}!/{entry.filename}", packed.read(entry))], columns=[c.split()[0] for c in SCAN.split(", ")])
+def _entries(path: str, content: bytes) -> Iterator[dict]:
+    """The rows of a ZIP file's sitemaps, each unpacked piece by piece; one with the error alone where the ZIP file cannot be opened."""
+    broken = {"path": path, "source_file": path.rpartition("/")[2], "root": None, "is_valid": False, "had_preamble": False, "error_offset": 0, "locs": []}
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as packed:
+            for entry in packed.infolist():
+                hidden = any(part.startswith((".", "__MACOSX")) for part in entry.filename.split("/"))
+                if entry.is_dir() or hidden or not re.search(SITEMAP_NAMES, entry.filename):
+                    continue
+                place = f"{path}!/{entry.filename}"
+                try:
+                    with packed.open(entry) as stream:
+                        yield _scanned(place, stream)
+                except (RuntimeError, NotImplementedError, zipfile.BadZipFile) as failed:  # with a password, by an unknown method, or without its header
+                    yield {**broken, "path": place, "source_file": entry.filename.rpartition("/")[2], "error": str(failed)}
+    except zipfile.BadZipFile as failed:
+        yield {**broken, "error": str(failed)}
+
+
+def entries_of(files: DataFrame) -> DataFrame:
+    """As scan_files, of the sitemaps in ZIP files (path, content): entries by base name, without hidden ones.
+
+    path is that of the ZIP file with the entry's behind it. Entries are unpacked in pieces, so that a task holds
+    the packed file and one entry's locs. A ZIP file or an entry that cannot be opened is a row with its error;
+    a null content gives no row.
+    """
 
-    ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path)
-    return files.select("path", "content").mapInPandas(run, SCAN)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches_of(
+            row for batch in batches for p, c in zip(batch.column(0), batch.column(1), strict=True) if c.is_valid for row in _entries(p.as_py() or "", c.as_py())
+        )
+
+    ship(files.sparkSession)
+    return files.select("path", "content").mapInArrow(run, SCAN)
+
+
+def zip_entries(spark: SparkSession, path: str) -> DataFrame:
+    """entries_of the ZIP files below a path."""
+    return entries_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path))
 
 
 def file_facts(scanned: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import gzip
+import io
 import zipfile
 
 from pyspark.sql import functions as F
@@ -84,6 +85,29 @@ def test_zip_entries_and_sessions_names(spark, tmp_path):
     assert readers.scan_files(spark, str(tmp_path), readers.SESSION_NAMES).count() == 0
 
 
+def test_broken_zip_files_and_entries_are_rows_with_errors(spark):
+    xml = "<urlset>" + "".join(f"<url><loc>https://e.com/{k}</loc></url>" for k in range(5)) + "</urlset>"
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("a.xml", xml)
+        z.writestr("b.xml", xml)
+    whole = held.getvalue()
+    spoilt = whole.replace(b"e.com/4", b"e.com/5", 1)  # the first entry no longer has its checksum
+    unknown = bytearray(whole)
+    for sign, at in ((b"PK\x03\x04", 8), (b"PK\x01\x02", 10)):
+        unknown[whole.index(sign) + at] = 99  # a method that nothing unpacks
+    files = [("1.zip", whole), ("2.zip", spoilt), ("3.zip", whole[:-30]), ("4.zip", bytes(unknown)), ("5.zip", b""), ("6.zip", None), (None, whole)]
+    rows = readers.entries_of(spark.createDataFrame(files, "path string, content binary")).collect()
+    got = {r.path: (r.source_file, r.is_valid, len(r.locs), r.error is None) for r in rows}
+    assert got["1.zip!/a.xml"] == ("a.xml", True, 5, True) == got["!/a.xml"]
+    assert got["2.zip!/a.xml"][1:] == (False, got["2.zip!/a.xml"][2], False) and got["2.zip!/b.xml"][1]
+    assert got["3.zip"] == ("3.zip", False, 0, False) and got["5.zip"] == ("5.zip", False, 0, False)
+    assert got["4.zip!/a.xml"] == ("a.xml", False, 0, False) and got["4.zip!/b.xml"][1:] == (True, 5, True)
+    assert len(rows) == len(got) == 10
+    empty = spark.createDataFrame([], "path string, content binary")
+    assert readers.entries_of(empty).count() == 0
+
+
 def test_cut_gzip_keeps_what_came_before(spark):
     locs = [f"https://e.com/{k}/{hash(str(k))}" for k in range(20_000)]
     packed = gzip.compress(("<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in locs) + "</urlset>").encode())
