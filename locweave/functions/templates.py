@@ -136,6 +136,43 @@ def check_structures(pattern: str, current: Structure, new: Structure) -> None:
         raise StructureError("the new structure drops parameters")
 
 
+#: A segment of a structure as a whole: fixed text, or a parameter with at most one transform.
+SEGMENT = r"\A([^{}]*|\{[A-Za-z][A-Za-z0-9]*(\|[^|]+(\|[^|]*)?\|)?\})\z"
+
+
+def structure_problem(pattern: Column, current: Column, new: Column) -> Column:
+    """What check_structures or parse_structure would object to, for columns of jobs: ok, or the first fault.
+
+    Faults in their order: current_unreadable, new_unreadable, other_count (of parameters than the pattern's),
+    named_twice, unknown (a parameter that only the new structure has), dropped. Null where any of the three is null.
+    """
+
+    def parts(structure: Column) -> Column:
+        body = F.regexp_replace(F.regexp_replace(F.trim(structure), r"\A/", ""), r"/\z", "")
+        return F.filter(F.split(body, "/", -1), lambda s: body != "")
+
+    def names(structure: Column) -> Column:
+        return F.transform(F.filter(parts(structure), lambda s: s.startswith("{")), lambda s: F.regexp_extract(s, r"\A\{([A-Za-z0-9]*)", 1))
+
+    def unreadable(structure: Column) -> Column:
+        return F.exists(parts(structure), lambda s: ~s.rlike(SEGMENT))
+
+    def twice(structure: Column) -> Column:
+        return F.size(F.array_distinct(names(structure))) != F.size(names(structure))
+
+    wanted = F.size(F.filter(F.split(pattern, "/", -1), lambda s: s == PARAM))
+    fault = (
+        F.when(unreadable(current), "current_unreadable")
+        .when(unreadable(new), "new_unreadable")
+        .when(F.size(names(current)) != wanted, "other_count")
+        .when(twice(current) | twice(new), "named_twice")
+        .when(F.size(F.array_except(names(new), names(current))) > 0, "unknown")
+        .when(F.size(F.array_except(names(current), names(new))) > 0, "dropped")
+        .otherwise("ok")
+    )
+    return F.when(pattern.isNotNull() & current.isNotNull() & new.isNotNull(), fault)
+
+
 def transform_structure(url: Column, current: Structure, new: Structure) -> Column:
     """The URL rebuilt by the new structure; null where it does not fit the current one or stays the same."""
     segs = urls.segments(urls.path(url))

@@ -449,6 +449,33 @@ def structure_transform(spark, d):
     return read(spark, d, "pages").select("page_id", templates.transform_structure(F.col("url"), current, new).alias("moved"))
 
 
+JOB_PATTERNS = ("/shop/{param}", "/{param}/{param}", "/about", "/shop/{param}/{param}/")
+JOB_STRUCTURES = ("/shop/{A}", "/{A}/{B|.html|}/", "/{B}/{A|upper|}", "/{A}/{A}", "/about", "/x{A}", "/{A|-|_|}/{C}", "/{A||}", "/{B|old|new|}/x/{A}")
+
+
+def _of(values: tuple[str, ...], number: str) -> str:
+    return f"[{', '.join(repr(v) for v in values)}][{number} % {len(values)} + 1]"
+
+
+@query(
+    f"""WITH j AS (SELECT p_partkey AS job_id, {_of(JOB_PATTERNS, 'p_partkey')} AS pattern, {_of(JOB_STRUCTURES, '(p_partkey // 4)')} AS was, {_of(JOB_STRUCTURES, '(p_partkey // 36)')} AS new FROM part),
+    s AS (SELECT *, string_split(regexp_replace(was, '^/|/$', '', 'g'), '/') AS a, string_split(regexp_replace(new, '^/|/$', '', 'g'), '/') AS b FROM j),
+    n AS (SELECT *, regexp_extract_all(was, '\{{([A-Za-z]+)', 1) AS an, regexp_extract_all(new, '\{{([A-Za-z]+)', 1) AS bn,
+      list_bool_and(list_transform(a, lambda x: regexp_full_match(x, '[^{{}}]*|\{{[A-Za-z]+(\|[^|]+(\|[^|]*)?\|)?\}}'))) AS a_reads,
+      list_bool_and(list_transform(b, lambda x: regexp_full_match(x, '[^{{}}]*|\{{[A-Za-z]+(\|[^|]+(\|[^|]*)?\|)?\}}'))) AS b_reads FROM s)
+    SELECT job_id, CASE WHEN NOT a_reads THEN 'current_unreadable' WHEN NOT b_reads THEN 'new_unreadable'
+      WHEN len(an) <> (length(pattern) - length(replace(pattern, '{{param}}', ''))) // 7 THEN 'other_count'
+      WHEN len(list_distinct(an)) <> len(an) OR len(list_distinct(bn)) <> len(bn) THEN 'named_twice'
+      WHEN NOT list_has_all(an, bn) THEN 'unknown' WHEN NOT list_has_all(bn, an) THEN 'dropped' ELSE 'ok' END AS problem FROM n"""
+)
+def structure_problems(spark, d):
+    """A table of jobs that change structures, each with what is wrong with it."""
+    k = F.col("p_partkey")
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int"))
+    problem = templates.structure_problem(pick(JOB_PATTERNS, k), pick(JOB_STRUCTURES, F.floor(k / 4)), pick(JOB_STRUCTURES, F.floor(k / 36)))
+    return read(spark, d, "part").select(k.alias("job_id"), problem.alias("problem"))
+
+
 @query("SELECT page_id, replace(url, '/en/', '/en-us/') AS loc, CASE WHEN contains(url, '/en/') THEN url END AS original_loc, contains(url, '/en/') AS rewritten, url AS undone FROM pages")
 def find_replace(spark, d):
     rows = rewriting.rewrite(read(spark, d, "pages").select("page_id", F.col("url").alias("loc")), {"kind": "find_replace", "find": "/en/", "put": "/en-us/"})

@@ -56,6 +56,31 @@ def test_structures(spark):
         templates.check_structures("/shop/{param}/{param}", current, templates.parse_structure("/{A}"))
 
 
+def test_structure_problems_are_those_of_the_checks(spark):
+    patterns = ["/shop/{param}", "/{param}/{param}/", "/about", "", None]
+    structures = ["/shop/{A}", "{A}/{B|x|}/", "/{B|upper|}/{A|a|b|}", "/{A|a||}", "/{A}/{A}", "/", "", "//", "/a//b", "/a{B}", "/{1}", "/{}", "/{", "/{A||}", "/{A|x}", "/{A||y|}", "/{A|{|}", " /x/{A} ", None]
+
+    def fault(pattern, current, new):
+        if None in (pattern, current, new):
+            return None
+        read = []
+        for text, kind in ((current, "current_unreadable"), (new, "new_unreadable")):
+            try:
+                read.append(templates.parse_structure(text))
+            except templates.StructureError:
+                return kind
+        try:
+            templates.check_structures(pattern, *read)
+        except templates.StructureError as said:
+            return {"number": "other_count", "twice": "named_twice", "unknown": "unknown", "drops": "dropped"}[next(w for w in ("number", "twice", "unknown", "drops") if w in str(said))]
+        return "ok"
+
+    jobs = [(p, c, n) for p in patterns for c in structures for n in structures]
+    frame = spark.createDataFrame(jobs, "p string, c string, n string").withColumn("problem", templates.structure_problem(F.col("p"), F.col("c"), F.col("n")))
+    wrong = [(r, fault(r.p, r.c, r.n)) for r in frame.collect() if r.problem != fault(r.p, r.c, r.n)]
+    assert not wrong, wrong[:5]
+
+
 def test_redirect_rules(spark):
     rows = [
         ("https://e.com/a-parts-catalog/1", "https://e.com/a/1", "-parts-catalog", ""),
