@@ -458,7 +458,7 @@ def _of(values: tuple[str, ...], number: str) -> str:
 
 
 @query(
-    f"""WITH j AS (SELECT p_partkey AS job_id, {_of(JOB_PATTERNS, 'p_partkey')} AS pattern, {_of(JOB_STRUCTURES, '(p_partkey // 4)')} AS was, {_of(JOB_STRUCTURES, '(p_partkey // 36)')} AS new FROM part),
+    rf"""WITH j AS (SELECT p_partkey AS job_id, {_of(JOB_PATTERNS, 'p_partkey')} AS pattern, {_of(JOB_STRUCTURES, '(p_partkey // 4)')} AS was, {_of(JOB_STRUCTURES, '(p_partkey // 36)')} AS new FROM part),
     s AS (SELECT *, string_split(regexp_replace(was, '^/|/$', '', 'g'), '/') AS a, string_split(regexp_replace(new, '^/|/$', '', 'g'), '/') AS b FROM j),
     n AS (SELECT *, regexp_extract_all(was, '\{{([A-Za-z]+)', 1) AS an, regexp_extract_all(new, '\{{([A-Za-z]+)', 1) AS bn,
       list_bool_and(list_transform(a, lambda x: regexp_full_match(x, '[^{{}}]*|\{{[A-Za-z]+(\|[^|]+(\|[^|]*)?\|)?\}}'))) AS a_reads,
