@@ -14,37 +14,60 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from . import windows
 
 CHANGES = "run_id string, batch long, attempt long, item string, change long"
+#: Batches of a run whose attempts are one state.
+TOGETHER = 64
 READY = "run_id string, total_batches long"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Attempts(StatefulProcessor):
-    """Of one batch of a run: the latest attempt and the items it has brought so far."""
+    """Of some batches of a run: the latest attempt of each and the items it has brought so far.
+
+    Items are kept in chunks as they came, so that a micro-batch adds to what is there; chunks are read again only when
+    an attempt is withdrawn.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.attempt = handle.getValueState("attempt", "attempt long")
-        self.items = handle.getListState("items", "item string")
+        self.attempts = handle.getValueState("attempts", "batches array<long>, attempts array<long>")
+        self.items = handle.getListState("items", "batches array<long>, items array<string>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        held = self.attempt.get()[0] if self.attempt.exists() else -1
+        held = dict(zip(*(self.attempts.get() or ((), ())), strict=True))
+        changed = False
         for frame in rows:
-            newest = int(frame["attempt"].max())
-            if newest > held:
-                gone = [r[0] for r in self.items.get()] if self.items.exists() else []
-                yield self._told(key, held, gone, -1)
-                self.items.clear()
-                held = newest
-                self.attempt.update((held,))
-            mine = frame.loc[frame["attempt"] == held, "item"].tolist()
+            came = list(zip(*(frame[c].tolist() for c in ("batch", "attempt", "item")), strict=True))
+            newest = dict(held)
+            for batch, attempt, _ in came:
+                if attempt > newest.get(batch, attempt - 1):
+                    newest[batch] = attempt
+            risen = {batch for batch, attempt in held.items() if newest[batch] > attempt}
+            if risen:
+                yield from self._withdrawn(key, held, risen)
+            changed, held = changed or newest != held, newest
+            mine = [(batch, item) for batch, attempt, item in came if attempt == held[batch]]
             if mine:
-                self.items.appendList([(item,) for item in mine])
+                self.items.appendValue(tuple(map(list, zip(*mine, strict=True))))
                 yield self._told(key, held, mine, 1)
+        if changed:
+            self.attempts.update((list(held), list(held.values())))
+
+    def _withdrawn(self, key: tuple, held: dict[int, int], risen: set[int]) -> Iterator[pd.DataFrame]:
+        left = []
+        for chunk in self.items.get():
+            pairs = list(zip(*chunk, strict=True))
+            if gone := [p for p in pairs if p[0] in risen]:
+                yield self._told(key, held, gone, -1)
+            if stays := [p for p in pairs if p[0] not in risen]:
+                left.append(tuple(map(list, zip(*stays, strict=True))))
+        self.items.clear()
+        for chunk in left:
+            self.items.appendValue(chunk)
 
-    def _told(self, key: tuple, attempt: int, items: list[str], change: int) -> pd.DataFrame:
+    def _told(self, key: tuple, held: dict[int, int], pairs: list[tuple[int, str]], change: int) -> pd.DataFrame:
         # Strings as plain objects: frames of them can be put together into one array.
-        n = len(items)
-        columns = {"run_id": [key[0]] * n, "batch": [key[1]] * n, "attempt": [attempt] * n, "item": items, "change": [change] * n}
+        n = len(pairs)
+        columns = {"run_id": [key[0]] * n, "batch": [b for b, _ in pairs], "attempt": [held[b] for b, _ in pairs], "item": [i for _, i in pairs], "change": [change] * n}
         return pd.DataFrame({c: pd.Series(v, dtype=object if c in ("run_id", "item") else "int64") for c, v in columns.items()})
 
     def close(self) -> None:
@@ -83,16 +106,18 @@ def with_store(spark: SparkSession) -> None:
     spark.conf.set(_PROVIDER, _ROCKS)
 
 
-def changes(rows: DataFrame) -> DataFrame:
+def changes(rows: DataFrame, together: int = TOGETHER) -> DataFrame:
     """run_id, batch, attempt, item, change (1: brought, -1: withdrawn) from a stream of run_id, batch, attempt, item.
 
     An attempt above the held one withdraws all that was brought and takes its place; rows of lower ones are passed over,
-    however late. A batch of a run is a state of its own, so a run with a third of all rows is many tasks. Null runs and
-    batches are no uploads.
+    however late. So many batches of a run that follow one another are one state, so that a state is worth its call to
+    Python, and a run with a third of all rows is still many tasks; set together to 1 where a batch alone is large. It is
+    fixed once a checkpoint exists. Null runs and batches are no uploads.
     """
     with_store(rows.sparkSession)
     typed = rows.select(F.col("run_id").cast("string").alias("run_id"), F.col("batch").cast("long").alias("batch"), F.col("attempt").cast("long").alias("attempt"), F.col("item").cast("string").alias("item"))
-    return typed.where("run_id IS NOT NULL AND batch IS NOT NULL AND attempt IS NOT NULL").groupBy("run_id", "batch").transformWithStateInPandas(Attempts(), CHANGES, "Append", "None")
+    blocks = typed.where("run_id IS NOT NULL AND batch IS NOT NULL AND attempt IS NOT NULL").withColumn("block", F.expr(f"batch div {together}"))
+    return blocks.groupBy("run_id", "block").transformWithStateInPandas(Attempts(), CHANGES, "Append", "None")
 
 
 def ready(rows: DataFrame) -> DataFrame:

@@ -135,6 +135,19 @@ def test_later_attempts_withdraw_and_a_restart_goes_on(spark, tmp_path):
     assert [r["item"] for r in uploads.drained(told, complete).collect()] == ["z"] and columns == tuple(told.columns[:4])
 
 
+def test_batches_of_one_state_are_withdrawn_apart(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(r.choice("ab"), r.randint(0, 9), r.randint(0, 2), f"i{k}") for k in range(300)]
+    source = tmp_path / "in"
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], "run_id string, batch long, attempt long, item string").coalesce(1).write.mode("append").json(str(source))
+    newest = {}
+    for run, batch, attempt, _ in rows:
+        newest[run, batch] = max(attempt, newest.get((run, batch), 0))
+    told = uploads.finished(uploads.changes(_stream(spark, source), together=4), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(map(tuple, uploads.standing(told).collect())) == sorted(x for x in rows if x[2] == newest[x[0], x[1]])
+
+
 def test_retention_over_trees(spark):
     rows = [("a/b/x", "2024-01-01", 5), ("a/b/y", "2024-02-01", None), ("a/z", None, 3), ("c/d", "2023-01-01", 2), ("top", "2024-01-05", 1), (None, "2024-01-01", 9)]
     files = spark.createDataFrame(rows, "path string, modified string, bytes long").withColumn("modified", F.col("modified").cast("timestamp_ntz"))
