@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from locweave import shipping
 from locweave.operators import cleaning, edit_log, kept_index, retention, sketches, summaries, walks
+from locweave.plans import workflow
 from locweave.streaming import live_runs, uploads
 
 
@@ -112,6 +113,11 @@ def test_sketches_of_days_merge(spark):
         assert r.n == 10_000 and abs(r.d - 4500) <= sketches.DISTINCT_ERROR * 4500 and abs(r.q / 20_000 - 0.5) < 2 * sketches.RANK_ERROR
 
 
+def test_approximate_counts_hold_no_sketch_for_each_user(spark):
+    plan = workflow.ext_approximate_distinct(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_approx_count_distinct" in plan and "merge_approx_count_distinct" not in plan
+
+
 def _stream(spark, folder):
     return spark.readStream.schema("run_id string, batch long, attempt long, item string").option("maxFilesPerTrigger", 1).json(str(folder))
 
