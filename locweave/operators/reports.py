@@ -64,14 +64,38 @@ def scoped(rows: DataFrame, owner: str, viewer: int, users: DataFrame, groups: D
     return rows.join(mine, F.col(owner) == F.col("__m"), "left_semi")
 
 
-def scoped_totals(counts: DataFrame, owner: str, n: str, users: DataFrame, groups: DataFrame) -> DataFrame:
-    """viewer_id, n: the sum over what each viewer may see. Owners are summed first; super-admins all have the one total."""
+def scoped_totals(counts: DataFrame, owner: str, n: str, users: DataFrame, groups: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """viewer_id, n: the sum over what each viewer may see. Owners are summed first; super-admins all have the one total.
+
+    With members (group, member), groups has lead_user_id and group in place of arrays: a group is then summed once,
+    however many lead it, and only who leads several groups has members told apart.
+    """
     by_owner = counts.groupBy(F.col(owner).alias("__o")).agg(F.sum(n).alias("__n"))
-    seen = members_seen(users, groups).join(by_owner, F.col("member") == F.col("__o")).groupBy("viewer_id").agg(F.sum("__n").alias(n))
+    if members is None:
+        seen = members_seen(users, groups).join(by_owner, F.col("member") == F.col("__o")).groupBy("viewer_id").agg(F.sum("__n").alias(n))
+    else:
+        seen = _seen_by_group(by_owner, users, groups, members).withColumnRenamed("__n", n)
     every = users.where("role = 'super-admin'").select(F.col("user_id").alias("viewer_id"))
     return seen.unionByName(every.withColumn(n, by_owner.agg(F.sum("__n").alias("total")).scalar()))
 
 
+def _seen_by_group(by_owner: DataFrame, users: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
+    """viewer_id, __n of what each viewer but super-admins may see, if it is anything."""
+    belongs = members.select(F.col("group").alias("__g"), F.col("member").alias("__m")).distinct()
+    sums = belongs.join(by_owner, F.col("__m") == F.col("__o")).groupBy(F.col("__g").alias("__of")).agg(F.sum("__n").alias("__n"))
+    leads = users.where("role = 'sub-lead'").select(F.col("user_id").alias("viewer_id")).distinct()
+    led = leads.join(groups.select("lead_user_id", F.col("group").alias("__led")).where("group IS NOT NULL").distinct(), F.col("viewer_id") == F.col("lead_user_id")).drop("lead_user_id")
+    led = led.join(led.groupBy(F.col("viewer_id").alias("__v")).agg(F.count("*").alias("__k")), F.col("viewer_id") == F.col("__v")).drop("__v")
+    one, several = led.where("__k = 1"), led.where("__k > 1")
+    whole = one.join(sums, F.col("__led") == F.col("__of")).select("viewer_id", "__n")
+    told = several.join(belongs, F.col("__led") == F.col("__g")).select("viewer_id", F.col("__m").alias("__seen")).distinct()
+    # Their own rows, unless a group that is summed or told apart has them.
+    held = led.join(belongs, (F.col("__led") == F.col("__g")) & (F.col("viewer_id") == F.col("__m"))).select(F.col("viewer_id").alias("__v")).distinct()
+    own = users.where("role <> 'super-admin'").select(F.col("user_id").alias("viewer_id")).distinct().join(held, F.col("viewer_id") == F.col("__v"), "left_anti")
+    apart = told.unionByName(own.withColumn("__seen", F.col("viewer_id"))).join(by_owner, F.col("__seen") == F.col("__o")).select("viewer_id", "__n")
+    return whole.unionByName(apart).groupBy("viewer_id").agg(F.sum("__n").alias("__n"))
+
+
 def missing_days(reports: DataFrame, members: DataFrame, first: str, last: str) -> DataFrame:
     """member, day of the working days from first to last without a report (member, day)."""
     days = members.select("member", F.explode(rules.working_days(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))

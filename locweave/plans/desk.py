@@ -196,10 +196,9 @@ def rbac_scope(spark, d):
     i = F.col("s_suppkey")
     s = read(spark, d, "supplier")
     users = s.select(i.alias("user_id"), F.when(i % 10 == 0, "super-admin").when(i % 3 == 0, "sub-lead").otherwise("admin").alias("role"))
-    members = s.groupBy("s_nationkey").agg(F.collect_list("s_suppkey").alias("member_user_ids"))
-    groups = s.join(members, "s_nationkey").select(i.alias("lead_user_id"), "member_user_ids")
+    group = F.col("s_nationkey").alias("group")
     rows = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    return reports.scoped_totals(rows, "l_suppkey", "n", users, groups).select("viewer_id", F.col("n").alias("visible"))
+    return reports.scoped_totals(rows, "l_suppkey", "n", users, s.select(i.alias("lead_user_id"), group), s.select(group, i.alias("member"))).select("viewer_id", F.col("n").alias("visible"))
 
 
 @query("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_linestatus = 'O' AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")

@@ -111,6 +111,19 @@ def test_delete_of_one_place_leaves_others_of_its_url(spark):
     assert sorted(r.seq for r in rewriting.delete_urls(locs, targets, place="seq").collect()) == [2, 3, 5]
 
 
+def test_scopes_by_group_equal_those_by_arrays(spark):
+    users = frame(spark, [(1, "sub-lead"), (2, "sub-lead"), (3, "admin"), (4, "super-admin"), (5, "sub-lead"), (6, "admin"), (7, "sub-lead")], "user_id long, role string")
+    counts = frame(spark, [(k, 10**k) for k in range(1, 6)] + [(3, 1), (9, 7)], "o long, n long")
+    members = {"a": [1, 2, 3, 3], "b": [3, 4], "c": [6]}
+    led = [(1, "a"), (1, "a"), (2, "b"), (3, "a"), (4, "a"), (5, "a"), (5, "b"), (7, "c"), (7, None)]
+    arrays = frame(spark, [(u, members.get(g)) for u, g in led], "lead_user_id long, member_user_ids array<long>")
+    rows = frame(spark, [(g, m) for g, ms in members.items() for m in ms], "group string, member long")
+    got = reports.scoped_totals(counts, "o", "n", users, frame(spark, led, "lead_user_id long, group string"), rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, reports.scoped_totals(counts, "o", "n", users, arrays).collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan
+
+
 def test_nearest_rank(spark):
     rows = frame(spark, [("k", float(i)) for i in range(1, 21)], "k string, v double")
     assert reports.nearest_rank(rows, "k", "v").first().v == 19.0
