@@ -1,6 +1,6 @@
 """Sitemaps as a data source of Spark: spark.read.format("sitemap"), and a writer that commits whole documents.
 
-A file is a partition and its rows are yielded while it is parsed. What tasks write lies in a staging folder until
+A task reads many small files or one large one, and yields rows while it parses. What tasks write lies in a staging folder until
 the job commits; a failed task or job leaves nothing. Files are reached by Arrow's file systems (a local or mounted
 path, hdfs://, s3://, gs://); for stores that only Spark's own readers reach there are readers.scan_files and
 writers.write_documents.
@@ -27,6 +27,8 @@ from . import readers, writers
 
 SCHEMA = "path string, source_file string, root string, position long, loc string, lastmod string"
 PIECE = 1 << 18
+#: Bytes that a task reads, those that opening a file counts for, and the tasks that many files are shared out among at least.
+TASK_BYTES, FILE_COST, TASKS = 1 << 25, 1 << 16, 200
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -83,7 +85,26 @@ def parsed(pieces: Iterator[bytes]) -> Iterator[tuple[str, int, str, str | None]
 
 @dataclass
 class FilePartition(InputPartition):
-    path: str
+    """The files that a task reads, one after another."""
+
+    paths: list[str]
+
+
+def shared_out(files: list[tuple[str, int]], cost: int = FILE_COST, most: int = TASK_BYTES, tasks_wanted: int = TASKS) -> list[FilePartition]:
+    """Files (path, bytes) by tasks in their order: as many as come to so many bytes, where each counts some more for being opened.
+
+    Below so many files each is a task of its own, and more are shared out among that many tasks at least.
+    """
+    most = min(most, sum(size + cost for _, size in files) // tasks_wanted)
+    tasks: list[FilePartition] = []
+    held = most
+    for path, size in files:
+        if held + size + cost > most:
+            tasks.append(FilePartition([]))
+            held = 0
+        tasks[-1].paths.append(path)
+        held += size + cost
+    return tasks
 
 
 class SitemapReader(DataSourceReader):
@@ -96,10 +117,14 @@ class SitemapReader(DataSourceReader):
         info = store.get_file_info(path)
         found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
         hidden = re.compile(r"/[_.][^/]*")
-        return [FilePartition(root + f.path) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and re.search(self.names, f.path) and not hidden.search(f.path[len(path) :])]
+        return shared_out([(root + f.path, f.size or 0) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and re.search(self.names, f.path) and not hidden.search(f.path[len(path) :])])
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
-        store, path = _store(partition.path)
+        for path in partition.paths:
+            yield from self._rows(path)
+
+    def _rows(self, place: str) -> Iterator[tuple]:
+        store, path = _store(place)
         with store.open_input_stream(path, compression=None) as source:
 
             def pieces() -> Iterator[bytes]:
@@ -114,7 +139,7 @@ class SitemapReader(DataSourceReader):
 
             name = path.rpartition("/")[2]
             for root, position, loc, lastmod in parsed(pieces()):
-                yield partition.path, name, root, position, loc, lastmod
+                yield place, name, root, position, loc, lastmod
 
 
 @dataclass

@@ -71,6 +71,14 @@ def test_documents_of_many_parts_are_files_of_their_own(spark, tmp_path):
     assert [x for r in sorted(scanned, key=lambda r: r.path) for x in r.locs] == [f"https://e.com/{i}" for i in range(25)]
 
 
+def test_many_small_files_share_tasks():
+    files = [(f"f{k}", 100) for k in range(50_000)] + [("large", 1 << 30), ("last", 5)]
+    tasks = datasource.shared_out(files)
+    assert [p for t in tasks for p in t.paths] == [p for p, _ in files]
+    assert 150 < len(tasks) < 400 and ["large"] in [t.paths for t in tasks]
+    assert [t.paths for t in datasource.shared_out(files[:9])] == [[f"f{k}"] for k in range(9)] and datasource.shared_out([]) == []
+
+
 def test_sitemaps_as_a_data_source(spark, tmp_path):
     out = str(tmp_path / "maps")
     n = 200_000
