@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls
 from ..shipping import scratch
+from . import ordering
 
 
 def file_totals(locs: DataFrame, expected: str) -> DataFrame:
@@ -102,18 +103,28 @@ def summary(result: DataFrame, report: DataFrame) -> DataFrame:
     return both.withColumn("reduction_pct", F.when(F.col("total_urls_kept_files") > 0, F.col("duplicates_removed") * 100.0 / F.col("total_urls_kept_files")).otherwise(0.0))
 
 
+def _placed_within(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """The rows with their place among those of their name (__n), from 1."""
+    whole = ordering.placed(rows, [F.col("__n"), *order], "__at")
+    first = whole.groupBy(F.col("__n").alias("__of")).agg(F.min("__at").alias("__first"))
+    joined = whole.join(first, F.col("__n").eqNullSafe(F.col("__of")))
+    return joined.withColumn(name, F.col("__at") - F.col("__first") + 1).drop("__at", "__of", "__first")
+
+
 def output_names(files: DataFrame) -> DataFrame:
-    """The files with output_name: a repeated name gets -2, -3 ... before its ending, past names that others have."""
-    order = Window.partitionBy("filename").orderBy("file_idx")
+    """The files with output_name: a repeated name gets -2, -3 ... before its ending, past names that others have.
+
+    Rows are numbered by places in the whole order, so that a name that all files have is not one task.
+    """
     stem, ending = F.regexp_replace("filename", r"(\.xml(\.gz)?)$", ""), F.regexp_extract("filename", r"(\.xml(\.gz)?)$", 1)
-    taken = files.groupBy(F.regexp_extract("filename", r"^(.*)-[0-9]+(\.xml(?:\.gz)?)$", 1).alias("s"), F.regexp_extract("filename", r"^(.*)-[0-9]+(\.xml(?:\.gz)?)$", 2).alias("e")).agg(
-        F.collect_set(F.regexp_extract("filename", r"-([0-9]+)\.xml(?:\.gz)?$", 1).try_cast("int")).alias("numbers")
-    )
-    numbered = files.withColumns({"rn": F.row_number().over(order), "__stem": stem, "__end": ending})
-    joined = numbered.join(taken.where("s <> ''"), (F.col("__stem") == F.col("s")) & (F.col("__end") == F.col("e")), "left")
-    numbers = F.coalesce("numbers", F.array().cast("array<int>"))
-    free = F.get(F.filter(F.sequence(F.lit(2), F.col("rn") + F.size(numbers) + 1), lambda i: ~F.array_contains(numbers, i)), F.col("rn") - 2)
-    return joined.select(*files.columns, F.when(F.col("rn") == 1, F.col("filename")).otherwise(F.concat("__stem", F.lit("-"), free.cast("string"), "__end")).alias("output_name"))
+    part = lambda i: F.regexp_extract("filename", r"^(.*)-([0-9]+)(\.xml(?:\.gz)?)$", i)
+    taken = files.select(F.concat(part(1), part(3)).alias("__n"), part(1).alias("__s"), part(2).try_cast("int").alias("__v")).where("__s <> '' AND __v >= 2").select("__n", "__v").distinct()
+    numbered = _placed_within(files.select(F.col("filename").alias("__n"), F.struct(*files.columns).alias("__file")), "__v", F.col("__file.file_idx"))
+    # A name's j-th taken number v, from 0, stands before its row v - j: with these among them, a row's place is the number that is free for it.
+    skips = _placed_within(taken.withColumnRenamed("__v", "__k"), "__j", F.col("__k")).select("__n", (F.col("__k") - F.col("__j") + 1).alias("__v"), F.lit(None).cast(numbered.schema["__file"].dataType).alias("__file"))
+    free = _placed_within(numbered.select("__n", "__v", "__file").unionByName(skips), "__free", F.col("__v"), F.col("__file").isNotNull())
+    made = free.where("__file IS NOT NULL").select("__file.*", "__v", F.col("__free").cast("string").alias("__free"))
+    return made.select(*files.columns, F.when(F.col("__v") == 1, F.col("filename")).otherwise(F.concat(stem, F.lit("-"), "__free", ending)).alias("output_name"))
 
 
 def latest_batches(attempts: DataFrame) -> DataFrame:

@@ -47,6 +47,26 @@ def test_output_names(spark):
     assert names == ["a.xml", "a-3.xml", "a-2.xml", "a-4.xml", "b.xml.gz", "b-2.xml.gz"]
 
 
+def test_output_names_pass_taken_numbers_without_one_task(spark):
+    r = random.Random(4)
+    rows = [(k, r.choice(["a.xml", "a.xml", "b.xml.gz", "c"])) for k in range(60)] + [(60 + k, f"a-{n}.xml") for k, n in enumerate([0, 1, 2, 3, 7, 8, 20, 40, 2])] + [(90, "b-3.xml.gz"), (91, "a-99999999999.xml"), (92, None), (93, None)]
+    files = frame(spark, rows, "file_idx int, filename string")
+    taken = {n for _, n in rows}
+    want, free = {}, {}
+    for k, name in rows:
+        if name is None or name not in free:
+            want[k], free[name] = name, 2
+            continue
+        stem, dot, ending = name.partition(".xml")
+        while dot and f"{stem}-{free[name]}.xml{ending}" in taken:
+            free[name] += 1
+        want[k] = f"{stem}-{free[name]}{dot}{ending}"
+        free[name] += 1
+    got = cleaning.output_names(files)
+    assert {r.file_idx: r.output_name for r in got.collect()} == want
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_batches(spark):
     attempts = frame(spark, [("r", 0, 1, "x"), ("r", 0, 2, "y"), ("r", 2, 1, "z")], "run_id string, batch int, attempt int, file string")
     assert sorted(r.file for r in cleaning.latest_batches(attempts).collect()) == ["y", "z"]
