@@ -17,8 +17,6 @@ CHANGES = "run_id string, batch long, attempt long, item string, change long"
 #: Batches of a run whose attempts are one state.
 TOGETHER = 64
 READY = "run_id string, total_batches long"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Attempts(StatefulProcessor):
@@ -103,7 +101,7 @@ def with_store(spark: SparkSession) -> None:
     """State of several kinds needs the store on disk, which is also the one for states beyond memory."""
     # The process that asks a processor for its states is started without the session's files: it is given the classes whole.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    spark.conf.set(_PROVIDER, _ROCKS)
+    windows.disk_store(spark)
 
 
 def changes(rows: DataFrame, together: int = TOGETHER) -> DataFrame:

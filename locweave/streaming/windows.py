@@ -34,8 +34,15 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return counted.select("user_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
 
 
+def disk_store(spark: SparkSession) -> None:
+    """State is kept in a store on disk, which holds what is beyond memory; its caches have one bound an executor."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+
+
 def first_frames(frames: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Each frame of a run once (run, seq), however often it is replayed."""
+    """Each frame of a run once (run, seq), however often it is replayed. What is known of them is kept on disk."""
+    disk_store(frames.sparkSession)
     return frames.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run", "seq"])
 
 

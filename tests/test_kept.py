@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from locweave import shipping
 from locweave.operators import cleaning, edit_log, kept_index, retention, sketches, summaries, walks
 from locweave.plans import workflow
-from locweave.streaming import live_runs, uploads
+from locweave.streaming import live_runs, uploads, windows
 
 
 def _locs(spark, rows):
@@ -165,6 +165,17 @@ def test_batches_of_one_state_are_withdrawn_apart(spark, tmp_path):
     assert sorted(map(tuple, uploads.standing(told).collect())) == sorted(x for x in rows if x[2] == newest[x[0], x[1]])
 
 
+def test_frames_are_known_on_disk(spark, tmp_path):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.unset(provider)
+    frames = spark.createDataFrame([("r", 1, "2024-01-01 00:00:00")] * 2, "run string, seq long, ts string")
+    for _ in range(2):
+        frames.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("run string, seq long, ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    told = windows.run_to_table(windows.first_frames(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert told.count() == 1 and "RocksDB" in spark.conf.get(provider)
+
+
 def test_retention_over_trees(spark):
     rows = [("a/b/x", "2024-01-01", 5), ("a/b/y", "2024-02-01", None), ("a/z", None, 3), ("c/d", "2023-01-01", 2), ("top", "2024-01-05", 1), (None, "2024-01-01", 9)]
     files = spark.createDataFrame(rows, "path string, modified string, bytes long").withColumn("modified", F.col("modified").cast("timestamp_ntz"))
