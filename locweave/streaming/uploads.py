@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from . import windows
 CHANGES = "run_id string, batch long, attempt long, item string, change long"
 #: Batches of a run whose attempts are one state.
 TOGETHER = 64
+#: Logarithm of the batches of a block that a barrier keeps as bits.
+BLOCK_BITS = 15
 READY = "run_id string, total_batches long"
 
 
@@ -73,26 +76,41 @@ class Attempts(StatefulProcessor):
 
 
 class Barrier(StatefulProcessor):
-    """Of one run: which batches have come, and whether it was told that all have."""
+    """Of one run: which batches have come, and whether it was told that all have.
+
+    Batches are bits of blocks, so a micro-batch reads and writes a state a block that it touches, not one a batch.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "batch long", "one boolean")
+        self.seen = handle.getMapState("blocks", "block long", "bits binary")
         self.count = handle.getValueState("count", "n long, told boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        n, told = self.count.get() if self.count.exists() else (0, False)
-        total = 0
+        n, told = self.count.get() or (0, False)
+        total, blocks = 0, {}
         for frame in rows:
-            total = max(total, int(frame["total_batches"].max()))
-            for batch in map(int, frame["batch"].unique()):
-                if not self.seen.containsKey((batch,)):
-                    self.seen.updateValue((batch,), (True,))
-                    n += 1
+            announced = frame["total_batches"].dropna()
+            total = max(total, int(announced.max())) if len(announced) else total
+            batches = np.unique(frame["batch"].to_numpy())
+            numbers, starts = np.unique(batches >> BLOCK_BITS, return_index=True)
+            for number, part in zip(numbers.tolist(), np.split(batches, starts[1:]), strict=True):
+                if number not in blocks:
+                    blocks[number] = self._bits(number)
+                blocks[number][0][part & ((1 << BLOCK_BITS) - 1)] = True
+        for number, (bits, before) in blocks.items():
+            if (now := int(bits.sum())) > before:
+                self.seen.updateValue((number,), (np.packbits(bits).tobytes(),))
+                n += now - before
         if not told and total and n >= total:
             told = True
             yield pd.DataFrame({"run_id": [key[0]], "total_batches": [total]})
         self.count.update((n, told))
 
+    def _bits(self, number: int) -> tuple[np.ndarray, int]:
+        held = self.seen.getValue((number,)) if self.seen.containsKey((number,)) else None
+        bits = np.unpackbits(np.frombuffer(held[0], np.uint8)).astype(bool) if held else np.zeros(1 << BLOCK_BITS, bool)
+        return bits, int(bits.sum())
+
     def close(self) -> None:
         pass
 
@@ -121,7 +139,7 @@ def changes(rows: DataFrame, together: int = TOGETHER) -> DataFrame:
 def ready(rows: DataFrame) -> DataFrame:
     """run_id, total_batches, once a run, when as many different batches have come as were announced, from a stream of run_id, batch, total_batches.
 
-    Only batches' headers matter: they are made one a micro-batch and run before they reach a run's task.
+    Only batches' headers go to a run's task, frame by frame; what it holds is a bit a batch.
     """
     with_store(rows.sparkSession)
     typed = rows.select(F.col("run_id").cast("string").alias("run_id"), F.col("batch").cast("long").alias("batch"), F.col("total_batches").cast("long").alias("total_batches"))

@@ -176,6 +176,19 @@ def test_frames_are_known_on_disk(spark, tmp_path):
     assert told.count() == 1 and "RocksDB" in spark.conf.get(provider)
 
 
+def test_barriers_count_batches_of_many_blocks_once(spark, tmp_path):
+    far = 1 << 40
+    files = [[("r", b, 70_001) for b in range(0, 70_000, 2)] + [("s", -1, 3), ("s", far, 3), ("w", 1, 2)], [("r", b, 70_001) for b in range(69_999)] + [("s", far, 3), ("w", 1, None)], [("r", 69_999, 70_001), ("r", far, 70_001), ("s", 0, 3), ("s", 1, 3)]]
+    stream = lambda k: spark.readStream.schema("run_id string, batch long, total_batches long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    told = []
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, "run_id string, batch long, total_batches long").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        told.append(sorted(map(tuple, uploads.finished(uploads.ready(stream(k)), str(tmp_path / "out"), str(tmp_path / "cp")).collect())))
+    assert told == [[], [], [("r", 70_001), ("s", 3)]]
+    states = spark.read.format("statestore").option("stateVarName", "blocks").load(str(tmp_path / "cp")).count()
+    assert states == 4 + 3 + 1  # of r, s and w
+
+
 def test_retention_over_trees(spark):
     rows = [("a/b/x", "2024-01-01", 5), ("a/b/y", "2024-02-01", None), ("a/z", None, 3), ("c/d", "2023-01-01", 2), ("top", "2024-01-05", 1), (None, "2024-01-01", 9)]
     files = spark.createDataFrame(rows, "path string, modified string, bytes long").withColumn("modified", F.col("modified").cast("timestamp_ntz"))
