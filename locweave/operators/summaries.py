@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import templates
+from ..shipping import scratch
 from .patterns import MANY_VALUES, is_parameter, url_facts
 
 SAMPLES = 5
@@ -45,8 +46,13 @@ def _least(rows: DataFrame, key: str, n: int) -> DataFrame:
 
 def summary(locs: DataFrame, n: int = SAMPLES) -> tuple[DataFrame, DataFrame]:
     """The positions and the shapes of a batch of locs (loc), to be kept as two tables; what is no URL counts for nothing."""
+    spark = locs.sparkSession
     facts = url_facts(locs.select("loc"))
-    positions = positions_of(facts)
+    # Written once: the shapes would count the positions again.
+    path = scratch(spark, "positions")
+    made = positions_of(facts)
+    made.write.parquet(path)
+    positions = spark.read.schema(made.schema).parquet(path)
     return positions, shapes_of(facts, positions, n)
 
 

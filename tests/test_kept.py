@@ -246,6 +246,11 @@ def test_runs_are_reaped_by_timers_and_come_back(spark, tmp_path):
         assert {r.run: r.state for r in live_runs.latest(told).collect()}["p"] == "live"
 
 
+def test_shapes_do_not_count_positions_again(spark):
+    _, shapes = summaries.summary(spark.createDataFrame([("https://e.com/a/b",)], "loc string"))
+    assert "posexplode" not in shapes._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("parts", [1, 2, 4])
 def test_summaries_of_any_split_give_one_table(spark, parts):
     rows = spark.range(600).select("id", F.concat(F.lit("https://e.com/"), F.when(F.col("id") % 4 == 0, "a").otherwise("b"), F.lit("/"), (F.col("id") % 130).cast("string"), F.when(F.col("id") % 3 == 0, "/x").otherwise("")).alias("loc"))
