@@ -4,12 +4,13 @@ import itertools
 import random
 import uuid
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from locweave import shipping
 from locweave.operators import cleaning, edit_log, kept_index, retention, sketches, summaries, walks
-from locweave.plans import workflow
+from locweave.plans import streams, workflow
 from locweave.streaming import live_runs, uploads, windows
 
 
@@ -246,6 +247,48 @@ def test_runs_are_reaped_by_timers_and_come_back(spark, tmp_path):
         assert {r.run: r.state for r in live_runs.latest(told).collect()}["p"] == "live"
 
 
+def test_runs_of_a_bucket_are_reaped_apart(spark, tmp_path):
+    r = random.Random(10)
+    beats = sorted(((r.randint(0, 3_000), f"r{r.randint(0, 60)}", r.choice(["pending", "cleaning", "uploading", "finished"]), r.randint(0, 1)) for _ in range(600)), key=lambda b: b[0])
+    beats = list({(at, run): (at, run, *rest) for at, run, *rest in beats}.values())
+    quarters = [[b for b in beats if b[0] // 750 == k] for k in range(4)] + [[(3_001, "z", "cleaning", 0)]]
+    want, now = [], quarters[-1][0][0] * 1000
+    for run, own in itertools.groupby(sorted(itertools.chain(*quarters), key=lambda b: (b[1], b[0])), key=lambda b: b[1]):
+        told, gone, phase = "", None, ""
+        for at, _, new, looking in [*own, (None,) * 4]:
+            if gone is not None and gone <= (now if at is None else at * 1000):
+                told = "expired" if phase == "pending" else "abandoned"
+                want.append((run, told, gone))
+            if at is None:
+                break
+            phase, state = new, "finished" if new == "finished" else "live"
+            want += [(run, state, at * 1000)] if state != told else []
+            told = state
+            waits = [] if phase in ("finished", "cleaning") else [120_000] * (phase == "pending") + [300_000] * (looking == 0)
+            gone = at * 1000 + min(waits) + 1 if waits else None
+    schema = "run string, ts timestamp, phase string, subscribers long"
+    for k, rows in enumerate(quarters):
+        frame = spark.createDataFrame(rows, "at long, run string, phase string, subscribers long").selectExpr("run", "timestamp_seconds(at) AS ts", "phase", "subscribers")
+        frame.coalesce(2).write.mode("append").parquet(str(tmp_path / "in"))
+        changes = live_runs.changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), buckets=3)
+        told = uploads.finished(changes, str(tmp_path / "out"), str(tmp_path / "cp"))
+        assert spark.read.format("statestore").option("stateVarName", "runs").load(str(tmp_path / "cp")).count() <= 3
+    assert sorted(map(tuple, told.collect())) == sorted(want)
+
+
+def test_runs_that_fell_silent_early_are_told(spark, tmp_path):
+    rows = [(n, f"2024-01-{1 + n % 4 * 7 + n // 200:02d} {n % 24:02d}:00:00", n % 40) for n in range(800)]
+    frame = spark.createDataFrame(rows, "event_id long, ts string, user_id long").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    frame.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.sql(streams.SQL["stream_liveness"]).fetchall())
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(idle)
+    assert sorted(map(tuple, streams.stream_liveness(spark, str(tmp_path)).select("run", "state").collect())) == want
+    assert len(want) == 40 and spark.conf.get(idle) == before
+
+
 def test_shapes_do_not_count_positions_again(spark):
     _, shapes = summaries.summary(spark.createDataFrame([("https://e.com/a/b",)], "loc string"))
     assert "posexplode" not in shapes._jdf.queryExecution().optimizedPlan().toString()
